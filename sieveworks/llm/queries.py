@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import mixing, simhash
+from sieveworks.llm import mixing, simhash, substring, suffix
 from sieveworks.llm.common import documents, n_words, saved
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.dedup(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -21,7 +30,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
     "op4_simhash": op4_simhash,
+    "op5_suffix": op5_suffix,
     "op10_mixing": op10_mixing,
 }
 
