@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import mixing, simhash, substring, suffix
+from sieveworks.llm import mixing, packing, simhash, substring, suffix, tokens
 from sieveworks.llm.common import documents, n_words, saved
 
 
@@ -20,6 +20,20 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -31,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
+    "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_suffix": op5_suffix,
     "op10_mixing": op10_mixing,
