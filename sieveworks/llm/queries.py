@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import mixing, packing, simhash, substring, suffix, tokens
+from sieveworks.llm import caps, mixing, packing, simhash, substring, suffix, tokens
 from sieveworks.llm.common import documents, n_words, saved
 
 
@@ -38,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_suffix": op5_suffix,
+    "op7_caps": op7_caps,
     "op10_mixing": op10_mixing,
 }
 
