@@ -111,10 +111,10 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[new], "a": start[new], "b": start[last] + length})
 
 
-def removed_ranges(texts: DataFrame, length: int) -> DataFrame:
+def removed_ranges(texts: DataFrame, every: DataFrame, length: int) -> DataFrame:
     """(doc_id, a long, b long): byte ranges, together all bytes of a later copy of a `length`-byte string.
 
-    texts: (doc_id, data binary), doc_id unique and not null. Positions are put in buckets such that equal strings
+    texts: (doc_id, data binary), doc_id unique and not null; every: the same rows or more, from which contexts are cut. Positions are put in buckets such that equal strings
     share one; contexts of buckets with several rows are shuffled, and each bucket's suffixes are ordered.
     """
 
@@ -204,10 +204,10 @@ def removed_ranges(texts: DataFrame, length: int) -> DataFrame:
         close()
         yield from flush()
 
-    runs = texts.filter(F.length("data") >= length).mapInPandas(hashed, "h long, doc_id long, at int, n short")
+    runs = texts.mapInPandas(hashed, "h long, doc_id long, at int, n short")
     several = runs.repartition("h").sortWithinPartitions("h").mapInPandas(shared, "h long, doc_id long, at int, n short")
     by_doc = several.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
-    ctx = texts.join(by_doc.hint("merge"), "doc_id").mapInPandas(contexts, "h long, doc_id long, at int, ctx binary")
+    ctx = every.join(by_doc.hint("merge"), "doc_id").mapInPandas(contexts, "h long, doc_id long, at int, ctx binary")
     return ctx.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInPandas(compared, "doc_id long, a long, b long")
 
 
@@ -225,19 +225,21 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
-    digests = d.filter("doc_id is not null").select("doc_id", F.sha2("data", 256).alias("digest"))
+    # the three uses of the texts have the same plan up to their exchange by doc_id, so Spark shuffles them once
+    known_id = d.filter("doc_id is not null")
+    digests = known_id.select("doc_id", F.sha2("data", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first")).select(F.col("first").alias("doc_id")).withColumn("is_first", F.lit(True))
-    texts = d.join(firsts.hint("merge"), "doc_id", "left_semi")
-    ranges = removed_ranges(texts, length).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    texts = known_id.join(firsts.hint("merge"), "doc_id", "left_semi")
+    ranges = removed_ranges(texts, known_id, length).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     known = firsts.join(ranges.hint("merge"), "doc_id", "left")
-    joined = d.join(known.hint("merge"), "doc_id", "left")
+    joined = known_id.join(known.hint("merge"), "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, data, first, ranges in zip(pdf["doc_id"], pdf["data"], pdf["is_first"], pdf["ranges"], strict=True):
+            for data, first, ranges in zip(pdf["data"], pdf["is_first"], pdf["ranges"], strict=True):
                 data, merged = bytes(data), []
-                if not pd.isna(i) and first is not True and len(data) >= length:
+                if first is not True and len(data) >= length:
                     merged = [[0, len(data)]]
                 elif ranges is not None:
                     for a, b in sorted((x["a"], x["b"]) for x in ranges):
@@ -251,5 +253,6 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             n, gone, runs, kept = zip(*out, strict=True) if out else ((), (), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": n, "n_removed": gone, "n_spans": runs, "kept": kept})
 
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    no_id = d.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"))
+    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").union(no_id)
 
