@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import caps, mixing, packing, simhash, substring, suffix, tokens
+from sieveworks.llm import caps, mixing, packing, simhash, substring, suffix, tokens, toxicity
 from sieveworks.llm.common import documents, n_words, saved
 
 
@@ -42,6 +42,10 @@ def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_suffix": op5_suffix,
     "op7_caps": op7_caps,
+    "op8_toxicity": op8_toxicity,
     "op10_mixing": op10_mixing,
 }
 
