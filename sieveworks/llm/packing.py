@@ -19,31 +19,56 @@ SHARD_CHARS = 4 << 20
 PIECE_WINDOWS = 16
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
+#: Entries of a Python worker's cache, of two generations each.
 CACHE = 400_000
 END = 2
 
 
-class WordIds(dict):
-    """Ids of the runs between spaces and line ends, as little-endian unsigned 16-bit bytes, in two generations of CACHE entries.
+class Generations(dict):
+    """What make() gives for a key, kept in two generations of CACHE entries: what is in use stays."""
 
-    The tokenizer drops white space and no rule of it looks across, so a text's ids are its runs' ids.
-    """
-
-    def __init__(self, tokenizer):
+    def __init__(self, make):
         super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.whole(word)
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of texts as little-endian unsigned 16-bit bytes.
+
+    The tokenizer drops white space and no rule of it looks across, so a text's ids are those of its runs between
+    spaces and line ends; and a run of letters with or without a mark after it is one or two pre-tokens, which the
+    model takes in lower case.
+    """
+
+    def __init__(self, tokenizer):
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must fit 16 bits")
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.bytewise = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        self.bytewise |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytewise)}
+        self.words, self.runs = Generations(self.word), Generations(self.run)
+
+    def word(self, lower: str) -> bytes:
+        """A pre-token's ids; its bytes are written as the byte-level characters of the vocabulary."""
+        mapped = "".join(map(self.bytewise.__getitem__, lower.encode()))
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
+
+    def run(self, run: str) -> bytes:
+        if run.isalpha() and max(run) <= "ɏ":
+            return self.words[run.lower()]
+        if run[-1:] in (".", ",") and run[:-1].isalpha() and max(run) <= "ɏ":
+            return self.words[run[:-1].lower()] + self.words[run[-1]]
+        return self.whole(run)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -51,7 +76,7 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         if "<|" in text:  # a special string may hold no space, but the library looks for it in the whole text
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _CACHES: dict[str, WordIds] = {}
