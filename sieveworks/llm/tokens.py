@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         for pdf in batches:
             words = pdf["word"].tolist()
             new = list(dict.fromkeys(w for w in words if w != last))
-            known = {w: len(e.ids) for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            known = {w: len(tokenizer.encode(w, add_special_tokens=False)) for w in new}
             if last is not None:
                 known.setdefault(last, n)
             if words:
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     counted = words.repartition("word").sortWithinPartitions("word")
-    conf.set(rows, "200000")
+    conf.set(rows, "50000")
     parts = saved(counted.mapInPandas(pieces, "block long, size int, pieces binary"), "token-pieces")
     conf.set(rows, "1")
     parts = parts.groupBy("block").agg(F.collect_list(F.struct("size", "pieces")).alias("parts"))
