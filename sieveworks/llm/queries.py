@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import caps, mixing, packing, simhash, substring, suffix, tokens, toxicity
-from sieveworks.llm.common import documents, n_words, saved
+from sieveworks.llm import caps, chroma, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
+from sieveworks.llm.common import documents, fresh_dir, n_words, saved
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(warc.pages_table(spark, sf_dir), fresh_dir(spark, "warc")).drop("payload")
+
+
 def op7_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -46,6 +50,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.search(chroma.melodies(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = saved(documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -57,8 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op5_suffix": op5_suffix,
+    "op6_warc": op6_warc,
     "op7_caps": op7_caps,
     "op8_toxicity": op8_toxicity,
+    "op9_chroma": op9_chroma,
     "op10_mixing": op10_mixing,
 }
 
