@@ -15,8 +15,8 @@ from sieveworks.llm.common import small_batches
 GRAM = 32
 #: Positions hashed at once.
 STRETCH = 1 << 20
-#: Suffixes that are ordered at once.
-POOL = 1 << 16
+#: Suffixes that are gathered before they are ordered, that are ordered at once, and contexts that are cut at once.
+POOL, PART, SLICE = 1 << 16, 1 << 19, 1 << 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,18 +90,39 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], lcp])
 
 
-def later_copies(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the positions in the contexts whose `length` bytes also start at an earlier position there."""
+def later_copies(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(doc, start) of the positions in the contexts whose `length` bytes also start at an earlier position there.
+
+    Suffixes are ordered in parts of about PART, dealt by a hash of their `length` bytes: equal ones share a part, and
+    memory stays bounded whatever the contexts of one bucket are.
+    """
+    parts = -(-sum(len(c) - length + 1 for c in contexts) // PART)
+    for part in range(parts):
+        found = [_windows(contexts[k : k + SLICE], doc[k : k + SLICE], first[k : k + SLICE], length, part, parts) for k in range(0, len(contexts), SLICE)]
+        rows, ids, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(rows):
+            continue
+        place = np.lexsort((start, ids))  # positions are numbered in the order of the input
+        rows, ids, start = np.ascontiguousarray(rows[place]), ids[place], start[place]
+        order, lcp = suffix_order(rows)
+        hit = previous_factors(order, lcp) >= length
+        if hit.any():
+            yield ids[hit], start[hit]
+
+
+def _windows(contexts: list[bytes], doc: np.ndarray, first: np.ndarray, length: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, doc, start) of the part's windows of the contexts."""
+    data = b"".join(contexts)
     sizes = np.array([len(c) - length + 1 for c in contexts])
-    begin = np.cumsum([0, *(len(c) for c in contexts[:-1])])
     k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(contexts), np.uint8), length)[np.repeat(begin, sizes) + k]
-    doc, start = np.repeat(doc, sizes), np.repeat(first, sizes) + k
-    place = np.lexsort((start, doc))  # positions are numbered in the order of the input
-    rows, doc, start = np.ascontiguousarray(rows[place]), doc[place], start[place]
-    order, lcp = suffix_order(rows)
-    hit = previous_factors(order, lcp) >= length
-    return doc[hit], start[hit]
+    at = np.repeat(np.cumsum([0, *map(len, contexts)])[:-1], sizes) + k
+    ids, start = np.repeat(doc, sizes), np.repeat(first, sizes) + k
+    if parts > 1:
+        g = gram_hashes(data)
+        whole = g[at] + g[at + (length - GRAM) // 2] * np.uint64(3) + g[at + length - GRAM] * np.uint64(5)
+        mine = (whole >> np.uint64(20)) % np.uint64(parts) == part
+        at, ids, start = at[mine], ids[mine], start[mine]
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[at], ids, start
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
@@ -177,8 +198,7 @@ def removed_ranges(texts: DataFrame, every: DataFrame, length: int) -> DataFrame
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal waiting
             if pool:
-                doc, start = later_copies([p[0] for p in pool], np.array([p[1] for p in pool]), np.array([p[2] for p in pool]), length)
-                if len(doc):
+                for doc, start in later_copies([p[0] for p in pool], np.array([p[1] for p in pool]), np.array([p[2] for p in pool]), length):
                     yield _runs(doc, start, length)
             if whole:
                 yield pd.DataFrame(whole, columns=["doc_id", "a", "b"])
