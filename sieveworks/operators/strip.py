@@ -82,7 +82,7 @@ def scan_units(format: pd.Series, content: pd.Series) -> pd.DataFrame:
     for kind, data in zip(format, content, strict=True):
         try:
             rows.append((None if data is None or kind not in READERS else [u._replace(zones=[{"at": a, "len": n} for a, n in u.zones])._asdict() for u in READERS[kind](bytes(data))], None))
-        except Malformed as why:
+        except (Malformed, RecursionError) as why:
             rows.append((None, str(why)))
     return pd.DataFrame(rows, columns=["units", "error"])
 

@@ -152,7 +152,10 @@ def decisions(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT
     for what is kept. Texts that nothing touches (null and empty ones included) give no row.
     """
     found = df.filter(touched(F.col(text), options))
-    tokens = found.select(F.col(key).alias("key"), F.posexplode(_tokens(F.col(text), options)).alias("pos", "token"))
+    return _decided(found.select(F.col(key).alias("key"), F.posexplode(_tokens(F.col(text), options)).alias("pos", "token")), options)
+
+
+def _decided(tokens: DataFrame, options: TextOptions, *carried: str) -> DataFrame:
     one = F.col("token").rlike(f"^[{touch_class(options)}]$")
     row = Window.partitionBy("key").orderBy("pos")
     tokens = tokens.withColumns(
@@ -173,7 +176,7 @@ def decisions(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT
     tokens = tokens.withColumn("base", F.last("left", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1)))
     change = F.when(~_kept_by_base(cp, F.col("base"), F.col("after"), options), F.col("change"))
     tokens = tokens.withColumn("change", change)
-    return tokens.select("key", "pos", "offset", "token", "cp", F.coalesce("change.out", "token").alias("out"), F.col("change.kind").alias("kind"))
+    return tokens.select("key", "pos", "offset", "token", "cp", F.coalesce("change.out", "token").alias("out"), F.col("change.kind").alias("kind"), *carried)
 
 
 def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
@@ -199,6 +202,21 @@ def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) ->
     return out.select(key, "clean", "bytes_in", F.octet_length("clean").cast("long").alias("bytes_out"), "n_dropped")
 
 
+def clean_column(df: DataFrame, keys: list[str], text: str, options: TextOptions = DEFAULT) -> DataFrame:
+    """df with its column text cleaned, read once; keys must identify a row.
+
+    For small rows that cost much to make, as values parsed out of files: every row is shuffled, none is made twice.
+    """
+    whole = F.col(text)
+    tokens = F.when(touched(whole, options), _tokens(whole, options)).otherwise(F.array(whole))
+    rows = df.select(F.struct(*keys).alias("key"), F.struct(*df.columns).alias("row"), tokens.alias("tokens"))
+    exploded = rows.select("key", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "out")))
+    whole_rows = _decided(exploded, options, "row").groupBy("key").agg(F.first("row", ignorenulls=True).alias("row"), parts.alias("parts"))
+    cleaned = F.when(F.col(f"row.{text}").isNotNull(), F.array_join(F.col("parts.out"), ""))
+    return whole_rows.select(*(cleaned.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns))
+
+
 def dropped_by_kind(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
     """(key, kind, count): how many code points each kind of rule removed or replaced."""
     found = decisions(df, key, text, options).filter("kind is not null")
