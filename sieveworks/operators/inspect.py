@@ -105,27 +105,29 @@ def _added(section: Column, detail: Column) -> Column:
 
 
 def fields(files: DataFrame, key: str) -> DataFrame:
-    """(key, format, seq, section, path, name, kind, value, size, detail) of the files' metadata; key identifies a file.
+    """(key, format, seq, section, place, name, kind, value, size, detail) of the files' metadata; key identifies a file.
+
+    place is the path of boxes, directories or tags inside the file. key must not be named as one of the others.
 
     A file that cleaning refuses has no fields. Values lose invisible code points as cleaning drops them; for that the
     fields, not the files, are shuffled once.
     """
     checked = with_units(files).select(key, "format", scan_fields(F.col("format"), F.when(F.col("error").isNull(), F.col("content"))).alias("fields"))
-    rows = checked.select(F.col(key), "format", F.posexplode("fields").alias("seq", "f")).select(key, "format", "seq", "f.*")
+    rows = checked.select(F.col(key), "format", F.posexplode("fields").alias("seq", "f")).select(key, "format", "seq", "f.section", F.col("f.path").alias("place"), "f.name", "f.raw", "f.size", "f.detail")
     previewed = F.col("section").isin("segments", "boxes") | ((F.col("section") == "chunks") & (F.col("format") == "webp"))
     whole = F.col("format").isin("png", "gif")
     value = F.when(previewed, text_or_null(F.col("raw"))).when(whole, sanitise(F.col("raw"))).otherwise(clean_tag(F.col("raw")))
     kind = F.when(F.col("section") == "segments", jpeg_kind(F.col("name").cast("string"), F.col("raw")))
     label = F.when(F.col("section") == "boxes", F.regexp_replace(F.decode("name", "ISO-8859-1"), r"[^\x20-\x7E]", "?")).otherwise(sanitise(F.col("name")))
-    path = F.regexp_replace("path", r"[^\x20-\x7E]", "?")
-    rows = rows.select(key, "format", "seq", "section", path.alias("path"), label.alias("name"), kind.alias("kind"), value.alias("value"), "size", _added(F.col("section"), F.col("detail")).alias("detail"))
+    place = F.regexp_replace("place", r"[^\x20-\x7E]", "?")
+    rows = rows.select(key, "format", "seq", "section", place.alias("place"), label.alias("name"), kind.alias("kind"), value.alias("value"), "size", _added(F.col("section"), F.col("detail")).alias("detail"))
     return textclean.clean_column(rows, [key, "seq"], "value", textclean.SCRUB)
 
 
 def metadata(files: DataFrame, key: str) -> DataFrame:
     """(key, format, metadata) with one VARIANT per file that has fields: its sections, each a list of fields in order."""
     found = fields(files, key)
-    shown = ("path", "name", "kind", "value", "size", "detail")
+    shown = ("place", "name", "kind", "value", "size", "detail")
     one = F.struct("seq", F.to_json(F.struct(*shown)).alias("json"))
     sections = found.groupBy(key, "format", "section").agg(F.array_sort(F.collect_list(one)).alias("rows"))
     listed = F.concat(F.to_json(F.array("section")).substr(F.lit(2), F.length(F.to_json(F.array("section"))) - 2), F.lit(":["), F.array_join("rows.json", ","), F.lit("]"))

@@ -251,12 +251,13 @@ def parts_table(files: DataFrame, *keys: str, keep_musical: bool = False) -> Dat
     return decided.select(*keys, "format", F.posexplode("units").alias("seq", "u")).select(*keys, "format", "seq", *(f"u.{c}" for c in ("id", "role", "size", "start", "body", "stop", "action", "how")))
 
 
-def summary(report: DataFrame, *keys: str) -> DataFrame:
-    """keys with a line of text: kept and dropped parts and bytes, as a terminal shows them."""
+def listed(parts: Column) -> Column:
+    """``id(size), id(size)``; "none" for no part."""
+    names = F.array_join(F.transform(parts, lambda p: F.concat(F.trim(p["id"]), F.lit("("), p["size"].cast("string"), F.lit(")"))), ", ")
+    return F.when(F.size(parts) == 0, "none").otherwise(names)
 
-    def listed(parts: str) -> Column:
-        names = F.array_join(F.transform(parts, lambda p: F.concat(F.trim(p["id"]), F.lit("("), p["size"].cast("string"), F.lit(")"))), ", ")
-        return F.when(F.size(parts) == 0, "none").otherwise(names)
 
-    line = F.format_string("kept: %s; dropped: %s; bytes: %d -> %d (saved %d)", listed("kept"), listed("dropped"), "bytes_in", "bytes_out", "bytes_saved")
+def summary(report: DataFrame, *keys: str) -> DataFrame:
+    """keys with a line of text: kept and dropped parts and bytes, as a terminal shows them."""
+    line = F.format_string("kept: %s; dropped: %s; bytes: %d -> %d (saved %d)", listed(F.col("kept")), listed(F.col("dropped")), "bytes_in", "bytes_out", "bytes_saved")
     return report.select(*keys, F.coalesce(F.concat(F.lit("FAIL "), "error"), line).alias("line"))

@@ -180,13 +180,16 @@ def _decided(tokens: DataFrame, options: TextOptions, *carried: str) -> DataFram
 
 
 def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
-    """(key, clean, bytes_in, bytes_out, n_dropped) for every row of df; null text: null clean and bytes, none dropped.
+    """(key, clean, bytes_in, bytes_out, n_dropped, dropped) for every row of df; null text: null clean and bytes.
 
-    Only touched texts are shuffled, once, by key. key must identify a row.
+    dropped lists (kind, count) by kind. Only touched texts are shuffled, once, by key. key must identify a row.
     """
     whole = F.col(text)
-    same = df.filter(~touched(whole, options)).select(F.col(key), whole.alias("clean"), F.octet_length(whole).cast("long").alias("bytes_in"), F.lit(0).cast("long").alias("n_dropped"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "out", "token")))
+    none = F.array().cast("array<struct<id:string,size:bigint>>")
+    same = df.filter(~touched(whole, options)).select(F.col(key), whole.alias("clean"), F.octet_length(whole).cast("long").alias("bytes_in"), F.lit(0).cast("long").alias("n_dropped"), none.alias("dropped"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "out", "token", "kind")))
+    kinds = F.array_compact("parts.kind")
+    counts = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("id"), F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias("size")))
     changed = (
         decisions(df, key, text, options)
         .groupBy("key")
@@ -196,10 +199,11 @@ def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) ->
             F.array_join(F.col("parts.out"), "").alias("clean"),
             F.octet_length(F.array_join(F.col("parts.token"), "")).cast("long").alias("bytes_in"),
             "n_dropped",
+            counts.alias("dropped"),
         )
     )
     out = same.unionByName(changed)
-    return out.select(key, "clean", "bytes_in", F.octet_length("clean").cast("long").alias("bytes_out"), "n_dropped")
+    return out.select(key, "clean", "bytes_in", F.octet_length("clean").cast("long").alias("bytes_out"), "n_dropped", "dropped")
 
 
 def clean_column(df: DataFrame, keys: list[str], text: str, options: TextOptions = DEFAULT) -> DataFrame:

@@ -53,16 +53,16 @@ def test_flat_formats(found):
 def test_nested_formats(found):
     mp4 = found["mp4"]
     assert mp4[0].detail == {"version": "0", "creation": str(0x11223344), "modification": str(0x55667788)}
-    assert (mp4[-1].path, mp4[-1].value) == ("udta/meta/ilst/?nam/data", "My film")
-    assert shown(found["mkv"], "section", "path", "name", "value") == [("info", "", "title", "Film"), ("info", "", "dateUtc", None), ("tags", "ARTIST", "SORT", "(binary 2 bytes)"), ("tags", "", "ARTIST", "Jane"), ("attachments", "", "a.txt", None)]
+    assert (mp4[-1].place, mp4[-1].value) == ("udta/meta/ilst/?nam/data", "My film")
+    assert shown(found["mkv"], "section", "place", "name", "value") == [("info", "", "title", "Film"), ("info", "", "dateUtc", None), ("tags", "ARTIST", "SORT", "(binary 2 bytes)"), ("tags", "", "ARTIST", "Jane"), ("attachments", "", "a.txt", None)]
     assert found["mkv"][1].detail["iso"] == "2024-01-01T00:00:00Z"
-    raw = {(r.path, r.name): r for r in found["raw"]}
+    raw = {(r.place, r.name): r for r in found["raw"]}
     assert raw["IFD0", "Artist"].value == "Jane Artist" and raw["IFD0", "MakerNote"].size == 20 and raw["IFD0", "XMP"].size == 17
     position = raw["GPS", "position"].detail
     assert float(position["latitude"]) == 48.5 and abs(float(position["longitude"]) - 11 - 5 / 60) < 1e-12 and "altitude" not in position
     assert [r.detail.get("kind") for r in found["cr3"] if r.name == "uuid"] == ["tiff", "xmp"] and len([r for r in found["cr3"] if r.section == "timestamps"]) == 3
     assert [(r.detail["type"], r.size) for r in found["heic"] if r.section == "items"][1:] == [("mime", 17), ("hvc1", 11)]
-    assert any(r.path == "Exif/IFD0" and r.value == "Jane Artist" for r in found["heic"])
+    assert any(r.place == "Exif/IFD0" and r.value == "Jane Artist" for r in found["heic"])
     assert "bad" not in found
 
 
