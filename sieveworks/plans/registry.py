@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveworks.plans import media, text
+
 FLAGSHIP = "text_clean"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text.QUERIES | media.QUERIES
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = text.ORACLE_SQL | media.ORACLE_SQL

@@ -10,7 +10,7 @@ from sieveworks.operators import inspect
 
 SIMPLE = element("67C8", element("45A3", b"ARTIST"), element("4487", b"Jane\0"), element("67C8", element("45A3", b"SORT"), element("4485", b"\1\2")))
 FILES = {
-    "wav": ("wav", riff(b"WAVE", chunk(b"fmt ", bytes(16)), chunk(b"LIST", b"INFO" + chunk(b"INAM", "Ti​tle".encode() + b"\0")), chunk(b"id3 ", b"x"), chunk(b"data", b"s"))),
+    "wav": ("wav", riff(b"WAVE", chunk(b"fmt ", bytes(16)), chunk(b"LIST", b"INFO" + chunk(b"INAM", "Ti\u200btle".encode() + b"\0")), chunk(b"id3 ", b"x"), chunk(b"data", b"s"))),
     "jpeg": ("jpeg", media.jpeg(segment(0xE1, b"Exif\0\0" + bytes(20)), segment(0xFE, b"a comment"), segment(0xE2, b"ICC_PROFILE..."))),
     "png": ("png", media.png((b"IHDR", bytes(13)), (b"tEXt", b"Title\0my title"), (b"zTXt", b"k\0\0zz"), (b"iTXt", b"k\0\0\0de\0\0hallo"), (b"tIME", b"\x07\xe8\1\2\3\4\5"), (b"eXIf", b"abc"), (b"vpAg", b"x"), (b"IDAT", b"p"), (b"IEND", b""))),
     "gif": ("gif", media.gif(b"\x21\xfe" + media.sub_blocks(b"note " * 100), media.gif_app(b"NETSCAPE2.0", b"\1\0\0"), media.GIF_IMAGE)),
