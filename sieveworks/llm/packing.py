@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ PIECE_WINDOWS = 16
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 #: Entries of a Python worker's cache, of two generations each.
-CACHE = 400_000
+CACHE = 600_000
+#: Documents of a batch, whose distinct runs are looked up together.
+BATCH_ROWS = 1000
 END = 2
 
 
@@ -46,8 +50,8 @@ class WordIds:
     """Ids of texts as little-endian unsigned 16-bit bytes.
 
     The tokenizer drops white space and no rule of it looks across, so a text's ids are those of its runs between
-    spaces and line ends; and a run of letters with or without a mark after it is one or two pre-tokens, which the
-    model takes in lower case.
+    spaces and line ends. It takes all in lower case and never joins a letter with a full stop or comma after it, so
+    these may be split off first; a run of letters is one pre-token, which the model takes as it is.
     """
 
     def __init__(self, tokenizer):
@@ -56,7 +60,7 @@ class WordIds:
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.bytewise = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         self.bytewise |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytewise)}
-        self.words, self.runs = Generations(self.word), Generations(self.run)
+        self.runs = Generations(self.run)
 
     def word(self, lower: str) -> bytes:
         """A pre-token's ids; its bytes are written as the byte-level characters of the vocabulary."""
@@ -64,19 +68,30 @@ class WordIds:
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
 
     def run(self, run: str) -> bytes:
-        if run.isalpha() and max(run) <= "ɏ":
-            return self.words[run.lower()]
-        if run[-1:] in (".", ",") and run[:-1].isalpha() and max(run) <= "ɏ":
-            return self.words[run[:-1].lower()] + self.words[run[-1]]
-        return self.whole(run)
+        if run.isalpha() and max(run) <= "\u024f" and "\u0130" not in run:  # whose lower case is two letters
+            return self.word(run.lower())
+        return self.whole(run) if run else b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def of(self, text: str) -> bytes:
-        if "<|" in text:  # a special string may hold no space, but the library looks for it in the whole text
-            return self.whole(text)
-        return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
+    def of(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text of a batch: its distinct runs are looked up once, and spread over the texts by Arrow."""
+        odd = pc.match_substring(texts, "<|")  # a special string may hold no space: the library looks for it in the whole text
+        plain = pc.if_else(odd, "", texts)
+        plain = pc.replace_substring(pc.ascii_lower(plain), "\n", " ")
+        runs = pc.split_pattern(pc.replace_substring_regex(plain, "([a-z])([.,]) ", "\\1 \\2 "), " ")
+        coded = runs.flatten().dictionary_encode()
+        ids = list(map(self.runs.__getitem__, coded.dictionary.to_pylist()))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 2)])
+        values = pa.array(np.frombuffer(b"".join(ids), "<u2"), pa.uint16())
+        spread = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).take(coded.indices)
+        flat, at = spread.flatten().to_numpy().tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(spread).to_numpy())])
+        at = at[np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy())])] * 2
+        out = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = self.whole(texts[k].as_py())
+        return out
 
 
 _CACHES: dict[str, WordIds] = {}
@@ -93,16 +108,17 @@ def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> Dat
     """(doc_id, start, doc_tokens, ids binary): documents' ids and the end id as unsigned 16-bit, in pieces of at most PIECE_WINDOWS windows."""
     most = PIECE_WINDOWS * window
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last = word_ids(path), np.array([end], "<u2").tobytes()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                data = cache.of(text or "") + last
+            for i, data in zip(batch.column("doc_id").to_pylist(), cache.of(batch.column("text")), strict=True):
+                data += last
                 out += [(i, k, len(data) // 2, data[2 * k : 2 * (k + most)]) for k in range(0, len(data) // 2, most)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "doc_tokens", "ids"])
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, doc_tokens long, ids binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary")
 
 
 class Index:
@@ -207,7 +223,7 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = END, shard_c
     Null and empty texts: the end id alone. Null doc_id: packed like the rest. Repeated rows are packed each. An empty
     table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_ROWS)
     chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     pieces = token_pieces(docs, path, window, end)
