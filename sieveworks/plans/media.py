@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.operators import batch, inspect, strip
 from sieveworks.sources import files, formats, synth
+from sieveworks.sources.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,8 +71,8 @@ def _idempotent(format: str) -> tuple[Query, str]:
     """Cleaning twice gives what cleaning once does, and the text is gone."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        once = strip.strip(media_files(spark, sf_dir, format)).select("doc_id", "format", "bytes_saved", F.col("content_out").alias("content"))
-        twice = strip.strip(once.drop("bytes_saved"))
+        once = strip.strip(media_files(spark, sf_dir, format)).select("doc_id", "format", F.col("content_out").alias("content"))
+        twice = strip.strip(saved(once, f"{format}-once"))
         return twice.select("doc_id", F.coalesce(F.col("content") == F.col("content_out"), F.lit(False)).alias("same"))
 
     return query, "SELECT doc_id, true AS same FROM documents"
