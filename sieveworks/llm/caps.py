@@ -15,7 +15,7 @@ from sieveworks.llm.common import components, saved
 #: Code words of each of the two blocks: a filter is a pair of them.
 CODE_WORDS = 256
 #: Filters that a vector exceeds, on average.
-FILTERS = 16
+FILTERS = 32
 #: Vectors of a bucket that are compared at once.
 BLOCK = 1024
 
