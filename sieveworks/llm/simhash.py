@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm import shingles
 from sieveworks.llm.common import components, saved, small_batches
 
 #: Generator polynomial of the binary Golay code of length 23: x^11+x^9+x^7+x^6+x^5+x+1.
@@ -216,8 +217,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, errors: int = 4, ex
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, errors: int = 4) -> DataFrame:
-    """The documents that are the smallest doc_id of their near-duplicate group; columns as in docs. Rows with null doc_id stay."""
-    groups = near_duplicates(docs, shingle_words, errors)
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents that are the smallest doc_id of their near-duplicate group; columns as in docs. Rows with null doc_id stay.
+
+    Groups are of shingle sets with a Jaccard similarity of at least `similarity`. Fingerprints cannot find these: at 0.8
+    two of them differ in 10 bits on average, and keys for so many errors leave no bits to tell texts apart.
+    """
+    groups = shingles.near_duplicates(docs, shingle_words, similarity)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("sieveworks.llm.queries")
 
-from sieveworks.llm import caps, chroma, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc  # noqa: E402
+from sieveworks.llm import caps, chroma, mixing, packing, shingles, simhash, substring, suffix, tokens, toxicity, warc  # noqa: E402
 from sieveworks.llm.common import components, n_words, saved  # noqa: E402
 from sieveworks.llm.queries import tokenizer_path  # noqa: E402
 
@@ -181,6 +181,40 @@ def test_simhash(docs):
     assert kept.columns == docs.columns and {IDS[40], IDS[41]}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_keep_one_covers_similarity_of_four_fifths(spark):
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        words = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(400)) for _ in range(300)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(300), 1 + k % 9):
+            words[at] = f"new{at}"
+        rows.append((2 * k + 1, " ".join(words)))
+    rows += [(1000, "one two"), (1001, "One  TWO"), (1002, "one three"), (None, rows[0][1]), (1003, None), (1004, " ")]
+
+    def shingled(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = {i: shingled(t) for i, t in rows if i is not None}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    planted = [share[2 * k, 2 * k + 1] for k in range(60)]
+    assert sum(0.8 <= s < 0.95 for s in planted) >= 30 and sum(s < 0.8 for s in planted) >= 10
+    want = groups(sorted(sets), [p for p, s in share.items() if s >= 0.8])
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values())) and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_near_duplicates_compares_all_pairs_of_a_bucket(spark):
+    rng = random.Random(5)
+    rows, words = [], [f"w{k}" for k in range(200)]
+    for k in range(120):  # a chain of texts: each like the last, the ends unlike
+        words[rng.randrange(200)] = f"c{k}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(120), 0)
+    assert shingles.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_simhash_loses_no_link(spark):
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(150)]
