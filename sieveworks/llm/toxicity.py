@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine."""
+"""Toxicity from the nearest labelled examples by the cosine of all their terms."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,139 +21,192 @@ WORD = re.compile(r"\w+")
 MAX_EXAMPLES = 20_000
 #: A word longer than one of these also counts as its stem of so many characters.
 STEMS = (4, 5)
-#: Terms kept: held by more of the toxic than of the other examples, by this chi-square at least.
-MIN_CHI2 = 40.0
-MAX_TERMS = 50_000
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes.
 PRIOR = 0.05
-BLOCK = 64
+#: The commonest terms are a dense matrix, the others postings; texts that are scored together; parts of the terms whose postings are sorted apart.
+DENSE, TEXTS, PARTS = 512, 64, 64
 
 
-def terms(text: str | None) -> dict[str, int]:
-    """Words (lower case) and, marked by a leading ``^``, the stems of long ones, with their counts in the whole text."""
-    words = Counter(WORD.findall((text or "").lower()))
-    found = dict(words)
-    for size in STEMS:
-        for w, n in words.items():
-            if len(w) > size:
-                stem = "^" + w[:size]
-                found[stem] = found.get(stem, 0) + n
-    return found
+@lru_cache(1 << 16)
+def word_terms(word: str) -> tuple[int, ...]:
+    """XXH64 of a word and, marked by a leading ``^``, of its stems if it is long."""
+    found = [word, *("^" + word[:size] for size in STEMS if len(word) > size)]
+    return tuple(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found)
 
 
-class NearestExamples:
-    """A block-max inverted index of labelled examples; bounded by MAX_EXAMPLES and MAX_TERMS.
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a whole text's words (lower case) and stems, ascending, and their counts."""
+    found: dict[int, int] = {}
+    for w, n in Counter(WORD.findall((text or "").lower())).items():
+        for t in word_terms(w):
+            found[t] = found.get(t, 0) + n
+    at, n = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+    order = np.argsort(at)
+    return at[order], n[order]
+
 
-    rows: (doc_id, label, {term: count}) with the kept terms only; idf by term. Examples are numbered with equal
-    vectors together, so that blocks of BLOCK have tight maxima.
+class Vocabulary:
+    """All terms of the examples (hash, ascending) and their weights: idf times the size of the log odds of toxic to other.
+
+    The odds are smoothed by half an example. The weight of a term that a given share of each class holds does not
+    grow with the number of examples, and none is left out but by equal odds, which tell nothing.
     """
 
-    def __init__(self, rows: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], base: float):
-        rows = sorted(((i, y, x) for i, y, x in rows if x), key=lambda r: (sorted(r[2]), r[0]))
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.labels = np.array([r[1] for r in rows], float)
-        self.number = {t: k for k, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.starts = {t[1 : 1 + STEMS[0]] for t in idf if t[0] == "^"}
-        self.base, self.blocks = base, -(-len(rows) // BLOCK)
-        post: list[list[tuple[int, float]]] = [[] for _ in self.number]
-        for k, (_, _, x) in enumerate(rows):
-            at, w = self.vector(x)
-            for t, v in zip(at.tolist(), w.tolist(), strict=True):
-                post[t].append((k, v))
-        self.posts = [(np.array([k for k, _ in p], np.int64), np.array([v for _, v in p])) for p in post]
-        self.cuts = [np.searchsorted(p[0], np.arange(self.blocks + 1) * BLOCK) for p in self.posts]
-        self.maxima = np.zeros((len(self.posts), self.blocks), np.float32)
-        for t, (k, v) in enumerate(self.posts):
-            np.maximum.at(self.maxima[t], k // BLOCK, v.astype(np.float32) * np.float32(1 + 1e-6))
-
-    def known(self, text: str | None) -> dict[str, int]:
-        """The counts of the kept terms among terms(text)."""
-        words, found, kept = Counter(WORD.findall((text or "").lower())), {}, self.number
-        for w, n in words.items():
-            if w in kept:
-                found[w] = n
-            if w[:STEMS[0]] in self.starts:
-                for size in STEMS:
-                    if len(w) > size and (stem := "^" + w[:size]) in kept:
-                        found[stem] = found.get(stem, 0) + n
-        return found
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms and their TF-IDF weights, (1 + log tf) * idf at length 1."""
-        known = [(self.number[t], n) for t, n in counts.items() if t in self.number]
-        at = np.array([k for k, _ in known], np.int64)
-        w = (1 + np.log(np.array([n for _, n in known], float))) * self.idf[at]
+    def __init__(self, hashes: np.ndarray, toxic: np.ndarray, df: np.ndarray, n1: int, n0: int):
+        self.hashes, self.df = hashes, df.astype(np.int32)
+        odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((df - toxic + 0.5) / (n0 + 1))
+        self.weights = (np.log((1 + n1 + n0) / (1 + df)) + 1) * np.abs(odds)
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the known terms and (1 + log tf) * weight at length 1."""
+        if not len(self.hashes):
+            return np.empty(0, np.int64), np.empty(0)
+        k = np.minimum(np.searchsorted(self.hashes, at), len(self.hashes) - 1)
+        known = self.hashes[k] == at
+        k, w = k[known], (1 + np.log(n[known])) * self.weights[k[known]]
         size = math.sqrt(float(w @ w))
-        return at, w / size if size else w
+        return k, w / size if size else w
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest with a cosine over 0, exactly; ties by number.
 
-        A block's bound is the sum of its maxima; blocks are scored by falling bound until the k-th best cosine is
-        above the next bound.
+class NearestExamples:
+    """An inverted index of labelled examples, bounded by MAX_EXAMPLES; postings (example, count) in term order."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, examples: np.ndarray, counts: np.ndarray, base: float):
+        self.ids, self.labels, self.vocabulary, self.base = ids, labels, vocabulary, base
+        self.examples, self.counts, self.dense = examples, counts, None
+
+    def spread(self) -> None:
+        """Weighs the postings and lays out those of the commonest terms, once in each worker."""
+        df = self.vocabulary.df
+        self.starts = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
+        self.weights, squares = np.empty(len(self.examples), np.float32), np.zeros(len(self.ids))
+        cuts = np.linspace(0, len(df), PARTS + 1).astype(int).tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = slice(self.starts[i], self.starts[j])
+            w = (1 + np.log(self.counts[part].astype(float))) * np.repeat(self.vocabulary.weights[i:j], df[i:j])
+            self.weights[part] = w
+            squares += np.bincount(self.examples[part], w * w, len(squares))
+        size = np.sqrt(np.where(squares > 0, squares, 1)).astype(np.float32)
+        for i in range(0, len(self.weights), 1 << 18):
+            self.weights[i : i + (1 << 18)] /= size[self.examples[i : i + (1 << 18)]]
+        top = np.sort(np.argsort(-df, kind="stable")[:DENSE])
+        self.column = np.full(len(df), -1)
+        self.column[top] = np.arange(len(top))
+        self.dense = np.zeros((len(top), len(self.ids)), np.float32)
+        for c, t in enumerate(top.tolist()):
+            part = slice(self.starts[t], self.starts[t + 1])
+            self.dense[c, self.examples[part]] = self.weights[part]
+
+    def cosines(self, texts: list[str | None]) -> np.ndarray:
+        """The cosine, to 6 places, of each text with each example."""
+        if self.dense is None:
+            self.spread()
+        vectors = [self.vocabulary.vector(*terms(t)) for t in texts]
+        x = np.zeros((len(texts), len(self.dense)), np.float32)
+        for row, (k, w) in zip(x, vectors, strict=True):
+            c = self.column[k]
+            row[c[c >= 0]] = w[c >= 0]
+        cos = (x @ self.dense).astype(float)
+        for row, (k, w) in zip(cos, vectors, strict=True):
+            rare = self.column[k] < 0
+            k, w = k[rare], w[rare]
+            n = self.starts[k + 1] - self.starts[k]
+            at = np.arange(n.sum()) + np.repeat(self.starts[k] - np.cumsum(n) + n, n)
+            row += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, n), len(row))
+        return np.round(cos, 6)
+
+    def score(self, texts: list[str | None], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the votes' share of label 1, each neighbour weighing its cosine and the base rate PRIOR; and the evidence.
+
+        Neighbours are the k nearest examples with a cosine over 0; ties by number.
         """
-        bound = w.astype(np.float32) @ self.maxima[at] if len(at) else np.zeros(self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best, cos = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(cos) == k and cos[-1] > bound[b] * (1 + 1e-5):
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                i, j = self.cuts[t][b], self.cuts[t][b + 1]
-                if i < j:
-                    ks, vs = self.posts[t]
-                    score[ks[i:j] - b * BLOCK] += x * vs[i:j]
-            hit = np.flatnonzero(score)
-            best, cos = np.concatenate([best, hit + b * BLOCK]), np.concatenate([cos, score[hit]])
-            top = np.lexsort((best, -cos))[:k]
-            best, cos = best[top], cos[top]
-        return best, cos
-
-    def score(self, counts: dict[str, int], k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        """The votes' share of label 1, each neighbour weighing its cosine and the base rate PRIOR; and the evidence."""
-        at, w = self.vector(counts)
-        best, cos = self.nearest(at, w, k)
-        score = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
-        return min(1.0, max(0.0, score)), self.ids[best], cos
+        for i in range(0, len(texts), TEXTS):
+            part = texts[i : i + TEXTS]
+            for row in self.cosines(part) if len(self.ids) else np.empty((len(part), 0)):
+                least = np.partition(row, -k)[-k] if len(row) > k else 0.0
+                best = np.flatnonzero((row >= least) & (row > 0))
+                best = best[np.lexsort((best, -row[best]))][:k]
+                cos = row[best]
+                score = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
+                yield min(1.0, max(0.0, score)), self.ids[best], cos
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> NearestExamples:
     """The index over labelled, not held-out documents: a sample of at most max_examples, by hash of doc_id.
 
-    Terms are counted on the executors; what reaches the driver is at most MAX_TERMS terms and the examples' counts
-    of those terms.
+    Terms are counted and sorted on the executors; what reaches the driver is the vocabulary and 8 bytes a posting.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, y, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True):
-                if found := terms(text):
-                    yield pd.DataFrame({"doc_id": i, "toxic": y, "term": list(found), "n": list(found.values())})
-
-    joined = docs.select("doc_id", "text").join(known, "doc_id")
-    examples = saved(joined.mapInPandas(counted, "doc_id long, toxic int, term string, n int"), "toxic-terms")
-    sizes = {int(r["toxic"]): r["n"] for r in joined.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
+            found = [tuple(x.tobytes() for x in terms(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [f[0] for f in found], "n": [f[1] for f in found]})
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_examples rows of two numbers
+    rows = joined.mapInPandas(counted, "doc_id long, toxic int, at binary, n binary")
+    rows = saved(rows.select("*", F.xxhash64("at", "n").alias("of"), F.monotonically_increasing_id().alias("row")), "toxic-examples")
+    given = rows.select("doc_id", "of", "row", "toxic").toArrow().to_pandas().sort_values(["doc_id", "of", "row"]).drop_duplicates(["doc_id", "of"])
+    ids, y = given["doc_id"].to_numpy(), given["toxic"].to_numpy()
+    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
     if not n1 or not n0:
-        return NearestExamples([], {}, 1.0 if n1 else 0.0)
-    a, df, n = F.col("a"), F.col("df"), float(n1 + n0)
-    # chi-square of the two by two table of term and label
-    diff = a * (n0 - (df - a)) - (df - a) * (n1 - a)
-    chi2 = n * diff * diff / (df * (n - df) * n1 * float(n0))
-    kept = examples.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    kept = kept.filter((df < n) & (diff > 0)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-    kept = kept.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
-    idf = {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in kept.collect()}
-    rows: dict[int, tuple[int, int, dict[str, int]]] = {}
-    terms_kept = docs.sparkSession.createDataFrame([(t,) for t in idf], "term string")
-    for r in examples.join(terms_kept, "term").select("doc_id", "toxic", "term", "n").toLocalIterator():
-        rows.setdefault(r["doc_id"], (r["doc_id"], r["toxic"], {}))[2][r["term"]] = r["n"]
-    return NearestExamples(list(rows.values()), idf, n1 / n)
+        return NearestExamples(ids[:0], y[:0], Vocabulary(*np.zeros((3, 0), np.uint64), n1, n0), np.empty(0, np.int32), np.empty(0, np.int32), 1.0 if n1 else 0.0)
+    number = docs.sparkSession.sparkContext.broadcast({r: k for k, r in enumerate(given["row"].tolist())})
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["row"].isin(number.value)]
+            parts = [np.frombuffer(at, np.int64) for at in pdf["at"]]
+            if parts:
+                term, back, df = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+                toxic = np.repeat(pdf["toxic"].to_numpy(), [len(p) for p in parts])
+                yield pd.DataFrame({"term": term, "a": np.bincount(back, toxic == 1, len(term)).astype(int), "df": df})
+
+    counts = rows.select("row", "at", "toxic").mapInPandas(held, "term long, a long, df long")
+    counts = counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).toArrow()
+    hashes = counts.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    vocabulary = Vocabulary(hashes[order], counts.column("a").to_numpy()[order], counts.column("df").to_numpy()[order], n1, n0)
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = -(-len(words.value) // PARTS) or 1
+        for pdf in batches:
+            pdf = pdf[pdf["row"].isin(number.value)]
+            at = [np.frombuffer(x, np.uint64) for x in pdf["at"]]
+            if not at:
+                continue
+            term = np.searchsorted(words.value, np.concatenate(at)).astype(np.int32)
+            n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["n"]])
+            example = np.repeat(np.array([number.value[r] for r in pdf["row"].tolist()], np.int32), [len(x) for x in at])
+            order = np.argsort(term, kind="stable")
+            term, example, n = term[order], example[order], n[order]
+            cuts = np.searchsorted(term, np.arange(PARTS + 1) * size)
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                of = slice(cuts[part], cuts[part + 1])
+                steps = np.diff(term[of], prepend=np.int32(0)).astype(np.int32)  # small numbers, which shuffle files compress
+                yield pd.DataFrame({"part": [part], "steps": [steps.tobytes()], "examples": [example[of].tobytes()], "ns": [n[of].tobytes()]})
+
+    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+        term = np.concatenate([np.cumsum(np.frombuffer(x, np.int32)) for x in pdf["steps"]])
+        example, n = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("examples", "ns"))
+        order = np.lexsort((example, term))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "examples": [example[order].tobytes()], "ns": [n[order].tobytes()]})
+
+    posts = rows.select("row", "at", "n").mapInPandas(posted, "part int, steps binary, examples binary, ns binary")
+    parts = posts.groupBy("part").applyInPandas(ordered, "part int, examples binary, ns binary").toArrow().sort_by("part")
+    number.destroy()
+    words.destroy()
+    examples, ns = (_narrow([np.frombuffer(x.as_buffer(), np.int32) for x in parts.column(c)]) for c in ("examples", "ns"))
+    return NearestExamples(ids, (y == 1).astype(float), vocabulary, examples, ns, n1 / (n1 + n0))
+
+
+def _narrow(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in a row, in the smallest unsigned type that holds them all."""
+    kind = np.min_scalar_type(max((int(p.max()) for p in parts if len(p)), default=0))
+    return np.concatenate([p.astype(kind) for p in parts]) if parts else np.empty(0, kind)
 
 
 def held_out(doc_id):
@@ -163,7 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> D
 
     Rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is 0 are held out and never learnt from. A score is the
     cosine-weighted vote of the nearest examples, drawn towards the base rate by a small weight, so a text without any
-    kept term gets the base rate; it comes from the whole text alone. predicted is 1 from 0.5 on.
+    term of the examples gets the base rate; it comes from the whole text alone. predicted is 1 from 0.5 on.
 
     Null and empty texts: the base rate. Null doc_id: scored, held_out null counted as false. Repeated rows: scored
     each; several labels of one id: toxic if one is. No usable label of either class: every score is the share of
@@ -171,12 +226,12 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> D
     """
     spark = docs.sparkSession
     small_batches(spark)
-    index = spark.sparkContext.broadcast(fit(docs, labels))  # at most MAX_EXAMPLES rows of MAX_TERMS terms
+    index = spark.sparkContext.broadcast(fit(docs, labels))  # at most MAX_EXAMPLES rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = index.value
         for pdf in batches:
-            found = [model.score(model.known(t), neighbours) for t in pdf["text"]]
+            found = list(model.score(pdf["text"].tolist(), neighbours))
             evidence = [[{"doc_id": int(i), "cosine": float(c)} for i, c in zip(ids, cos, strict=True)] for _, ids, cos in found]
             p = np.array([f[0] for f in found], float)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype(int), "evidence": evidence})

@@ -338,6 +338,22 @@ def test_toxicity(spark):
     assert toxicity.score(df, marks.limit(0)).filter("score != 0").count() == 0
 
 
+def test_toxicity_keeps_rare_words_and_few_labels(spark):
+    rng = random.Random(21)
+    free = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 5]
+    for n, n_toxic in ((12, 3), (240, 24)):
+        ids, rows = free[: n + 2], []
+        for k, i in enumerate(ids):
+            word = " rareslur" if k < 2 or k == n else " vilescum" if k < n_toxic else ""
+            rows.append((i, prose(30, rng) + word))
+        labels = [(i, int(k < n_toxic)) for k, i in enumerate(ids[:n])]
+        df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+        got = by_id(toxicity.score(df, marks))
+        assert got[ids[n]].score > 1.5 * n_toxic / n and {e.doc_id for e in got[ids[n]].evidence[:2]} == set(ids[:2])
+        assert got[ids[n + 1]].score < got[ids[n]].score
+        assert toxicity.fit(df, marks).ids.tolist() == sorted(ids[:n])
+
+
 # ---- 9: chroma
 
 
