@@ -10,19 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that cross into Python at once: bounds the memory of a batch of long documents.
-ARROW_ROWS = 500
+#: Rows of text that a Python worker handles at once; Arrow batches are bounded by bytes by Spark itself.
+ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder is set for the session.
+    Where neither it nor a checkpoint folder is set, a local session (tests) gets a temporary folder; a cluster, whose
+    executors don't share one, fails.
     """
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given is None:
-        current = spark.sparkContext.getCheckpointDir()
-        given = current or f"file://{tempfile.mkdtemp(prefix='sieveworks-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = f"file://{tempfile.mkdtemp(prefix='sieveworks-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -41,9 +43,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches of texts that Python workers hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most so many rows."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches, small ones put together until there are so many rows."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
