@@ -164,7 +164,6 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, words: int = CODE_
         if held and sum(map(len, held)) > 1:
             yield links(pd.concat(held, ignore_index=True))
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     lists = classes.repartition("class").mapInPandas(listed, "group long, filter int, class long, n long, v array<double>, filters array<int>")
     found = lists.repartition("group", "filter").sortWithinPartitions("group", "filter", "class").mapInPandas(compared, "class long, links long, other long")
     found = saved(found, "cap-links")

@@ -12,7 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import small_batches
 from sieveworks.llm.tokens import load
 
 #: Characters of text to a shard: one task holds one shard's ids and index.
@@ -110,7 +109,7 @@ def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last = word_ids(path), np.array([end], "<u2").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             out = []
             for i, data in zip(batch.column("doc_id").to_pylist(), cache.of(batch.column("text")), strict=True):
                 data += last
@@ -223,7 +222,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = END, shard_c
     Null and empty texts: the end id alone. Null doc_id: packed like the rest. Repeated rows are packed each. An empty
     table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession, BATCH_ROWS)
     chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     pieces = token_pieces(docs, path, window, end)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm import shingles
-from sieveworks.llm.common import components, saved, small_batches
+from sieveworks.llm.common import components, saved, sliced
 
 #: Generator polynomial of the binary Golay code of length 23: x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
@@ -46,10 +46,8 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     """(doc_id, fp long): the SimHash of every whole text. Null texts count as empty: 0."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             fp = np.array([fingerprint(t, shingle_words) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
 

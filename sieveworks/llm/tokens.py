@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import saved, small_batches
+from sieveworks.llm.common import gathered, saved, sliced
 
 #: The byte-level pre-tokenizer's pattern, with its white space spelt out (fixed value of the public tokenizer).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -91,7 +91,7 @@ def frequency_blocks(docs: DataFrame, path: str) -> DataFrame:
             return out
 
         held = 0
-        for pdf in batches:
+        for pdf in sliced(batches):
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 text = text or ""
                 found, n = pre.counted(text)
@@ -123,12 +123,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     Null and empty texts: 0 tokens. Null doc_id and repeated rows: one result row each. An empty table gives an empty
     result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     blocks = saved(frequency_blocks(docs, path), "token-blocks")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, last, n = load(path), None, 0
-        for pdf in batches:
+        for pdf in gathered(batches, 50_000):
             words = pdf["word"].tolist()
             new = list(dict.fromkeys(w for w in words if w != last))
             known = {w: len(tokenizer.encode(w, add_special_tokens=False)) for w in new}
@@ -158,15 +157,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 total = sums[ends] - sums[ends - sizes] + np.asarray(row.special, np.int64)
                 yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in row.doc_ids], "Int64"), "n_bytes": row.n_bytes, "n_tokens": total, "over_limit": total > limit})
 
-    conf, rows = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     words = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     counted = words.repartition("word").sortWithinPartitions("word")
-    conf.set(rows, "50000")
     parts = saved(counted.mapInPandas(pieces, "block long, size int, pieces binary"), "token-pieces")
-    conf.set(rows, "1")
     parts = parts.groupBy("block").agg(F.collect_list(F.struct("size", "pieces")).alias("parts"))
     joined = blocks.withColumn("n_words", F.size("words")).drop("words").join(parts, "block", "left")
     result = joined.mapInPandas(totals, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-    result = saved(result, "token-counts")
-    small_batches(docs.sparkSession)
-    return result
+    return saved(result, "token-counts")

@@ -13,11 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import saved, small_batches
+from sieveworks.llm.common import saved, sliced
 
 #: An archive is closed past this size, and an index block after so many lines.
 ARCHIVE_BYTES = 64 << 20
 BLOCK_LINES = 1000
+#: Records that a task holds at once on reading.
+RECORDS = 200
 CAPTURED = "2020-01-01T00:00:00Z"
 ID = "urn:sieveworks:page:"
 INDEX = "key string, page_id long, url string, file string, offset long, length long"
@@ -91,7 +93,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         task, number, out, name, at = TaskContext.get(), 0, None, "", 0
         try:
-            for pdf in batches:
+            for pdf in sliced(batches):
                 rows = []
                 for page, url, payload, digest, refers in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["digest"], pdf["refers_to"], strict=True):
                     if out is None or at > ARCHIVE_BYTES:
@@ -181,7 +183,7 @@ def read_all(directory: DataFrame, index_folder: str, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _opened(folder)
-        for pdf in batches:
+        for pdf in sliced(batches, RECORDS):
             found = _ranged(fs, base, zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True))
             out = pd.DataFrame([parse_record(x) for x in found], columns=[c.split()[0] for c in RECORD.split(", ")])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -240,7 +242,6 @@ def round_trip(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     Null page_id: a response, its id null on reading. Null url: no target URI, key empty. Repeated rows: a record
     each. Line ends in a url are percent-encoded. An empty table gives an empty result; other columns are ignored.
     """
-    small_batches(pages.sparkSession, 200)
     captures = write_archives(with_revisits(pages, least), f"{folder}/archive")
     directory = write_index(captures, f"{folder}/index")
     return read_all(directory, f"{folder}/index", f"{folder}/archive")

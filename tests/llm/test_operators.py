@@ -54,11 +54,11 @@ def by_id(df, key="doc_id"):
 
 
 def test_substring(spark, docs):
-    sentences, words = 2, 10
-    got = by_id(substring.dedup(docs, sentences, words))
+    sentences, words, long = 2, 10, 14
+    got = by_id(substring.dedup(docs, sentences, words, long))
 
     def cut(text):
-        ends = [m.end() for m in re.finditer(r"[.!?,;:]+\s+|\n\s*", text)]
+        ends = [m.end() for m in re.finditer(r"[.!?]+\s+|\n\s*", text)]
         bounds = sorted({0, *ends, len(text)})
         return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
@@ -68,7 +68,7 @@ def test_substring(spark, docs):
         for a in range(len(parts)):
             for b in range(a + 1, len(parts) + 1):
                 found = "".join(parts[a:b]).split()
-                if b - a >= sentences and len(found) >= words:
+                if (b - a >= sentences and len(found) >= words) or (b == a + 1 and len(found) >= long):
                     key = " ".join(found)
                     if seen.setdefault(key, (i, a)) != (i, a):
                         marks[i] |= set(range(a, b))
@@ -82,6 +82,25 @@ def test_substring(spark, docs):
     assert substring.dedup(spark.createDataFrame([(None, "a b. c d."), (None, None)], "doc_id long, text string")).count() == 2
 
 
+PASSAGE = ". ".join(" ".join(f"w{n}x{k}" for k in range(12)) for n in range(6)) + ". "
+
+
+def test_substring_of_repeated_ids_and_odd_columns(spark):
+    own = "Nothing of this is anywhere else at all, it stands alone. " * 1
+    rows = [(1, PASSAGE, "a"), (1, PASSAGE, "b"), (1, own + "More words that are only here, and no others do come. ", "c"), (2, own[:0] + "Start of two. " + PASSAGE, "d"), (None, PASSAGE, "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans string").withColumns({c: F.col("_spans") for c in ("spans", "row", "cut", "h", "version", "n_removed")})
+    got = {r["_spans"]: r for r in substring.dedup(df).collect()}
+    assert len(got) == 6 and got["a"].text == got["b"].text == got["e"].text == PASSAGE and got["f"].text is None
+    assert got["c"].text == rows[2][1] and got["d"].text == "Start of two. " and got["d"].spans == got["d"].version == "d" and got["d"].n_removed == 6
+
+
+def test_substring_of_one_long_sentence_and_a_hot_span(spark):
+    long = " ".join(f"u{k}" for k in range(60)) + ".\n"
+    rows = [(k, f"Begin {k} {k * k}.\n{long}End of {k}, {k + 7}.") for k in range(1500)]
+    got = by_id(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert got[0].n_removed == 0 and all(got[k].n_removed == 1 and got[k].text == f"Begin {k} {k * k}.\nEnd of {k}, {k + 7}." for k in range(1, 1500))
+
+
 # ---- 2: packing
 
 
@@ -255,6 +274,28 @@ def test_suffix(docs, length):
     assert suffix.dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, "x" + PASSAGE), (3, "alone " * 3), (3, "other"), (None, PASSAGE), (None, None)], "doc_id long, text string")
+    rows = suffix.dedup(df).collect()
+    n = len(PASSAGE)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, 0, 0), (0, n, 0), (1, n, 0), (1, n, n), (2, n + 1, n), (3, 5, 0), (3, 18, 0)]
+    two = spark.createDataFrame([(7, PASSAGE + "one"), (7, "two" + PASSAGE)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix.dedup(two).collect()) == [0, n]
+
+
+def test_suffix_splits_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 40)
+    monkeypatch.setattr(suffix, "PACKED", 4)
+    rng, phrase = random.Random(31), "every text holds this phrase of over forty bytes "
+    texts = [prose(12, rng) + phrase + prose(12, rng) for _ in range(150)]
+    texts += [texts[k][20:] + str(k) for k in range(0, 150, 7)] + [phrase * 9, "a" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(suffix.dedup(df))
+    for i, want in enumerate(plain_removed(texts, 100)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want, i
+
+
 def test_previous_factors():
     data = b"abracadabra abracadabra"
     order = sorted(range(len(data)), key=lambda k: data[k:])
