@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by the cosine of all their terms."""
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -14,226 +14,230 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import saved
+from sieveworks.llm.common import saved, sliced
 
 WORD = re.compile(r"\w+")
 #: Labelled rows that a fit uses at most, those with the smallest hash of their id.
-MAX_EXAMPLES = 20_000
-#: A word longer than one of these also counts as its stem of so many characters.
-STEMS = (4, 5)
+MAX_EXAMPLES = 8_000
+#: One in so many of them is left out of a first index, to calibrate the votes.
+FOLDS = 5
 NEIGHBOURS = 15
-#: Weight of the base rate among the votes.
-PRIOR = 0.05
-#: The commonest terms are a dense matrix, the others postings; texts that are scored together; parts of the terms whose postings are sorted apart.
-DENSE, TEXTS, PARTS = 512, 64, 64
+#: Weight of the base rate among the votes, and of the identity in the calibration, in rows.
+PRIOR, STEADY = 0.05, 4.0
+#: Examples of a block, and postings that a query reads before it first looks at what can still be reached.
+BLOCK, FIRST = 64, 4096
 
 
-@lru_cache(1 << 16)
-def word_terms(word: str) -> tuple[int, ...]:
-    """XXH64 of a word and, marked by a leading ``^``, of its stems if it is long."""
-    found = [word, *("^" + word[:size] for size in STEMS if len(word) > size)]
-    return tuple(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in found)
+@lru_cache(1 << 18)
+def term(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a whole text's words (lower case) and stems, ascending, and their counts."""
-    found: dict[int, int] = {}
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        for t in word_terms(w):
-            found[t] = found.get(t, 0) + n
+    """The hashes of a whole text's words in lower case, ascending, and their counts."""
+    found = Counter(map(term, WORD.findall((text or "").lower())))
     at, n = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int32, len(found))
     order = np.argsort(at)
     return at[order], n[order]
 
 
-class Vocabulary:
-    """All terms of the examples (hash, ascending) and their weights: idf times the size of the log odds of toxic to other.
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
-    The odds are smoothed by half an example. The weight of a term that a given share of each class holds does not
-    grow with the number of examples, and none is left out but by equal odds, which tell nothing.
+
+class NearestExamples:
+    """An inverted index of the labelled examples, all terms of each; postings hold weights at length 1, blocks their largest.
+
+    A term weighs its idf times the size of its class log odds, smoothed by half an example: the weight of a term that
+    a given share of each class holds does not grow with the number of examples. Both classes' terms weigh alike.
+    Examples are numbered by label and id, so that the blocks of BLOCK examples are alike.
     """
 
-    def __init__(self, hashes: np.ndarray, toxic: np.ndarray, df: np.ndarray, n1: int, n0: int):
-        self.hashes, self.df = hashes, df.astype(np.int32)
-        odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((df - toxic + 0.5) / (n0 + 1))
-        self.weights = (np.log((1 + n1 + n0) / (1 + df)) + 1) * np.abs(odds)
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, at: list[np.ndarray], n: list[np.ndarray]):
+        order = np.lexsort((ids, labels))
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        n1 = int(self.labels.sum())
+        n0 = len(ids) - n1
+        # below a half where both classes are equally common: a text that no example is like is no case
+        self.base = n1 / (n1 + n0 + 1)
+        self.slope, self.shift = 1.0, 0.0
+        if not n1 or not n0:
+            self.ids, self.labels, order = self.ids[:0], self.labels[:0], order[:0]
+        sizes = np.array([len(at[k]) for k in order], np.int64)
+        flat = np.concatenate([at[k] for k in order]) if len(order) else np.empty(0, np.uint64)
+        self.hashes, posted = np.unique(flat, return_inverse=True)
+        example = np.repeat(np.arange(len(order)), sizes)
+        df = np.bincount(posted, minlength=len(self.hashes))
+        a = np.bincount(posted, self.labels[example], len(self.hashes))
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((df - a + 0.5) / (n0 + 1))
+        self.idf = (np.log((1 + n1 + n0) / (1 + df)) + 1) * np.abs(odds)
+        counts = np.concatenate([n[k] for k in order]) if len(order) else np.empty(0)
+        w = (1 + np.log(counts)) * self.idf[posted]
+        norm = np.sqrt(np.bincount(example, w * w, len(order)))
+        weights = (w / np.where(norm > 0, norm, 1)[example]).astype(np.float32)
+        order = np.lexsort((example, posted))
+        self.starts = np.concatenate([[0], np.cumsum(df)])
+        self.examples, self.weights = example[order].astype(np.int32), weights[order]
+        self.ready = False
+
+    def open(self) -> None:
+        """The parts that follow from the postings, made once in each worker: block maxima, term maxima, the examples' own terms."""
+        posted = np.repeat(np.arange(len(self.hashes), dtype=np.int32), np.diff(self.starts))
+        block = self.examples // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (posted[1:] != posted[:-1]) | (block[1:] != block[:-1])])) if len(posted) else np.empty(0, np.int64)
+        self.block, self.block_max = block[first], np.maximum.reduceat(self.weights, first) if len(first) else self.weights
+        self.block_starts = np.searchsorted(posted[first], np.arange(len(self.hashes) + 1))
+        self.top = np.maximum.reduceat(self.weights, self.starts[:-1]) if len(posted) else self.weights
+        order = np.argsort(self.examples, kind="stable")
+        self.own_terms, self.own_weights = posted[order], self.weights[order]
+        self.own_starts = np.searchsorted(self.examples[order], np.arange(len(self.ids) + 1))
+        self.query = np.zeros(len(self.hashes))
+        self.ready = True
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the known terms and (1 + log tf) * weight at length 1."""
-        if not len(self.hashes):
-            return np.empty(0, np.int64), np.empty(0)
-        k = np.minimum(np.searchsorted(self.hashes, at), len(self.hashes) - 1)
-        known = self.hashes[k] == at
-        k, w = k[known], (1 + np.log(n[known])) * self.weights[k[known]]
+        """Numbers of the terms that examples hold and their weights at length 1."""
+        k = np.minimum(np.searchsorted(self.hashes, at), max(len(self.hashes) - 1, 0))
+        known = self.hashes[k] == at if len(self.hashes) else np.zeros(len(at), bool)
+        k, w = k[known], (1 + np.log(n[known])) * self.idf[k[known]] if known.any() else np.empty(0)
         size = math.sqrt(float(w @ w))
         return k, w / size if size else w
 
+    def nearest(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest cosine over 0 (to 6 places; ties by number) and their cosines, exactly.
 
-class NearestExamples:
-    """An inverted index of labelled examples, bounded by MAX_EXAMPLES; postings (example, count) in term order."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vocabulary: Vocabulary, examples: np.ndarray, counts: np.ndarray, base: float):
-        self.ids, self.labels, self.vocabulary, self.base = ids, labels, vocabulary, base
-        self.examples, self.counts, self.dense = examples, counts, None
-
-    def spread(self) -> None:
-        """Weighs the postings and lays out those of the commonest terms, once in each worker."""
-        df = self.vocabulary.df
-        self.starts = np.concatenate([[0], np.cumsum(df, dtype=np.int64)])
-        self.weights, squares = np.empty(len(self.examples), np.float32), np.zeros(len(self.ids))
-        cuts = np.linspace(0, len(df), PARTS + 1).astype(int).tolist()
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            part = slice(self.starts[i], self.starts[j])
-            w = (1 + np.log(self.counts[part].astype(float))) * np.repeat(self.vocabulary.weights[i:j], df[i:j])
-            self.weights[part] = w
-            squares += np.bincount(self.examples[part], w * w, len(squares))
-        size = np.sqrt(np.where(squares > 0, squares, 1)).astype(np.float32)
-        for i in range(0, len(self.weights), 1 << 18):
-            self.weights[i : i + (1 << 18)] /= size[self.examples[i : i + (1 << 18)]]
-        top = np.sort(np.argsort(-df, kind="stable")[:DENSE])
-        self.column = np.full(len(df), -1)
-        self.column[top] = np.arange(len(top))
-        self.dense = np.zeros((len(top), len(self.ids)), np.float32)
-        for c, t in enumerate(top.tolist()):
-            part = slice(self.starts[t], self.starts[t + 1])
-            self.dense[c, self.examples[part]] = self.weights[part]
-
-    def cosines(self, texts: list[str | None]) -> np.ndarray:
-        """The cosine, to 6 places, of each text with each example."""
-        if self.dense is None:
-            self.spread()
-        vectors = [self.vocabulary.vector(*terms(t)) for t in texts]
-        x = np.zeros((len(texts), len(self.dense)), np.float32)
-        for row, (k, w) in zip(x, vectors, strict=True):
-            c = self.column[k]
-            row[c[c >= 0]] = w[c >= 0]
-        cos = (x @ self.dense).astype(float)
-        for row, (k, w) in zip(cos, vectors, strict=True):
-            rare = self.column[k] < 0
-            k, w = k[rare], w[rare]
-            n = self.starts[k + 1] - self.starts[k]
-            at = np.arange(n.sum()) + np.repeat(self.starts[k] - np.cumsum(n) + n, n)
-            row += np.bincount(self.examples[at], self.weights[at] * np.repeat(w, n), len(row))
-        return np.round(cos, 6)
-
-    def score(self, texts: list[str | None], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """For each text the votes' share of label 1, each neighbour weighing its cosine and the base rate PRIOR; and the evidence.
-
-        Neighbours are the k nearest examples with a cosine over 0; ties by number.
+        Terms are read by how much they can add. Once what is left can lift no new example among the nearest, the
+        block maxima of the terms left bound each example; those that may still be among the nearest get their cosine
+        from their own terms.
         """
-        for i in range(0, len(texts), TEXTS):
-            part = texts[i : i + TEXTS]
-            for row in self.cosines(part) if len(self.ids) else np.empty((len(part), 0)):
-                least = np.partition(row, -k)[-k] if len(row) > k else 0.0
-                best = np.flatnonzero((row >= least) & (row > 0))
-                best = best[np.lexsort((best, -row[best]))][:k]
-                cos = row[best]
-                score = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
-                yield min(1.0, max(0.0, score)), self.ids[best], cos
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> NearestExamples:
+        if not self.ready:
+            self.open()
+        t, w = self.vector(at, n)
+        bound = w * self.top[t] if len(t) else w
+        order = np.argsort(-bound, kind="stable")
+        t, w = t[order], w[order]
+        rest = np.cumsum(bound[order][::-1])[::-1]
+        size = self.starts[t + 1] - self.starts[t]
+        read = np.concatenate([[0], np.cumsum(size)])
+        score, done, least, step = np.zeros(len(self.ids)), 0, 0.0, FIRST
+        while done < len(t) and rest[done] >= least:
+            stop = max(done + 1, int(np.searchsorted(read, read[done] + step, "right")) - 1)
+            part = slice(done, stop)
+            of = _spread(self.starts[t[part]], size[part])
+            score += np.bincount(self.examples[of], self.weights[of] * np.repeat(w[part], size[part]), len(score))
+            done, step = stop, step * 4
+            least = float(np.partition(score, -k)[-k]) * (1 - 1e-5) if len(score) > k else 0.0
+        reach = score
+        if done < len(t):
+            part = t[done:]
+            n_blocks = self.block_starts[part + 1] - self.block_starts[part]
+            of = _spread(self.block_starts[part], n_blocks)
+            more = np.bincount(self.block[of], self.block_max[of] * np.repeat(w[done:], n_blocks), len(score) // BLOCK + 1)
+            reach = score + more[np.arange(len(score)) // BLOCK]
+        may = np.flatnonzero((reach >= least) & (reach > 0))
+        self.query[t] = w
+        n_own = self.own_starts[may + 1] - self.own_starts[may]
+        of = _spread(self.own_starts[may], n_own)
+        cos = np.round(np.bincount(np.repeat(np.arange(len(may)), n_own), self.own_weights[of] * self.query[self.own_terms[of]], len(may)), 6)
+        self.query[t] = 0
+        best = np.lexsort((may, -cos))[:k]
+        best = best[cos[best] > 0]
+        return may[best], cos[best]
+
+    def vote(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of label 1 among the nearest, each weighing its cosine and the base rate PRIOR; and the evidence."""
+        best, cos = self.nearest(at, n, k)
+        share = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
+        return min(1.0, max(0.0, share)), self.ids[best], cos
+
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift)))
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def calibration(share: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes to probabilities; few rows keep it near the identity."""
+    x, theta = np.stack([_logit(share), np.ones(len(share))], axis=1), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ theta)))
+        slope = x.T @ (p - label) + STEADY * (theta - (1.0, 0.0))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + STEADY * np.eye(2)
+        theta = theta - np.linalg.solve(curve, slope)
+    return max(float(theta[0]), 0.0), float(theta[1])
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> NearestExamples:
     """The index over labelled, not held-out documents: a sample of at most max_examples, by hash of doc_id.
 
-    Terms are counted and sorted on the executors; what reaches the driver is the vocabulary and 8 bytes a posting.
+    A first index leaves out one in FOLDS of the examples; how its votes on these go with their labels gives the
+    calibration. The index itself holds all examples.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_examples rows of two numbers
+    # rows that repeat an id: the text with the smallest hash is its example
+    one = joined.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             found = [tuple(x.tobytes() for x in terms(t)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [f[0] for f in found], "n": [f[1] for f in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [f[0] for f in found], "n": [f[1] for f in found]}, index=pdf.index)
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_examples rows of two numbers
-    rows = joined.mapInPandas(counted, "doc_id long, toxic int, at binary, n binary")
-    rows = saved(rows.select("*", F.xxhash64("at", "n").alias("of"), F.monotonically_increasing_id().alias("row")), "toxic-examples")
-    given = rows.select("doc_id", "of", "row", "toxic").toArrow().to_pandas().sort_values(["doc_id", "of", "row"]).drop_duplicates(["doc_id", "of"])
-    ids, y = given["doc_id"].to_numpy(), given["toxic"].to_numpy()
-    n1, n0 = int((y == 1).sum()), int((y != 1).sum())
-    if not n1 or not n0:
-        return NearestExamples(ids[:0], y[:0], Vocabulary(*np.zeros((3, 0), np.uint64), n1, n0), np.empty(0, np.int32), np.empty(0, np.int32), 1.0 if n1 else 0.0)
-    number = docs.sparkSession.sparkContext.broadcast({r: k for k, r in enumerate(given["row"].tolist())})
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["row"].isin(number.value)]
-            parts = [np.frombuffer(at, np.int64) for at in pdf["at"]]
-            if parts:
-                term, back, df = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-                toxic = np.repeat(pdf["toxic"].to_numpy(), [len(p) for p in parts])
-                yield pd.DataFrame({"term": term, "a": np.bincount(back, toxic == 1, len(term)).astype(int), "df": df})
-
-    counts = rows.select("row", "at", "toxic").mapInPandas(held, "term long, a long, df long")
-    counts = counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("df").alias("df")).toArrow()
-    hashes = counts.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    vocabulary = Vocabulary(hashes[order], counts.column("a").to_numpy()[order], counts.column("df").to_numpy()[order], n1, n0)
-    words = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
-
-    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = -(-len(words.value) // PARTS) or 1
-        for pdf in batches:
-            pdf = pdf[pdf["row"].isin(number.value)]
-            at = [np.frombuffer(x, np.uint64) for x in pdf["at"]]
-            if not at:
-                continue
-            term = np.searchsorted(words.value, np.concatenate(at)).astype(np.int32)
-            n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["n"]])
-            example = np.repeat(np.array([number.value[r] for r in pdf["row"].tolist()], np.int32), [len(x) for x in at])
-            order = np.argsort(term, kind="stable")
-            term, example, n = term[order], example[order], n[order]
-            cuts = np.searchsorted(term, np.arange(PARTS + 1) * size)
-            for part in np.flatnonzero(np.diff(cuts)).tolist():
-                of = slice(cuts[part], cuts[part + 1])
-                steps = np.diff(term[of], prepend=np.int32(0)).astype(np.int32)  # small numbers, which shuffle files compress
-                yield pd.DataFrame({"part": [part], "steps": [steps.tobytes()], "examples": [example[of].tobytes()], "ns": [n[of].tobytes()]})
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        term = np.concatenate([np.cumsum(np.frombuffer(x, np.int32)) for x in pdf["steps"]])
-        example, n = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("examples", "ns"))
-        order = np.lexsort((example, term))
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "examples": [example[order].tobytes()], "ns": [n[order].tobytes()]})
-
-    posts = rows.select("row", "at", "n").mapInPandas(posted, "part int, steps binary, examples binary, ns binary")
-    parts = posts.groupBy("part").applyInPandas(ordered, "part int, examples binary, ns binary").toArrow().sort_by("part")
-    number.destroy()
-    words.destroy()
-    examples, ns = (_narrow([np.frombuffer(x.as_buffer(), np.int32) for x in parts.column(c)]) for c in ("examples", "ns"))
-    return NearestExamples(ids, (y == 1).astype(float), vocabulary, examples, ns, n1 / (n1 + n0))
-
-
-def _narrow(parts: list[np.ndarray]) -> np.ndarray:
-    """The parts in a row, in the smallest unsigned type that holds them all."""
-    kind = np.min_scalar_type(max((int(p.max()) for p in parts if len(p)), default=0))
-    return np.concatenate([p.astype(kind) for p in parts]) if parts else np.empty(0, kind)
+    rows = one.mapInPandas(counted, "doc_id long, toxic int, at binary, n binary")
+    rows = saved(rows.withColumn("left", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) == 0), "toxic-examples")
+    given = rows.toArrow().to_pandas()  # the bounded sample
+    given["toxic"] = given["toxic"] == 1
 
+    def indexed(some: pd.DataFrame) -> NearestExamples:
+        return NearestExamples(some["doc_id"].to_numpy(), some["toxic"].to_numpy(), [np.frombuffer(x, np.uint64) for x in some["at"]], [np.frombuffer(x, np.int32) for x in some["n"]])
 
-def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    whole = indexed(given)
+    first = docs.sparkSession.sparkContext.broadcast(indexed(given[~given["left"]]))
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shares = [first.value.vote(np.frombuffer(at, np.uint64), np.frombuffer(n, np.int32), neighbours)[0] for at, n in zip(pdf["at"], pdf["n"], strict=True)]
+            yield pd.DataFrame({"share": shares, "label": pdf["toxic"] == 1})
+
+    left = rows.filter("left").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(votes, "share double, label boolean").toPandas()
+    first.destroy()
+    if len(whole.ids):
+        whole.slope, whole.shift = calibration(left["share"].to_numpy(float), left["label"].to_numpy(float))
+    return whole
 
 
 def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence array<struct<doc_id, cosine>>) of every row of docs.
 
     Rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is 0 are held out and never learnt from. A score is the
-    cosine-weighted vote of the nearest examples, drawn towards the base rate by a small weight, so a text without any
-    term of the examples gets the base rate; it comes from the whole text alone. predicted is 1 from 0.5 on.
-
-    Null and empty texts: the base rate. Null doc_id: scored, held_out null counted as false. Repeated rows: scored
-    each; several labels of one id: toxic if one is. No usable label of either class: every score is the share of
-    label 1 (0 without labels). Other columns are ignored.
+    cosine-weighted vote of the nearest examples, drawn towards the base rate by a small weight and calibrated on
+    learnt rows that a first index left out; it comes from the whole text alone. predicted is 1 from 0.5 on. The
+    evidence are the neighbours.
+
+    Null and empty texts, and those without any term of the examples: the base rate. Null doc_id: scored,
+    held_out null counted as false. Repeated rows: scored each; several labels of one id: toxic if one is. Without
+    labels of both classes every score is the share of label 1 (of n + 1 labels, so 0 without labels). Other columns
+    are ignored.
     """
     spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(fit(docs, labels))  # at most MAX_EXAMPLES rows
+    index = spark.sparkContext.broadcast(fit(docs, labels, neighbours=neighbours))  # at most MAX_EXAMPLES examples
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = index.value
-        for pdf in batches:
-            found = list(model.score(pdf["text"].tolist(), neighbours))
+        for pdf in sliced(batches):
+            found = [model.vote(*terms(t), neighbours) for t in pdf["text"]]
             evidence = [[{"doc_id": int(i), "cosine": float(c)} for i, c in zip(ids, cos, strict=True)] for _, ids, cos in found]
-            p = np.array([f[0] for f in found], float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype(int), "evidence": evidence})
+            share = np.array([f[0] for f in found], float)
+            p = np.where([len(f[1]) > 0 for f in found], model.calibrated(share), share)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype(int), "evidence": evidence}, index=pdf.index)
 
     scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double>>")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")

@@ -10,6 +10,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -379,10 +380,38 @@ def test_toxicity(spark):
     assert toxicity.score(df, marks.limit(0)).filter("score != 0").count() == 0
 
 
+def test_toxicity_finds_the_nearest_examples_exactly(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIRST", 50)
+    rng = random.Random(17)
+    texts = [prose(rng.randrange(3, 60), rng) + "".join(f" rare{rng.randrange(300)}" for _ in range(rng.randrange(6))) for _ in range(900)]
+    labels = np.array([rng.random() < 0.3 for _ in texts])
+    found = [toxicity.terms(t) for t in texts]
+    index = toxicity.NearestExamples(np.arange(900), labels, [f[0] for f in found], [f[1] for f in found])
+    words = [Counter(re.findall(r"\w+", t.lower())) for t in texts]
+    df, a = Counter(w for c in words for w in c), Counter(w for c, y in zip(words, labels, strict=True) if y for w in c)
+    n1, n0 = int(labels.sum()), int((~labels).sum())
+    weight = {w: (math.log(901 / (1 + n)) + 1) * abs(math.log((a[w] + 0.5) / (n1 + 1)) - math.log((n - a[w] + 0.5) / (n0 + 1))) for w, n in df.items()}
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in c.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [vector(c) for c in words]
+    for text in [*texts[:20], prose(50, rng) + " rare7 rare7 unknown", "unknown", ""]:
+        q = vector(Counter(re.findall(r"\w+", text.lower())))
+        cos = sorted((sum(x * v.get(w, 0) for w, x in q.items()) for v in vectors), reverse=True)[:15]
+        ids, got = index.nearest(*toxicity.terms(text), 15)
+        want = [c for c in cos if c > 5e-7]
+        assert len(got) == len(want) and np.allclose(got, want, atol=2e-6)
+        numbers = index.ids[ids]
+        assert np.allclose([sum(x * vectors[i].get(w, 0) for w, x in q.items()) for i in numbers], got, atol=2e-6)
+
+
 def test_toxicity_keeps_rare_words_and_few_labels(spark):
     rng = random.Random(21)
     free = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 5]
-    for n, n_toxic in ((12, 3), (240, 24)):
+    for n, n_toxic in ((12, 3), (20, 10), (240, 24)):
         ids, rows = free[: n + 2], []
         for k, i in enumerate(ids):
             word = " rareslur" if k < 2 or k == n else " vilescum" if k < n_toxic else ""
@@ -390,9 +419,21 @@ def test_toxicity_keeps_rare_words_and_few_labels(spark):
         labels = [(i, int(k < n_toxic)) for k, i in enumerate(ids[:n])]
         df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
         got = by_id(toxicity.score(df, marks))
-        assert got[ids[n]].score > 1.5 * n_toxic / n and {e.doc_id for e in got[ids[n]].evidence[:2]} == set(ids[:2])
-        assert got[ids[n + 1]].score < got[ids[n]].score
-        assert toxicity.fit(df, marks).ids.tolist() == sorted(ids[:n])
+        assert got[ids[n]].score > got[ids[n + 1]].score and {e.doc_id for e in got[ids[n]].evidence[:2]} == set(ids[:2])
+        assert sorted(toxicity.fit(df, marks).ids.tolist()) == sorted(ids[:n])
+
+
+def test_toxicity_with_balanced_labels_leaves_clean_texts_alone(spark):
+    rng = random.Random(22)
+    free = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 5][:120]
+    marked = {i: k % 2 for k, i in enumerate(free)}
+    rows = [(i, prose(40, rng) + (" hatefool trashidiot" if y else "")) for i, y in marked.items()] + [(500, None), (501, "unheard words alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(list(marked.items()), "doc_id long, toxic int")
+    got = by_id(toxicity.score(df, marks))
+    assert [i for i, y in marked.items() if got[i].predicted != y] == [] and got[500].predicted == got[501].predicted == 0
+    one = toxicity.score(df.union(df.limit(3)), marks.filter("toxic = 1")).filter("predicted = 0").count()
+    assert one == 0
 
 
 # ---- 9: chroma
