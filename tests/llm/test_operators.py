@@ -355,6 +355,49 @@ def test_caps(spark):
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def exact_links(rows, threshold=0.93):
+    vec = [caps.unit(v) for _, v, _ in rows]
+    return [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][2] is not None and rows[a][2] == rows[b][2] and vec[a] is not None and vec[b] is not None and len(vec[a]) == len(vec[b]) and float(vec[a] @ vec[b]) >= threshold]
+
+
+def test_caps_in_few_dimensions_and_with_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    for dim in (1, 2, 5):
+        rows = [(k % 500, rng.normal(size=dim).tolist(), 1) for k in range(700)]
+        got = caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        links = Counter(k for pair in exact_links(rows) for k in pair)
+        want = Counter((rows[k][0], links[k]) for k in range(700))
+        have = Counter((r.vec_id, r.n_links) for r in got)
+        assert sum(have.values()) == 700 and sum((have & want).values()) >= 0.9 * 700, dim
+        assert sum(k[1] * n for k, n in have.items()) >= 0.95 * sum(links.values())
+
+
+@pytest.mark.parametrize("dim", [32, 64, 384])
+def test_caps_recall_just_above_the_threshold(spark, dim):
+    rng = np.random.default_rng(dim)
+    x, z = (rng.normal(size=(1500, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.94, size=(1500, 1))
+    rows = [(k, v, 3) for k, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).tolist())]
+    got = by_id(caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert sum(got[k].n_links >= 1 for k in range(1500)) >= 0.93 * 1500
+    assert sum(r.n_links for r in got.values()) <= 2 * 1500 + 2
+
+
+def test_caps_cuts_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(caps, "SPLIT", 20)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=48)
+    rows = [(k, (centre + rng.normal(size=48) * (0.2 if k % 3 else 2.0)).tolist(), k % 2) for k in range(640)]
+    got = by_id(caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    links = exact_links(rows)
+    n, comp = Counter(k for pair in links for k in pair), groups(range(640), links)
+    assert all(got[k].n_links <= n[k] for k in range(640)) and sum(got[k].n_links for k in range(640)) >= 0.97 * sum(n.values())
+    assert sum(got[k].component_id == comp[k] for k in range(640)) >= 630
+
+
 # ---- 8: toxicity
 
 
