@@ -201,12 +201,16 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
     """
     met: set[int] = set()
     out: list[tuple] = []
+    ranges: list[list[int]] = []
     names = [c.split()[0] for c in _CONTEXT.split(", ")]
 
     def put(h: int, doc: int, row: int, at: int, ctx: bytes) -> None:
         name = xxhash.xxh3_128_intdigest(ctx)
         if name in met:
-            out.append(((doc * 31 + at) & 0x7FFFFFFFFFFFFFFF, doc, row, at, len(ctx), None))
+            if ranges and at <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], at + len(ctx))
+            else:
+                ranges.append([at, at + len(ctx)])
             return
         if len(met) >= REMEMBERED:
             met.clear()
@@ -215,7 +219,7 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
 
     for pdf in sliced(batches):
         for doc, row, data, runs in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["data"], pdf["runs"], strict=True):
-            data = bytes(data)
+            data, ranges = bytes(data), []
             for at, h, n in sorted((x["at"], x["h"], x["n"]) for x in runs):
                 if n > 0:
                     put(h, doc, row, at, data[at : at + n - 1 + length])
@@ -223,6 +227,7 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
                 for k in range(at, at - n):
                     window = data[k : k + length]
                     put(h ^ (xxhash.xxh64_intdigest(window) >> 1), doc, row, k, window)
+            out.extend(((doc * 31 + a) & 0x7FFFFFFFFFFFFFFF, doc, row, a, b - a, None) for a, b in ranges)
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=names)
                 out.clear()
@@ -293,7 +298,7 @@ def removed_ranges(texts: DataFrame, every: DataFrame, length: int) -> DataFrame
     """
     runs = texts.select("doc_id", "row", "data").mapInPandas(lambda b: _hashed(b, length), f"{_RUN}, more binary")
     several = runs.repartition("h").sortWithinPartitions("h").mapInPandas(_shared, _RUN)
-    by_doc = several.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
+    by_doc = several.repartition("doc_id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "at", "n")).alias("runs"))
     ctx = _of_row(every, by_doc, "inner").select("doc_id", "row", "data", "runs").mapInPandas(lambda b: _contexts(b, length), _CONTEXT)
     return ctx.repartition("h").sortWithinPartitions("h", "doc_id", "row", "at").mapInPandas(lambda b: _compared(b, length), _RANGE)
 
@@ -317,9 +322,8 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     digests = known_id.select("doc_id", "row", F.sha2("data", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.doc_id", "first.row").withColumn("is_first", F.lit(True))
     texts = _of_row(known_id, firsts.drop("is_first"), "left_semi")
-    ranges = removed_ranges(texts, known_id, length).groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    known = firsts.join(ranges.hint("merge"), ["doc_id", "row"], "left")
-    joined = _of_row(known_id, known, "left").select("doc_id", "data", "is_first", "ranges")
+    ranges = removed_ranges(texts, known_id, length).repartition("doc_id").groupBy("doc_id", "row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    joined = _of_row(_of_row(known_id, firsts, "left"), ranges, "left").select("doc_id", "data", "is_first", "ranges")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches):
