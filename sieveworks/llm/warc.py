@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,47 +115,51 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return saved(records.mapInPandas(run, INDEX), "captures")
 
 
-def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the captures, sorted by key, as compressed blocks below folder; returns the sparse directory, one row a block.
+def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Writes the captures, sorted by key, as compressed blocks below folder; returns the parts, one row a file.
 
-    (part, file, block, first_key, last_key, offset, length): parts are ranges of keys, dealt by (key, page_id), so a
-    host with very many pages spans several.
+    (part, file, first_key, last_key, offset, length): a file ends with its sparse block directory, which lies at
+    offset. Parts are ranges of keys, dealt by (key, page_id), so a host or key with very many pages spans several.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _opened(folder)
         fs.create_dir(base, recursive=True)
-        task, lines, rows, at = TaskContext.get(), [], [], 0
+        task, lines, blocks, at = TaskContext.get(), [], [], 0
         name = f"{task.partitionId():05d}-{task.taskAttemptId()}.idx"
         out = fs.open_output_stream(f"{base}/{name}", compression=None)
 
         def block() -> None:
             nonlocal at
-            data = zlib.compress("".join(line for _, line in lines).encode("utf-8", "surrogatepass"), 6)
+            data = _packed(line for _, line in lines)
             out.write(data)
-            rows.append((task.partitionId(), name, len(rows), lines[0][0], lines[-1][0], at, len(data)))
+            blocks.append((lines[0][0], lines[-1][0], at, len(data)))
             at += len(data)
             lines.clear()
 
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                page = "" if pd.isna(r.page_id) else int(r.page_id)
-                lines.append((r.key, f"{r.key}\t{page}\t{r.file}\t{r.offset}\t{r.length}\n"))
-                if len(lines) == BLOCK_LINES:
+                lines.append((r.key, f"{r.key}\t{r.file}\t{r.offset}\t{r.length}\n"))
+                if len(lines) == block_lines:
                     block()
         if lines:
             block()
+        directory = _packed(f"{first}\t{last}\t{offset}\t{size}\n" for first, last, offset, size in blocks)
+        out.write(directory)
         out.close()
-        yield pd.DataFrame(rows, columns=["part", "file", "block", "first_key", "last_key", "offset", "length"])
+        rows = [(task.partitionId(), name, blocks[0][0], blocks[-1][1], at, len(directory))] if blocks else []
+        yield pd.DataFrame(rows, columns=["part", "file", "first_key", "last_key", "offset", "length"])
 
     ordered = captures.select("key", "page_id", "file", "offset", "length").orderBy("key", "page_id", "file", "offset")
-    return saved(ordered.mapInPandas(run, "part int, file string, block int, first_key string, last_key string, offset long, length long"), "directory")
+    return saved(ordered.mapInPandas(run, "part int, file string, first_key string, last_key string, offset long, length long"), "directory")
 
 
-def _lines(data: bytes) -> Iterator[tuple[str, str, int, int]]:
-    for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")[:-1]:
-        key, _, file, offset, length = line.rsplit("\t", 4)
-        yield key, file, int(offset), int(length)
+def _packed(lines: Iterator[str]) -> bytes:
+    return zlib.compress("".join(lines).encode("utf-8", "surrogatepass"), 6)
+
+
+def _lines(data: bytes) -> list[list[str]]:
+    return [line.rsplit("\t", 3) for line in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")[:-1]]
 
 
 def _ranged(fs, base: str, wanted: Iterator[tuple[str, int, int]]) -> Iterator[bytes]:
@@ -172,69 +176,71 @@ def _ranged(fs, base: str, wanted: Iterator[tuple[str, int, int]]) -> Iterator[b
         source.close()
 
 
-def read_all(directory: DataFrame, index_folder: str, folder: str) -> DataFrame:
-    """Every record (RECORD) that the index lists: blocks are read and unpacked, then records in the order of their place."""
+def lookup(urls: DataFrame, directory: DataFrame, index_folder: str, folder: str) -> DataFrame:
+    """The captures of each distinct key of urls (url; null: the empty key), as (key, RECORD).
+
+    The driver holds one row a part (as many as index files). Tasks of neighbouring keys binary-search the parts, then
+    a part's block directory, which they read once; each block with wanted keys is read once for all of them; records
+    are range reads in the order of their place. A key with very many captures is dealt by block, then by archive.
+    """
+    parts = sorted(directory.collect(), key=lambda r: r["part"])
+    firsts, lasts = [r["first_key"] for r in parts], [r["last_key"] for r in parts]
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": [url_key(u) for u in pdf["url"]]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _opened(index_folder)
+        now, block_firsts, block_lasts, places = None, [], [], []
+        for pdf in batches:
+            rows = []
+            for key in pdf["key"]:
+                k = bisect_left(lasts, key)
+                while k < len(parts) and firsts[k] <= key:
+                    if k != now:
+                        now, wanted = k, (parts[k]["file"], parts[k]["offset"], parts[k]["length"])
+                        blocks = _lines(next(_ranged(fs, base, iter([wanted]))))
+                        block_firsts, block_lasts = [b[0] for b in blocks], [b[1] for b in blocks]
+                        places = [(int(b[2]), int(b[3])) for b in blocks]
+                    at = bisect_left(block_lasts, key)
+                    while at < len(places) and block_firsts[at] <= key:
+                        rows.append((key, parts[k]["file"], *places[at]))
+                        at += 1
+                    k += 1
+            yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"])
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _opened(index_folder)
+        now, held = None, {}
         for pdf in batches:
-            for data in _ranged(fs, base, zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True)):
-                yield pd.DataFrame([x[1:] for x in _lines(data)], columns=["file", "offset", "length"])
+            rows = []
+            for key, *place in zip(pdf["key"], pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
+                if place != now:
+                    now, held = place, {}
+                    for k, file, offset, length in _lines(next(_ranged(fs, base, iter([place])))):
+                        held.setdefault(k, []).append((file, int(offset), int(length)))
+                rows += [(key, *capture) for capture in held.get(key, ())]
+            yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _opened(folder)
         for pdf in sliced(batches, RECORDS):
             found = _ranged(fs, base, zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True))
-            out = pd.DataFrame([parse_record(x) for x in found], columns=[c.split()[0] for c in RECORD.split(", ")])
+            out = pd.DataFrame([(k, *parse_record(x)) for k, x in zip(pdf["key"], found, strict=True)], columns=["key", *(c.split()[0] for c in RECORD.split(", "))])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    listed = directory.repartition("part", "block").mapInPandas(unpack, "file string, offset long, length long")
-    return listed.repartition("file").sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
-
-
-def lookup(urls: DataFrame, directory: DataFrame, index_folder: str, folder: str) -> DataFrame:
-    """The captures of each distinct url of urls, as (query_url, RECORD).
-
-    The driver holds one key a part (as many as index files); a task takes the keys of a part, binary-searches that
-    part's block directory and reads only the blocks and records that can match.
-    """
-    tops = sorted((r["first_key"], r["part"]) for r in directory.filter("block = 0").select("first_key", "part").collect())
-    keys, parts = [t[0] for t in tops], [t[1] for t in tops]
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for url in pdf["url"]:
-                key = url_key(url)
-                # a key may end one part and begin the next
-                for k in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
-                    rows.append((url, key, parts[k]))
-            yield pd.DataFrame(rows, columns=["url", "key", "part"])
-
-    def find(pdf: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_url", *(c.split()[0] for c in RECORD.split(", "))]
-        if not len(pdf) or not len(blocks):
-            return pd.DataFrame(columns=names)
-        (index_fs, index_base), (fs, base) = _opened(index_folder), _opened(folder)
-        blocks = blocks.sort_values("block")
-        last, out = blocks["last_key"].tolist(), []
-        for url, key in zip(pdf["url"], pdf["key"], strict=True):
-            at = bisect_left(last, key)
-            while at < len(last) and blocks["first_key"].iloc[at] <= key:
-                b = blocks.iloc[at]
-                data = next(_ranged(index_fs, index_base, iter([(b["file"], int(b["offset"]), int(b["length"]))])))
-                for k, *place in _lines(data):
-                    if k == key:
-                        out.append((url, *parse_record(next(_ranged(fs, base, iter([tuple(place)]))))))
-                at += 1
-        return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    wanted = urls.select("url").filter("url is not null").distinct().mapInPandas(deal, "url string, key string, part int")
-    return wanted.groupBy("part").cogroup(directory.groupBy("part")).applyInPandas(find, "query_url string, " + RECORD)
+    place = "key string, file string, offset long, length long"
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = urls.select("url").distinct().mapInPandas(keyed, "key string").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    blocks = wanted.mapInPandas(search, place).repartition("file", "offset").sortWithinPartitions("file", "offset", "key")
+    # records are large and their places small, so these partitions aren't merged by the places' size
+    captures = blocks.mapInPandas(unpack, place).repartition(tasks, "file", F.shiftright("offset", 24)).sortWithinPartitions("file", "offset")
+    return captures.mapInPandas(read, f"key string, {RECORD}")
 
 
 def round_trip(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Writes a record per row of pages (page_id, url, html) below folder with its index, and reads all back through the index (RECORD).
+    """Writes a record per row of pages (page_id, url, html) below folder with its index, and looks up every url again (RECORD).
 
     Payload: html in UTF-8, null is empty. Of equal payloads of at least `least` bytes the row with the largest
     page_id is the response and the others are revisits that refer to it; smaller payloads are all responses.
@@ -244,7 +250,7 @@ def round_trip(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """
     captures = write_archives(with_revisits(pages, least), f"{folder}/archive")
     directory = write_index(captures, f"{folder}/index")
-    return read_all(directory, f"{folder}/index", f"{folder}/archive")
+    return lookup(pages, directory, f"{folder}/index", f"{folder}/archive").drop("key")
 
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:

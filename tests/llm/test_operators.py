@@ -326,6 +326,32 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/w2").count() == 0
 
 
+def test_warc_lookup(spark, tmp_path):
+    # one url has captures in several blocks and parts; others share a block; two urls have one key
+    pages = [(k, "http://hot.example/", f"copy {k}") for k in range(90)] + [(k, f"http://h{k % 4}.example/{k}", f"own {k}") for k in range(100, 160)]
+    pages += [(200, "https://x.example:443/a", "s"), (201, "http://X.example/a#f", "t"), (202, None, "none"), (203, "tab\tin it", "odd"), (200, "http://h1.example/twice", "u")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    folder = f"file://{tmp_path}/w"
+    captures = warc.write_archives(warc.with_revisits(df), f"{folder}/archive")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    try:
+        directory = warc.write_index(captures, f"{folder}/index", block_lines=7)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert directory.count() > 1
+
+    def found(*urls):
+        asked = spark.createDataFrame([(u,) for u in urls], "url string")
+        return sorted((r.page_id, bytes(r.payload).decode()) for r in warc.lookup(asked, directory, f"{folder}/index", f"{folder}/archive").collect())
+
+    assert found("http://hot.example/", "http://hot.example/") == [(k, f"copy {k}") for k in range(90)]
+    assert found("http://x.example/a") == [(200, "s"), (201, "t")] and found(None) == [(202, "none")] and found("tab\tin it") == [(203, "odd")]
+    assert found("http://absent.example/", "a", "zzz", "http://h1.example/") == []
+    everything = found(*(u for _, u, _ in pages))
+    assert everything == sorted((i, h) for i, _, h in pages)
+    assert warc.lookup(df.limit(0), directory, f"{folder}/index", f"{folder}/archive").count() == 0
+
+
 def test_warc_keys():
     assert warc.url_key("http://WWW.a.example:80/p?q#f") == "example,a,www)/p?q" and warc.url_key(None) == ""
 
