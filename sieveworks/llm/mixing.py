@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,10 +12,15 @@ from sieveworks.llm.common import n_words, saved
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2.0
-#: Hash salts over which the ranks of one (source, size) group are spread.
-SALTS = 64
-#: Offsets drawn for each source, of which the one whose taken words come nearest to the target is used.
-DRAWS = 16
+#: The order inside one (source, size) group is cut into ranges of about so many rows of the table, LEAST_RANGES at least.
+RANGE_ROWS, LEAST_RANGES = 200_000, 64
+#: Place of a row in the order of its size, below so much.
+PLACES = 1 << 60
+
+
+def place(*parts: Column | str) -> Column:
+    """A number below PLACES from the MD5 of the parts that aren't null."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: float = MAX_REPEATS) -> DataFrame:
@@ -42,67 +47,56 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def offsets(by_size: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """targets with each source's rate and offset. by_size: (source, size, n, _before).
-
-    What an offset takes follows from the groups alone: size times the integer boundaries that the group crosses.
-    """
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = targets.withColumn("rate", rate)
-    drawn = [F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40) for k in range(DRAWS)]
-    b = by_size.alias("b").join(t.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.*", "rate")
-    takes = lambda o: F.col("size") * (F.floor((F.col("_before") + F.col("n")) * F.col("rate") + o) - F.floor(F.col("_before") * F.col("rate") + o))
-    sums = b.groupBy("source").agg(*[F.sum(takes(o)).alias(f"_t{k}") for k, o in enumerate(drawn)])
-    j = t.alias("t").join(sums.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", *[f"_t{k}" for k in range(DRAWS)])
-    best = F.least(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(drawn)])
-    return j.withColumn("offset", best["offset"]).select("source", "source_size", "target", "rate", "offset")
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: float = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """Every document with its size, its source's size and target, and how many copies the mix takes of it.
 
     Systematic sampling: a document's expected copies are target / source_size (at most ``most``); they are
-    prefix-summed within the source, one offset (the best of DRAWS drawn from the seed) is added, and a copy is emitted at each integer
+    prefix-summed within the source, one offset drawn from the seed is added, and a copy is emitted at each integer
     boundary crossed. Documents come in the order of size, so that the taken words stay within about one largest
-    document of the target whatever the sizes are. Ties: by hash of the id, then id.
+    document of the target whatever the sizes are. Ties: by a hash of seed, id and text.
 
     The prefix sum is two-level, and a source with any part of all rows is spread over tasks: sizes are cut to
-    (source, size) groups by a partially aggregated count, groups are summed in order, and ranks inside one
-    (source, size) group are two-level again over hash salts.
+    (source, size, range of the hash) cells by a partially aggregated count, cells are summed in order, and ranks are
+    taken inside one cell. How many ranges there are grows with the table and changes no result.
 
-    docs without a text column bring their size column instead.
+    docs without a text column bring their size column instead, and may bring the text's MD5 as column tie.
 
-    Null source: a source of its own, last. Null text: size 0. Null doc_id: allowed, ranked by its hash. Sources
-    whose sizes are all 0: target 0, nothing taken. Extra columns are kept as they are; the operator's own columns are
-    size, source_size, target, copies, taken, and replace columns of those names. Reruns give the same rows.
+    Null source: a source of its own, last. Null text: size 0. Null doc_id: allowed. Rows equal in id and text are
+    interchangeable. Sources whose sizes are all 0: target 0, nothing taken. Extra columns are kept as they are,
+    whatever their names; the operator's own columns are size, source_size, target, copies, taken, and replace columns
+    of those names. Reruns give the same rows.
     """
     own = ("size", "source_size", "target", "copies", "taken")
-    d = docs.drop(*own).withColumn("size", n_words(F.col("text"))) if "text" in docs.columns else docs
-    d = d.withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
-    d = d.withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
-    cells = saved(d.groupBy("source", "size", "_salt").agg(F.count("*").alias("n")), "mix-cells")
+    whole = "text" in docs.columns
+    keep = [c for c in docs.columns if c not in own and (whole or c != "tie")]
+    size = n_words(F.col("text")) if whole else F.col("size")
+    tie = F.md5(F.col("text").cast("binary")) if whole else F.col("tie") if "tie" in docs.columns else F.lit(None).cast("string")
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "source", size.alias("size"), place(F.col("doc_id").cast("string"), F.lit(str(seed)), tie).alias("h"))
+    ranges = max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS))
+    d = d.withColumn("range", F.floor(F.col("h") / (PLACES / ranges)))
+    cells = saved(d.groupBy("source", "size", "range").agg(F.count("*").alias("n")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = source_targets(sizes, weights, total_share, most)
-    # the order within a source: size, then salt, then hash and id; each cell's first rank
+    targets = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    targets = targets.withColumn("offset", place(F.lit(f"offset {seed}"), "source") / float(PLACES))
+    # the order within a source: size, then hash; each cell's first rank
     by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     upto = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    by_size = by_size.select("source", "size", "n", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
-    targets = offsets(by_size, targets, seed)
-    upto = W.partitionBy("source", "size").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    first = cells.select("source", "size", "_salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_within"))
-    first = first.alias("f").join(by_size.alias("b"), [F.col(f"f.{x}").eqNullSafe(F.col(f"b.{x}")) for x in ("source", "size")]).select("f.*", "_before")
-    first = first.alias("f").join(targets.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("f.source").alias("_s"), F.col("f.size").alias("_z"), F.col("f._salt").alias("_c"), (F.col("_before") + F.col("_within")).alias("_first"), "source_size", "target", "rate", "offset"
-    )
-    ranked = d.withColumn("_rank", F.row_number().over(W.partitionBy("source", "size", "_salt").orderBy("_h", "doc_id")))
-    j = ranked.join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_salt") == F.col("_c")))
-    at = F.col("_first") + F.col("_rank")
-    j = j.withColumn("copies", (F.floor(at * F.col("rate") + F.col("offset")) - F.floor((at - 1) * F.col("rate") + F.col("offset"))).cast("long"))
-    j = j.withColumn("copies", F.least(F.col("copies"), F.lit(int(most))))
-    keep = [c for c in docs.columns if c not in own]
-    return j.select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    upto = W.partitionBy("source", "size").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    first = cells.select("source", "size", "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("within"))
+    first = first.alias("f").join(by_size.alias("b"), [F.col(f"f.{x}").eqNullSafe(F.col(f"b.{x}")) for x in ("source", "size")]).select("f.*", "before")
+    first = first.alias("f").join(targets.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source")))
+    first = first.select("f.source", "f.size", "f.range", (F.col("before") + F.col("within")).alias("first"), "source_size", "target", "rate", "offset")
+    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "range").orderBy("h")))
+    j = ranked.alias("d").join(first.alias("f"), [F.col(f"d.{x}").eqNullSafe(F.col(f"f.{x}")) for x in ("source", "size", "range")])
+    at = F.col("first") + F.col("rank")
+    copies = (F.floor(at * F.col("rate") + F.col("offset")) - F.floor((at - 1) * F.col("rate") + F.col("offset"))).cast("long")
+    out = j.select("row", F.col("d.size").alias("size"), "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies"))
+    return out.select(*(F.col("row")[c].alias(c) for c in keep), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mixed rows, each once per copy taken."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_copy")
+    copies = F.array_repeat(F.struct(*(F.col(f"`{c}`") for c in mixed.columns)), F.col("copies").cast("int"))
+    return mixed.filter("copies > 0").select(F.inline(copies))

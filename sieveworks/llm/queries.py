@@ -55,8 +55,8 @@ def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = saved(documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    sized = documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("tie"))
+    return mixing.mix(saved(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -72,4 +72,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_PLACE = "('0x' || substr(md5({}), 1, 15))::bigint"
+#: Words, targets filled up to their caps, and systematic sampling in the order of size and of a hash.
+_MIXING_SQL = f"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size,
+        {_PLACE.format("concat_ws(':', doc_id::varchar, '7', md5(text))")} AS h FROM documents),
+sources AS (
+    SELECT *, 2.0::double * source_size AS cap, 2.0::double * source_size / weight AS ratio FROM (
+        SELECT source, source_size, ([5.0, 2.0, 1.0]::double[])[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::int] AS weight
+        FROM (SELECT source, sum(size)::bigint AS source_size FROM sized GROUP BY source))),
+levels AS (
+    SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM sources WINDOW before AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+    SELECT source, source_size, least(cap, coalesce(weight * max(CASE WHEN ratio >= level THEN level END) OVER (), cap)) AS target,
+        {_PLACE.format("concat_ws(':', 'offset 7', source)")} / {float(1 << 60)!r}::double AS shift FROM levels),
+placed AS (
+    SELECT s.doc_id, s.size, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+        row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.h) AS n
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (SELECT *, least(floor(n * rate + shift) - floor((n - 1) * rate + shift), 2)::bigint AS copies FROM placed)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken"""
+
+#: The bits of a SHA-1, five at a time, as base32.
+_BITS = "array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', c) - 3, 4)), '')"
+_FIVE = " + ".join(f"{1 << (4 - k)} * substr(bits, i * 5 + {k + 1}, 1)::int" for k in range(5))
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS response, {_BITS} AS bits FROM p)
+SELECT page_id, url, strlen(payload)::bigint AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+    CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id != response THEN response END AS refers_to FROM r"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL}

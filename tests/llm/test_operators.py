@@ -567,6 +567,23 @@ def test_mixing(spark, docs):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mixing_keeps_columns_and_rows(spark):
+    rng = random.Random(40)
+    rows = [(None if k % 3 == 0 else k % 200, " ".join("w" * rng.randrange(0, 30)), rng.choice(["a", "b", None]), k) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number long").withColumns({c: F.col("number") for c in ("_h", "row", "rank", "range", "h", "first", "a.b", "copies", "tie")})
+    mixed = mixing.mix(df)
+    got = mixed.collect()
+    assert len(got) == 900 and all(r["_h"] == r["row"] == r["range"] == r["a.b"] == r["tie"] == r.number for r in got)
+    assert {(r.doc_id, r.text, r.number) for r in got} == {(a, b, n) for a, b, _, n in rows}
+    assert mixing.emit(mixed).groupBy("number").count().count() == sum(r.copies > 0 for r in got) and mixing.emit(mixed).count() == sum(r.copies for r in got)
+    for s in ("a", "b", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 30
+    drawn = lambda rows: Counter((r.doc_id, r.text, r.source, r.copies) for r in rows)
+    assert drawn(mixing.mix(df.repartition(7)).collect()) == drawn(got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 # ---- shared parts
 
 
