@@ -18,7 +18,7 @@ from sieveworks.llm.common import saved, sliced
 
 WORD = re.compile(r"\w+")
 #: Labelled rows that a fit uses at most, those with the smallest hash of their id.
-MAX_EXAMPLES = 8_000
+MAX_EXAMPLES = 5_000
 #: One in so many of them is left out of a first index, to calibrate the votes.
 FOLDS = 5
 NEIGHBOURS = 15
@@ -69,6 +69,10 @@ class NearestExamples:
         self.hashes, posted = np.unique(flat, return_inverse=True)
         example = np.repeat(np.arange(len(order)), sizes)
         df = np.bincount(posted, minlength=len(self.hashes))
+        common = np.argsort(-df, kind="stable")  # terms are numbered by how common they are, so that what is read often lies together
+        self.number = np.empty(len(df), np.int32)
+        self.number[common] = np.arange(len(df))
+        posted, df = self.number[posted], df[common]
         a = np.bincount(posted, self.labels[example], len(self.hashes))
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((df - a + 0.5) / (n0 + 1))
         self.idf = (np.log((1 + n1 + n0) / (1 + df)) + 1) * np.abs(odds)
@@ -92,23 +96,23 @@ class NearestExamples:
         order = np.argsort(self.examples, kind="stable")
         self.own_terms, self.own_weights = posted[order], self.weights[order]
         self.own_starts = np.searchsorted(self.examples[order], np.arange(len(self.ids) + 1))
-        self.query = np.zeros(len(self.hashes))
+        self.query = np.zeros(len(self.hashes), np.float32)
         self.ready = True
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms that examples hold and their weights at length 1."""
         k = np.minimum(np.searchsorted(self.hashes, at), max(len(self.hashes) - 1, 0))
         known = self.hashes[k] == at if len(self.hashes) else np.zeros(len(at), bool)
-        k, w = k[known], (1 + np.log(n[known])) * self.idf[k[known]] if known.any() else np.empty(0)
+        k = self.number[k[known]] if known.any() else np.empty(0, np.int32)
+        w = (1 + np.log(n[known])) * self.idf[k]
         size = math.sqrt(float(w @ w))
         return k, w / size if size else w
 
     def nearest(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosine over 0 (to 6 places; ties by number) and their cosines, exactly.
 
-        Terms are read by how much they can add. Once what is left can lift no new example among the nearest, the
-        block maxima of the terms left bound each example; those that may still be among the nearest get their cosine
-        from their own terms.
+        Terms are read by how much they can add. The block maxima of the terms left bound each example; once those
+        that may still be among the nearest hold less than is left to read, they get their cosine from their own terms.
         """
         if not self.ready:
             self.open()
@@ -120,23 +124,25 @@ class NearestExamples:
         size = self.starts[t + 1] - self.starts[t]
         read = np.concatenate([[0], np.cumsum(size)])
         score, done, least, step = np.zeros(len(self.ids)), 0, 0.0, FIRST
-        while done < len(t) and rest[done] >= least:
-            stop = max(done + 1, int(np.searchsorted(read, read[done] + step, "right")) - 1)
+        while True:
+            stop = max(done + 1, int(np.searchsorted(read, read[done] + step, "right")) - 1) if done < len(t) else done
             part = slice(done, stop)
             of = _spread(self.starts[t[part]], size[part])
             score += np.bincount(self.examples[of], self.weights[of] * np.repeat(w[part], size[part]), len(score))
             done, step = stop, step * 4
             least = float(np.partition(score, -k)[-k]) * (1 - 1e-5) if len(score) > k else 0.0
-        reach = score
-        if done < len(t):
+            if done < len(t) and step <= FIRST * 4 and rest[done] >= least:
+                continue
             part = t[done:]
             n_blocks = self.block_starts[part + 1] - self.block_starts[part]
             of = _spread(self.block_starts[part], n_blocks)
             more = np.bincount(self.block[of], self.block_max[of] * np.repeat(w[done:], n_blocks), len(score) // BLOCK + 1)
             reach = score + more[np.arange(len(score)) // BLOCK]
-        may = np.flatnonzero((reach >= least) & (reach > 0))
+            may = np.flatnonzero((reach >= least) & (reach > 0))
+            n_own = self.own_starts[may + 1] - self.own_starts[may]
+            if done == len(t) or n_own.sum() <= read[-1] - read[done]:
+                break
         self.query[t] = w
-        n_own = self.own_starts[may + 1] - self.own_starts[may]
         of = _spread(self.own_starts[may], n_own)
         cos = np.round(np.bincount(np.repeat(np.arange(len(may)), n_own), self.own_weights[of] * self.query[self.own_terms[of]], len(may)), 6)
         self.query[t] = 0
