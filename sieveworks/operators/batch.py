@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.operators import strip, textclean
@@ -13,12 +13,16 @@ from sieveworks.sources.formats import out_path
 _PARTS = "array<struct<id:string,size:bigint>>"
 
 
+def _text_error(force_text: bool) -> Column:
+    return F.when(F.col("content").isNull(), "no content").otherwise(textclean.text_error(F.col("content"), force_text))
+
+
 def strip_text_files(found: DataFrame, options: TextOptions = textclean.DEFAULT, force_text: bool = False) -> DataFrame:
     """(path, format, content) rows of text files, cleaned: path, format, error, kept, dropped, content_out and bytes.
 
     Content that isn't UTF-8 or looks binary is an error; with force_text its bad bytes become U+FFFD.
     """
-    error = F.when(F.col("content").isNull(), "no content").otherwise(textclean.text_error(F.col("content"), force_text))
+    error = _text_error(force_text)
     text = F.make_valid_utf8(F.col("content").cast("string")) if force_text else F.col("content").cast("string")
     rows = found.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), text))
     cleaned = textclean.clean(rows.filter("error is null").select("path", "text"), "path", "text", options)
@@ -46,12 +50,19 @@ def strip_files(found: DataFrame, options: TextOptions = textclean.DEFAULT, keep
     return media.unionByName(texts)
 
 
+def checked(found: DataFrame, force_text: bool = False) -> DataFrame:
+    """(path, error) of (path, format, content) rows: what cleaning would say of each file, without cleaning any."""
+    media = strip.with_error(found.filter("format != 'text'")).select("path", "error")
+    texts = found.filter("format = 'text'").select("path", _text_error(force_text).alias("error"))
+    return media.unionByName(texts)
+
+
 def process(found: DataFrame, out: str, options: TextOptions = textclean.DEFAULT, *, keep_musical: bool = False, force_text: bool = False, dry_run: bool = False, overwrite: bool = False, single_file: bool = False) -> DataFrame:
     """Cleans the files into the folder out: (path, out, status, error). With dry_run nothing is written."""
-    cleaned = strip_files(found, options, keep_musical, force_text).withColumn("out", out_path(F.col("path"), F.lit(out), single_file))
+    target = out_path(F.col("path"), F.lit(out), single_file)
     if dry_run:
-        status = F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL)
-        return cleaned.select("path", "out", status.alias("status"), "error")
+        return checked(found, force_text).withColumn("out", target).select("path", "out", F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL).alias("status"), "error")
+    cleaned = strip_files(found, options, keep_musical, force_text).withColumn("out", target)
     return files.write_files(cleaned, overwrite)
 
 

@@ -121,7 +121,7 @@ def fields(files: DataFrame, key: str) -> DataFrame:
     label = F.when(F.col("section") == "boxes", F.regexp_replace(F.decode("name", "ISO-8859-1"), r"[^\x20-\x7E]", "?")).otherwise(sanitise(F.col("name")))
     place = F.regexp_replace("place", r"[^\x20-\x7E]", "?")
     rows = rows.select(key, "format", "seq", "section", place.alias("place"), label.alias("name"), kind.alias("kind"), value.alias("value"), "size", _added(F.col("section"), F.col("detail")).alias("detail"))
-    return textclean.clean_column(rows, [key, "seq"], "value", textclean.SCRUB)
+    return textclean.clean_column(rows, "value", textclean.SCRUB)
 
 
 def metadata(files: DataFrame, key: str) -> DataFrame:

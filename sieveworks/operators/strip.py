@@ -112,8 +112,7 @@ def splice(content: pd.Series, edits: pd.Series) -> pd.Series:
 
 def le32(n: Column) -> Column:
     """A number as four bytes, the lowest first."""
-    digits = F.lpad(F.hex(n), 8, "0")
-    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1))))
+    return F.unhex(F.regexp_replace(F.lpad(F.hex(n), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1"))
 
 
 def _edit(at: Column, n: Column, put: Column | None = None) -> Column:
@@ -181,28 +180,43 @@ def structure_error(format: Column, units: Column) -> Column:
     return out
 
 
-def with_units(files: DataFrame, keep_musical: bool = False) -> DataFrame:
-    """Adds units, each with its action and how, and error to (format, content) rows of media files.
+def with_error(files: DataFrame) -> DataFrame:
+    """Adds scanned, the parts that the reader found, and error to (format, content) rows of media files.
 
-    A file with an error has null units. Null content is an error, as is a format without a reader.
+    Null content is an error, as is a format without a reader.
     """
-    rows = policy_rows(keep_musical)
-    actions = F.create_map(*(F.lit(x) for f, r, a, _ in rows if a for x in (f"{f}/{r}", a)))
-    hows = F.create_map(*(F.lit(x) for f, r, _, h in rows if h for x in (f"{f}/{r}", h)))
-    known = F.array(*(F.lit(f"{f}/{r}") for f, r, _, _ in rows))
     early = F.when(F.col("content").isNull(), "no content").when(~F.coalesce(F.col("format").isin(*READERS), F.lit(False)), "unsupported format").otherwise(magic_error(F.col("format"), F.col("content")))
     # null content isn't scanned: a file that is refused at sight costs no Python
     out = files.withColumn("_early", early)
     out = out.withColumn("_scan", scan_units(F.col("format"), F.when(F.col("_early").isNull(), F.col("content"))))
+    error = F.coalesce("_early", "_scan.error", structure_error(F.col("format"), F.col("_scan.units")))
+    return out.withColumns({"error": error, "scanned": F.col("_scan.units")}).drop("_early", "_scan")
 
-    def decide(u: Column) -> Column:
-        key = F.concat(F.col("format"), F.lit("/"), u["role"])
-        key = F.when(F.array_contains(known, key), key).otherwise(F.concat(F.col("format"), F.lit("/*")))
-        return F.struct(*(u[c].alias(c) for c in Unit._fields), F.try_element_at(actions, key).alias("action"), F.try_element_at(hows, key).alias("how"))
 
-    error = F.coalesce("_early", "_scan.error", structure_error(F.col("format"), F.col("_scan.units")))
-    out = out.withColumn("error", error)
-    return out.withColumn("units", F.when(F.col("error").isNull(), F.transform("_scan.units", decide))).drop("_early", "_scan")
+def with_units(files: DataFrame, keep_musical: bool = False) -> DataFrame:
+    """Adds units, each with its action and how, and error to (format, content) rows of media files.
+
+    A file with an error has null units.
+    """
+    rules: dict[str, dict[str, Column]] = {}
+    kind = "struct<action:string,how:string>"
+    for f, role, action, how in policy_rows(keep_musical):
+        rules.setdefault(f, {})[role] = F.struct(F.lit(action).alias("action"), F.lit(how).alias("how")).cast(kind)
+
+    def decided(own: dict[str, Column]) -> Column:
+        roles = F.create_map(*(x for r, rule in own.items() for x in (F.lit(r), rule)))
+
+        def decide(u: Column) -> Column:
+            rule = F.coalesce(F.try_element_at(roles, u["role"]), own.get("*", F.lit(None).cast(kind)))
+            return F.struct(*(u[c].alias(c) for c in Unit._fields), rule["action"].alias("action"), rule["how"].alias("how"))
+
+        return F.transform("scanned", decide)
+
+    out = with_error(files)
+    units = F
+    for f in READERS:
+        units = units.when(F.col("error").isNull() & (F.col("format") == f), decided(rules[f]))
+    return out.withColumn("units", units).drop("scanned")
 
 
 def _report(units: Column, action: str) -> Column:
@@ -246,11 +260,17 @@ def strip(files: DataFrame, keep_musical: bool = False) -> DataFrame:
 
 
 def parts_table(files: DataFrame, *keys: str, keep_musical: bool = False) -> DataFrame:
-    """The parts of the files as rows: keys, format, seq, id, role, size, start, body, stop, action, how."""
+    """The parts of the files without an error as rows: keys, format, seq, id, role, size, start, body, stop, action, how."""
     decided = with_units(files, keep_musical)
     return decided.select(*keys, "format", F.posexplode("units").alias("seq", "u")).select(*keys, "format", "seq", *(f"u.{c}" for c in ("id", "role", "size", "start", "body", "stop", "action", "how")))
 
 
+def scanned_parts(files: DataFrame, *keys: str) -> DataFrame:
+    """parts_table() before any decision, to join with a policy table: keys, format, seq, id, role, size."""
+    good = with_error(files).filter("error is null").select(*keys, "format", F.posexplode("scanned").alias("seq", "u"))
+    return good.select(*keys, "format", "seq", "u.id", "u.role", "u.size")
+
+
 def listed(parts: Column) -> Column:
     """``id(size), id(size)``; "none" for no part."""
     names = F.array_join(F.transform(parts, lambda p: F.concat(F.trim(p["id"]), F.lit("("), p["size"].cast("string"), F.lit(")"))), ", ")

@@ -45,15 +45,19 @@ def touch_class(options: TextOptions) -> str:
     return cps.regex_class(parts)
 
 
+#: Most characters of most texts, which no rule touches: Java tests this part of a class by table, before the ranges.
+PLAIN = "\\x00-\\x7F\\xC0-\\xFF"
+
+
 def touched(text: Column, options: TextOptions = DEFAULT) -> Column:
-    return F.coalesce(text.rlike(f"[{touch_class(options)}]"), F.lit(False))
+    return F.coalesce(text.rlike(f"(?=[^{PLAIN}])[{touch_class(options)}]"), F.lit(False))
 
 
 def _tokens(text: Column, options: TextOptions) -> Column:
     """Array of tokens whose concatenation is the text; a complete flag sequence is one token where glue is kept."""
     touch, flag = touch_class(options), f"\\x{{{cps.WAVING_BLACK_FLAG:X}}}"
     whole = "" if options.strip_emoji_glue else f"{flag}[\\x{{E0020}}-\\x{{E007E}}]+\\x{{E007F}}|"
-    return F.regexp_extract_all(text, F.lit(f"{whole}[{touch}]|{flag}|[^{touch}{flag}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"[{PLAIN}[^{touch}{flag}]]+|{whole}[{touch}]|{flag}"), F.lit(0))
 
 
 def _kind(cp: Column) -> Column:
@@ -130,7 +134,7 @@ def _with_pairs(tokens: DataFrame, options: TextOptions) -> DataFrame:
     """
     if options.strip_bidi:
         return tokens.withColumn("paired", F.lit(False))
-    cp, row = F.col("cp"), Window.partitionBy("key").orderBy("pos")
+    cp, row = F.col("cp"), Window.partitionBy("id").orderBy("pos")
     step = F.when(inside(cp, cps.BIDI_OPEN), 1).when(cp == cps.BIDI_POP, -1).otherwise(0)
     running = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = tokens.withColumn("step", step).withColumn("sum", F.sum("step").over(running))
@@ -138,7 +142,7 @@ def _with_pairs(tokens: DataFrame, options: TextOptions) -> DataFrame:
     out = out.withColumn("low_before", F.coalesce(F.lag("low").over(row), F.lit(0)))
     level = F.when(F.col("step") == 1, F.col("sum") - F.col("low")).when((F.col("step") == -1) & (F.col("low") == F.col("low_before")), F.col("sum") - F.col("low") + 1)
     out = out.withColumn("level", F.coalesce(level, F.lit(0)))
-    at = Window.partitionBy("key", "level").orderBy("pos")
+    at = Window.partitionBy("id", "level").orderBy("pos")
     opens = inside(cp, cps.BIDI_EMBED) & (F.lead("cp").over(at) == cps.BIDI_POP)
     closes = (cp == cps.BIDI_POP) & inside(F.lag("cp").over(at), cps.BIDI_EMBED)
     paired = F.coalesce((F.col("level") > 0) & (opens | closes), F.lit(False))
@@ -146,18 +150,19 @@ def _with_pairs(tokens: DataFrame, options: TextOptions) -> DataFrame:
 
 
 def decisions(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
-    """The tokens of every touched text, each with its fate: (key, pos, offset, token, cp, out, kind).
+    """The tokens of every touched text, each with its fate: (id, key, pos, offset, token, cp, out, kind).
 
-    key must identify a row. offset counts code points from 0; cp is null for runs that nothing touches; kind is null
-    for what is kept. Texts that nothing touches (null and empty ones included) give no row.
+    id tells rows apart, so that key may be null or repeat. offset counts code points from 0; cp is null for runs that
+    nothing touches; kind is null for what is kept. Texts that nothing touches (null and empty ones included) give no
+    row.
     """
-    found = df.filter(touched(F.col(text), options))
-    return _decided(found.select(F.col(key).alias("key"), F.posexplode(_tokens(F.col(text), options)).alias("pos", "token")), options)
+    found = df.filter(touched(F.col(text), options)).select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), _tokens(F.col(text), options).alias("tokens"))
+    return _decided(found.select("id", "key", F.posexplode("tokens").alias("pos", "token")), options, "key")
 
 
 def _decided(tokens: DataFrame, options: TextOptions, *carried: str) -> DataFrame:
     one = F.col("token").rlike(f"^[{touch_class(options)}]$")
-    row = Window.partitionBy("key").orderBy("pos")
+    row = Window.partitionBy("id").orderBy("pos")
     tokens = tokens.withColumns(
         {
             "cp": F.when(one, F.ascii("token")),
@@ -176,13 +181,14 @@ def _decided(tokens: DataFrame, options: TextOptions, *carried: str) -> DataFram
     tokens = tokens.withColumn("base", F.last("left", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1)))
     change = F.when(~_kept_by_base(cp, F.col("base"), F.col("after"), options), F.col("change"))
     tokens = tokens.withColumn("change", change)
-    return tokens.select("key", "pos", "offset", "token", "cp", F.coalesce("change.out", "token").alias("out"), F.col("change.kind").alias("kind"), *carried)
+    return tokens.select("id", *carried, "pos", "offset", "token", "cp", F.coalesce("change.out", "token").alias("out"), F.col("change.kind").alias("kind"))
 
 
 def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
     """(key, clean, bytes_in, bytes_out, n_dropped, dropped) for every row of df; null text: null clean and bytes.
 
-    dropped lists (kind, count) by kind. Only touched texts are shuffled, once, by key. key must identify a row.
+    dropped lists (kind, count) by kind. Only touched texts are shuffled, once, by a row number: key may be null or
+    repeat, and each row is cleaned by itself.
     """
     whole = F.col(text)
     none = F.array().cast("array<struct<id:string,size:bigint>>")
@@ -192,8 +198,8 @@ def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) ->
     counts = F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("id"), F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias("size")))
     changed = (
         decisions(df, key, text, options)
-        .groupBy("key")
-        .agg(parts.alias("parts"), F.count("kind").alias("n_dropped"))
+        .groupBy("id")
+        .agg(F.first("key").alias("key"), parts.alias("parts"), F.count("kind").alias("n_dropped"))
         .select(
             F.col("key").alias(key),
             F.array_join(F.col("parts.out"), "").alias("clean"),
@@ -206,23 +212,23 @@ def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) ->
     return out.select(key, "clean", "bytes_in", F.octet_length("clean").cast("long").alias("bytes_out"), "n_dropped", "dropped")
 
 
-def clean_column(df: DataFrame, keys: list[str], text: str, options: TextOptions = DEFAULT) -> DataFrame:
-    """df with its column text cleaned, read once; keys must identify a row.
+def clean_column(df: DataFrame, text: str, options: TextOptions = DEFAULT) -> DataFrame:
+    """df with its column text cleaned, read once.
 
     For small rows that cost much to make, as values parsed out of files: every row is shuffled, none is made twice.
     """
     whole = F.col(text)
     tokens = F.when(touched(whole, options), _tokens(whole, options)).otherwise(F.array(whole))
-    rows = df.select(F.struct(*keys).alias("key"), F.struct(*df.columns).alias("row"), tokens.alias("tokens"))
-    exploded = rows.select("key", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
+    rows = df.select(F.monotonically_increasing_id().alias("id"), F.struct(*df.columns).alias("row"), tokens.alias("tokens"))
+    exploded = rows.select("id", "row", F.posexplode("tokens").alias("pos", "token")).withColumn("row", F.when(F.col("pos") == 0, F.col("row")))
     parts = F.array_sort(F.collect_list(F.struct("pos", "out")))
-    whole_rows = _decided(exploded, options, "row").groupBy("key").agg(F.first("row", ignorenulls=True).alias("row"), parts.alias("parts"))
+    whole_rows = _decided(exploded, options, "row").groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), parts.alias("parts"))
     cleaned = F.when(F.col(f"row.{text}").isNotNull(), F.array_join(F.col("parts.out"), ""))
     return whole_rows.select(*(cleaned.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in df.columns))
 
 
 def dropped_by_kind(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
-    """(key, kind, count): how many code points each kind of rule removed or replaced."""
+    """(key, kind, count): how many code points each kind of rule removed or replaced, for each key."""
     found = decisions(df, key, text, options).filter("kind is not null")
     return found.groupBy(F.col("key").alias(key), "kind").agg(F.count("*").alias("count"))
 
@@ -232,23 +238,23 @@ SAMPLES = 10
 
 
 def hits(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
-    """Suspicious code points: (key, cp, codepoint, full_codepoint, kind, confidence, count, sample_offsets).
+    """Suspicious code points of each row: (key, cp, codepoint, full_codepoint, kind, confidence, count, sample_offsets).
 
     sample_offsets holds the first SAMPLES offsets of each, counted in code points.
     """
     found = decisions(df, key, text, inspecting(options)).filter("kind is not null")
-    rank = F.row_number().over(Window.partitionBy("key", "cp", "kind").orderBy("offset"))
+    rank = F.row_number().over(Window.partitionBy("id", "cp", "kind").orderBy("offset"))
     some = F.collect_list(F.when(F.col("rank") <= SAMPLES, F.col("offset")))
-    out = found.withColumn("rank", rank).groupBy("key", "cp", "kind").agg(F.count("*").alias("count"), F.array_sort(some).alias("sample_offsets"))
+    out = found.withColumn("rank", rank).groupBy("id", "cp", "kind").agg(F.first("key").alias("key"), F.count("*").alias("count"), F.array_sort(some).alias("sample_offsets"))
     confidence = F.when(F.col("kind") == "space", "informational").otherwise("probable")
     return out.select(F.col("key").alias(key), "cp", cps.short_label(F.col("cp")).alias("codepoint"), cps.full_label(F.col("cp")).alias("full_codepoint"), "kind", confidence.alias("confidence"), "count", "sample_offsets")
 
 
 def totals(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
     """(key, length, suspicious_total) for every row; length counts code points."""
-    found = decisions(df, key, text, inspecting(options)).groupBy(F.col("key").alias("_key")).agg(F.count("kind").alias("n"))
-    rows = df.select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("length"))
-    return rows.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "length", F.coalesce("n", F.lit(0)).alias("suspicious_total"))
+    same = df.filter(~touched(F.col(text), inspecting(options))).select(F.col(key), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("length"), F.lit(0).cast("long").alias("suspicious_total"))
+    found = decisions(df, key, text, inspecting(options)).groupBy("id").agg(F.first("key").alias("key"), F.sum(F.length("token").cast("long")).alias("length"), F.count("kind").alias("suspicious_total"))
+    return same.unionByName(found.select(F.col("key").alias(key), "length", "suspicious_total"))
 
 
 #: Bytes that the guard against binary content looks at.

@@ -156,3 +156,21 @@ def test_guards(spark):
     found = {r[0]: r[1] for r in df.select("name", textclean.text_error(F.col("content"))).collect()}
     assert found == {"PNG": "not valid UTF-8 text", "text": None, "bad": "not valid UTF-8 text", "nul": "looks like a binary container", "controls": "looks like a binary container", "few": None, "empty": None}
     assert df.filter(textclean.looks_binary(F.col("content"))).count() == 4
+
+
+def test_plain_characters_are_never_touched():
+    every = TextOptions(aggressive_homoglyphs=True)
+    parts = cps.STRIPPED + cps.FORMAT + cps.EXOTIC_SPACE + cps.CONFUSABLE
+    assert not [c for lo, hi in parts for c in range(lo, min(hi, 0xFF) + 1) if c <= 0x7F or c >= 0xC0]
+    assert textclean.touch_class(every)
+
+
+def test_rows_with_repeated_and_null_keys_stay_apart(spark):
+    rows = [(1, "ab\u200bc"), (1, "xy\u200b\u200bz"), (1, "plain"), (None, "n\u200b1"), (None, "n\u00a02"), (None, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    got = sorted((r.id or 0, r.clean or "", r.n_dropped) for r in textclean.clean(df, "id", "text").collect())
+    assert got == [(0, "", 0), (0, "n 2", 1), (0, "n1", 1), (1, "abc", 1), (1, "plain", 0), (1, "xyz", 2)]
+    totals = sorted((r.id or 0, r.length, r.suspicious_total) for r in textclean.totals(df, "id", "text").collect())
+    assert totals == [(0, 0, 0), (0, 3, 1), (0, 3, 1), (1, 4, 1), (1, 5, 0), (1, 5, 2)]
+    assert sorted((r.id or 0, r["count"], r.sample_offsets) for r in textclean.hits(df, "id", "text").collect()) == [(0, 1, [1]), (0, 1, [1]), (1, 1, [2]), (1, 2, [2, 3])]
+    assert sorted(r.text or "" for r in textclean.clean_column(df, "text").collect()) == ["", "abc", "n 2", "n1", "plain", "xyz"]
