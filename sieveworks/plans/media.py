@@ -38,7 +38,11 @@ EXPECTED: dict[str, tuple[str, str, str]] = {
     "webp": ("format('VP8({})', m)", "format('XMP({})', n)", "8 + n + n % 2"),
     "avi": ("format('LIST-hdrl(24), avih(12), LIST-movi({})', 12 + m + m % 2)", "format('LIST-INFO({})', 12 + n + n % 2)", "0"),
     "png": ("format('IHDR(13), IDAT({}), IEND(0)', m)", "format('tEXt({})', 6 + n)", "18 + n"),
-    "jpeg": ("'SOI(0), SOF0(5), SOS(6)'", "format('APP1({})', 6 + least(n, 65521))", "10 + least(n, 65521)"),
+    "jpeg": (
+        "'SOI(0), SOF0(5), SOS(6)'",
+        f"array_to_string(list_transform(range(0, greatest(n, 1), {synth.SEGMENT}), lambda k: format('APP1({{}})', 6 + least(n - k, {synth.SEGMENT}))), ', ')",
+        f"n + 10 * greatest(1, (n + {synth.SEGMENT - 1}) // {synth.SEGMENT})",
+    ),
     "gif": ("'HDR(13), GCE(8), IMG(14), TRL(1)'", "format('COMMENT({})', 4 + n + (n + 255) // 255)", "4 + n + (n + 255) // 255"),
     "mp4": ("format('moov({}), mvhd(32)', 48 + n)", "format('udta({})', 8 + n)", "0"),
     "mkv": ("format('EBML(16), Segment({}), Info({}), Info/TimestampScale(14), Cluster(15)', 68 + 2 * n, 36 + n)", "format('Info/Title({}), Tags({})', 10 + n, 12 + n)", "0"),
@@ -92,21 +96,36 @@ _SHOWN = {
 }
 
 
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+def _head_sql(text: str, longest: int) -> str:
+    """The first bytes of a text as they are shown: controls become ?, and if a character is cut, all beyond ASCII too."""
+    marks = text  # a character beyond ASCII as chr(2) and a chr(1) for each byte that follows its first
+    for n, chars in ((1, r"[\x{80}-\x{7FF}]"), (2, r"[\x{800}-\x{FFFF}]"), (3, r"[\x{10000}-\x{10FFFF}]")):
+        marks = f"regexp_replace({marks}, '{chars}', chr(2) || repeat(chr(1), {n}), 'g')"
+    whole = f"regexp_replace(substr({text}, 1, length(replace(substr({marks}, 1, {longest}), chr(1), ''))), '{_CONTROLS}', '?', 'g')"
+    return f"CASE WHEN substr({marks}, {longest + 1}, 1) = chr(1) THEN regexp_replace(substr({marks}, 1, {longest}), '[^\\t\\n\\r\\x20-\\x7E]', '?', 'g') ELSE {whole} END"
+
+
 def _fields(format: str) -> tuple[Query, str]:
-    """The metadata field that holds the text, and its size."""
+    """What is shown of the metadata field that holds the whole text, and the field's size; of several, the first's value and all sizes."""
     section, place, name = _SHOWN[format]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-        titled = docs.withColumn("text", F.concat(F.lit("\u200bTitle "), F.concat_ws("/", "lang", "source")))
-        found = titled.select("doc_id", F.lit(format).alias("format"), _made()[format].alias("content"))
-        files.bounded_batches(spark)
-        rows = inspect.fields(found, "doc_id").filter((F.col("section") == section) & (F.col("name") == name))
-        return rows.select("doc_id", "section", "place", "name", "value")
-
-    title = "'Title ' || concat_ws('/', lang, source)"
-    value = {"gif": f"'c' || {title}", "jpeg": f"'Exif??' || {title}", "mp4": title}.get(format, title)
-    return query, f"SELECT doc_id, '{section}' AS section, '{place}' AS place, '{name}' AS name, {value} AS value FROM documents"
+        made = media_files(spark, sf_dir, format)
+        rows = inspect.fields(made, "doc_id").filter((F.col("section") == section) & (F.col("name") == name))
+        return rows.groupBy("doc_id", "section", "place", "name").agg(F.min_by("value", "seq").alias("value"), F.sum("size").alias("size"))
+
+    text = "coalesce(text, '')"
+    shown = {"gif": f"'c' || {text}", "jpeg": f"'Exif' || chr(0) || chr(0) || {text}", "png": text}.get(format, text if format in ("webp", "mp4") else f"rtrim({text}, ' ' || chr(0))")
+    value = _head_sql("shown", inspect.PREVIEW if format in ("webp", "jpeg", "mp4") else inspect.LONGEST)
+    if format in ("webp", "jpeg", "mp4"):
+        first = f"left(shown, {synth.SEGMENT})"  # far beyond what is shown; texts are no controls
+        value = f"CASE WHEN strlen(shown) > 0 AND strlen(regexp_replace({first}, '{_CONTROLS}', '', 'g')) * 10 >= strlen({first}) * 7 THEN {value} END"
+    size = {"png": "n + 6", "gif": "n + 4 + (n + 255) // 255", "mp4": "n + 8", "raw": "greatest(n, 4) + 1", "jpeg": f"n + 6 * greatest(1, (n + {synth.SEGMENT - 1}) // {synth.SEGMENT})"}.get(format, "n")
+    return query, f"""SELECT doc_id, '{section}' AS section, '{place}' AS place, '{name}' AS name, {value} AS value, ({size})::bigint AS size
+        FROM (SELECT doc_id, {shown} AS shown, strlen({text})::bigint AS n FROM documents)"""
 
 
 def heic_items(spark: SparkSession, sf_dir: str) -> DataFrame:

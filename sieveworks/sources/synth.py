@@ -66,10 +66,17 @@ def png(text: Column, image: Column) -> Column:
     return F.concat(raw(b"\x89PNG\r\n\x1a\n"), png_chunk(b"IHDR", raw(bytes(13))), png_chunk(b"tEXt", title), png_chunk(b"IDAT", image), png_chunk(b"IEND", raw(b"")))
 
 
+#: Bytes of text in one APP1 segment, which holds 65,527 at most.
+SEGMENT = 65_000
+
+
 def jpeg(text: Column, scan: Column) -> Column:
-    """The text goes into an APP1 segment, which holds 65,527 bytes at most: what is longer is cut."""
-    exif = F.concat(raw(b"Exif\0\0"), F.substring(bytes_of(text), 1, 65_527))
-    app1 = F.concat(raw(b"\xff\xe1"), be16(_n(exif) + 2), exif)
+    """The text goes into APP1 segments of up to SEGMENT bytes; one at least."""
+    data = bytes_of(text)
+    starts = F.sequence(F.lit(1), F.greatest(_n(data), F.lit(1)).cast("int"), F.lit(SEGMENT))
+    parts = F.transform(starts, lambda k: F.concat(raw(b"Exif\0\0"), F.substr(data, k, F.lit(SEGMENT))))
+    segments = F.transform(parts, lambda p: F.concat(raw(b"\xff\xe1"), be16(_n(p) + 2), p))
+    app1 = F.aggregate(segments, raw(b""), lambda a, b: F.concat(a, b))
     return F.concat(raw(b"\xff\xd8"), app1, raw(b"\xff\xc0\0\x07ABCDE\xff\xda\0\x08scanhd"), scan, raw(b"\xff\xd9"))
 
 
