@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: windows filled from a sharded BM25 index."""
+"""Lexical retrieval packing: windows filled from a BM25 index in shards of texts that share rare terms."""
 
 from __future__ import annotations
 
@@ -9,21 +9,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.common import saved, sliced
 from sieveworks.llm.tokens import load
 
-#: Characters of text to a shard: one task holds one shard's ids and index.
-SHARD_CHARS = 4 << 20
+#: Tokens of a shard: a task holds one shard's ids and index at a time.
+SHARD_TOKENS = 1 << 20
 #: A longer document is retrieved in pieces of so many windows.
 PIECE_WINDOWS = 16
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 #: Entries of a Python worker's cache, of two generations each.
 CACHE = 600_000
 #: Documents of a batch, whose distinct runs are looked up together.
 BATCH_ROWS = 1000
+#: Pieces that are added to a shard at once.
+SLICE_ROWS = 32
 END = 2
 
 
@@ -104,7 +107,10 @@ def word_ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> DataFrame:
-    """(doc_id, start, doc_tokens, ids binary): documents' ids and the end id as unsigned 16-bit, in pieces of at most PIECE_WINDOWS windows."""
+    """(doc_id, start, doc_tokens, ids binary, t1 int, t2 int): documents' ids and the end id as unsigned 16-bit, in pieces of at most PIECE_WINDOWS windows.
+
+    t1 and t2 are a piece's two largest ids: of a vocabulary in the order of its merges, the rarest.
+    """
     most = PIECE_WINDOWS * window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,54 +119,78 @@ def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> Dat
             out = []
             for i, data in zip(batch.column("doc_id").to_pylist(), cache.of(batch.column("text")), strict=True):
                 data += last
-                out += [(i, k, len(data) // 2, data[2 * k : 2 * (k + most)]) for k in range(0, len(data) // 2, most)]
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "doc_tokens", "ids"])
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary")
+                for k in range(0, len(data) // 2, most):
+                    part = data[2 * k : 2 * (k + most)]
+                    ids = np.frombuffer(part, "<u2")
+                    top = int(ids.max())
+                    out.append((i, k, len(data) // 2, part, top, int(ids.max(where=ids < top, initial=0))))
+            columns = zip(*out, strict=True) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "doc_tokens", "ids", "t1", "t2"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, t1 int, t2 int")
+
+
+def statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
+    """How many of all pieces hold each id (65,536 at most), how many pieces there are, and their mean length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        for pdf in batches:
+            for ids in pdf["ids"]:
+                ids = np.frombuffer(ids, "<u2")
+                df[np.flatnonzero(np.bincount(ids))] += 1
+                n, tokens = n + 1, tokens + len(ids)
+        held = np.flatnonzero(df)
+        yield pd.DataFrame({"id": [*held, -1, -2], "n": [*df[held], n, tokens]})
+
+    rows = pieces.select("ids").mapInPandas(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(1 << 16, np.int64)
+    known = rows["id"] >= 0
+    df[rows["id"][known]] = rows["n"][known]
+    n, tokens = (int(rows["n"][rows["id"] == k].sum()) for k in (-1, -2))
+    return df, n, tokens / max(n, 1)
 
 
 class Index:
-    """BM25 over the token ids of one shard's pieces."""
+    """BM25 over the token ids of one shard's pieces; document frequencies and mean length are those of all pieces."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float):
         found = [np.unique(p, return_counts=True) for p in pieces]
         sizes = np.array([len(f[0]) for f in found])
         term, tf = np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])
         doc = np.repeat(np.arange(len(pieces)), sizes)
-        length = np.array([len(p) for p in pieces], float)
-        df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((len(pieces) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / length.mean())
+        norm = K1 * (1 - B + B * np.array([len(p) for p in pieces], float) / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.n, self.ends = len(pieces), np.cumsum(sizes)
-        self.term, self.weight = term, weight
+        self.n, self.ends, self.term = len(pieces), np.cumsum(sizes), term
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(df)])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=1 << 16))])
 
     def neighbours(self, k: int, used: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a query term with piece k (its heaviest terms), best first."""
-        a, b = (self.ends[k - 1] if k else 0), self.ends[k]
-        w = self.weight[a:b]
-        top = np.argpartition(w, -QUERY_TERMS)[-QUERY_TERMS:] if b - a > QUERY_TERMS else slice(None)
-        score = np.zeros(self.n)
-        for t in self.term[a:b][top].tolist():
-            x, y = self.first[t], self.first[t + 1]
-            score[self.docs[x:y]] += self.weights[x:y]
+        """Unused pieces that share a term with piece k, best first."""
+        t = self.term[self.ends[k - 1] if k else 0 : self.ends[k]]
+        size = self.first[t + 1] - self.first[t]
+        at = np.arange(size.sum()) + np.repeat(self.first[t] - np.cumsum(size) + size, size)
+        score = np.bincount(self.docs[at], self.weights[at], self.n)
         score[used] = 0
         at = np.flatnonzero(score)
         return at[np.argsort(-score[at], kind="stable")]
 
 
-def fill(pieces: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def fill(pieces: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (piece, from, to): every token once, all but the last few exactly `window` long.
 
     A seed's unused neighbours fill its window, best first; where they end, the next unused piece is another seed. A
-    piece that is too long is cut and goes on in the next window as its seed. What is left at the end becomes
-    sequences of powers of two, which need no padding.
+    piece that is too long is cut and goes on in the next window as its seed. Pieces with equal ids don't meet in a
+    window while others are left. What is left at the end becomes sequences of powers of two, which need no padding.
     """
-    index, used = Index(pieces), np.zeros(len(pieces), bool)
+    index, used = Index(pieces, idf, mean), np.zeros(len(pieces), bool)
+    same = [hash(p.tobytes()) for p in pieces]
     order = iter(np.argsort([-len(p) for p in pieces], kind="stable").tolist())
     done: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
@@ -189,7 +219,11 @@ def fill(pieces: list[np.ndarray], window: int) -> list[list[tuple[int, int, int
             used[seed] = True
             place(seed, 0)
         if carry is None and now:
+            held = {same[k] for k, _, _ in now}
             for k in index.neighbours(seed, used).tolist():
+                if same[k] in held:
+                    continue
+                held.add(same[k])
                 used[k] = True
                 place(k, 0)
                 if not now or carry is not None:
@@ -208,31 +242,31 @@ def fill(pieces: list[np.ndarray], window: int) -> list[list[tuple[int, int, int
     return done
 
 
-def pack(docs: DataFrame, path: str, window: int = 4096, end: int = END, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 4096, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Packs all rows of docs into sequences of at most `window` tokens; one row per piece of a document in a sequence.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids binary): ids as unsigned 16-bit
     little-endian, their CRC-32 as unsigned 32-bit; start and doc_tokens count the document's ids, the end id
     included; offsets in a sequence have no gap.
 
-    Shards are dealt by a hash of (doc_id, piece), so no source or length makes a large one, and hold about
-    shard_chars characters. Each is one BM25 index whose seeds take their unused neighbours. A shard's sequences are
-    full but for the last ones, whose lengths are powers of two.
+    Pieces are ordered by their two rarest ids, ties by a hash, and cut to shards of about shard_tokens: texts that
+    share rare terms meet at any size of the table, and no source, length or group of copies makes a large shard.
+    Each shard is one BM25 index, with the frequencies of all pieces, whose seeds take their unused neighbours by all
+    their terms. A shard's sequences are full but for the last ones, whose lengths are powers of two.
 
     Null and empty texts: the end id alone. Null doc_id: packed like the rest. Repeated rows are packed each. An empty
     table gives an empty result; other columns are ignored.
     """
-    chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
-    shards = max(1, -(-chars // shard_chars))
     pieces = token_pieces(docs, path, window, end)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(shards)))
+    pieces = saved(pieces.withColumn("h", F.xxhash64("doc_id", "start", F.crc32("ids"))), "pieces")
+    df, n, mean = statistics(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast((idf_of(df, n), mean))  # one number for each id of the vocabulary
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        ids = [np.frombuffer(bytes(x), "<u2") for x in pdf["ids"]]
+    def packed(pdf: pd.DataFrame, first: int) -> pd.DataFrame:
+        ids = [np.frombuffer(x, "<u2") for x in pdf["ids"]]
         doc, start, tokens = (pdf[c].to_numpy() for c in ("doc_id", "start", "doc_tokens"))
-        first, out = int(pdf["shard"].iloc[0]) << 32, []
-        for number, sequence in enumerate(fill(ids, window)):
+        out = []
+        for number, sequence in enumerate(fill(ids, window, *shared.value)):
             offset = 0
             for k, a, b in sequence:
                 part = ids[k][a:b]
@@ -240,4 +274,18 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end: int = END, shard_c
                 offset += b - a
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return pieces.groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, first = [], 0, TaskContext.get().partitionId() << 40
+        for pdf in sliced(batches, SLICE_ROWS):
+            held.append(pdf)
+            size += sum(map(len, pdf["ids"])) // 2
+            if size >= shard_tokens:
+                out = packed(pd.concat(held, ignore_index=True), first)
+                first, held, size = int(out["sequence_id"].max()) + 1, [], 0
+                yield out
+        if size:
+            yield packed(pd.concat(held, ignore_index=True), first)
+
+    order = ["t1", "t2", "h"]
+    dealt = pieces.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "start")
+    return dealt.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

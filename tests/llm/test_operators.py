@@ -114,7 +114,7 @@ def library_ids(name, text):
 
 def test_packing(docs):
     window = 256
-    rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=window, shard_chars=20_000).collect()
+    rows = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=window, shard_tokens=5_000).collect()
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -141,11 +141,45 @@ def test_packing(docs):
 def test_packing_takes_the_best_unused_neighbours():
     rng = np.random.default_rng(0)
     topics = [rng.integers(k * 100, k * 100 + 40, 60).astype("<u2") for k in range(4) for _ in range(8)]
-    done = packing.fill(topics, 480)
+    flat = np.ones(1 << 16)
+    done = packing.fill(topics, 480, flat, 60.0)
     inside = [len({k // 8 for k, _, _ in s}) for s in done if sum(b - a for _, a, b in s) == 480]
     assert inside == [1, 1, 1, 1]
 
 
+def test_packing_ranks_by_plain_bm25_over_all_terms():
+    rng = np.random.default_rng(1)
+    pieces = [rng.zipf(1.3, rng.integers(20, 200)).clip(max=300).astype("<u2") for _ in range(80)]
+    df = np.bincount(np.concatenate([np.unique(p) for p in pieces]), minlength=1 << 16)
+    idf, mean = packing.idf_of(df, 80), float(np.mean([len(p) for p in pieces]))
+    index, used = packing.Index(pieces, idf, mean), np.zeros(80, bool)
+    used[[3, 9]] = True
+
+    def bm25(query, piece):
+        tf = Counter(piece.tolist())
+        return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(piece) / mean)) for t in set(query.tolist()) if t in tf)
+
+    for k in (0, 40, 79):
+        scores = {j: bm25(pieces[k], p) for j, p in enumerate(pieces) if j not in (3, 9)}
+        got = index.neighbours(k, used).tolist()
+        assert np.allclose([scores[j] for j in got], sorted((x for x in scores.values() if x > 0), reverse=True))
+
+
+def test_packing_keeps_copies_apart_and_like_texts_together(spark):
+    rng = random.Random(3)
+    themes = [[f"{rng.choice('bcdfgklmprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmprst')}{rng.choice('aeiou')}x{t}q{k}" for k in range(30)] for t in range(12)]
+    rows = [(k, " ".join(rng.choice(themes[k % 12]) for _ in range(60))) for k in range(480)]
+    rows += [(1000, rows[0][1])] * 9
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"), window=4096, shard_tokens=40_000).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r.doc_id)
+    full = [s for s in sequences.values() if len(s) >= 6]
+    assert sum(s.count(1000) > 1 for s in full) <= 1
+    alike = [max(Counter(d % 12 for d in s if d < 1000).values()) / len(s) for s in full if any(d < 1000 for d in s)]
+    assert np.mean(alike) > 0.3  # a twelfth if dealt at random
+
+
 # ---- 3: token counts
 
 
