@@ -565,6 +565,49 @@ def test_chroma_survives_noise():
     assert n > 20 and wrong < 0.1
 
 
+def test_chroma_finds_alignments_with_bit_errors(spark):
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    base = rng.integers(0, 1 << 32, size=(30, 50), dtype=np.uint64)
+    for k, fp in enumerate(base):
+        rows.append((k, fp.astype(np.int64).tolist()))
+    for n, share in enumerate((0.0, 0.05, 0.1)):
+        for k, fp in enumerate(base):
+            at = int(rng.integers(0, 15))
+            wrong = rng.random((50 - at, 32)) < share
+            noisy = fp[at:] ^ (wrong * (1 << np.arange(32, dtype=np.uint64))).sum(axis=1).astype(np.uint64)
+            rows.append((100 * (n + 1) + k, noisy.astype(np.int64).tolist()))
+            want[100 * (n + 1) + k] = (k, -at)
+    rows += [(900, [7]), (901, [7]), (902, []), (903, [5] * 40), (904, [5] * 40)]
+    prints = spark.createDataFrame(rows, "rec_id long, fp array<long>")
+    got = {(r.query_id, r.rec_id): r.offset for r in chroma.align(prints, prints.filter("rec_id < 30 or rec_id > 899")).collect()}
+    fps = {i: np.array(v, np.uint64) for i, v in rows}
+
+    def errors(a, b, offset):  # of two recordings with b's positions offset from a's
+        first = max(0, -offset)
+        n = min(len(a) - first, len(b) - first - offset)
+        return np.bitwise_count(a[first : first + n] ^ b[first + offset : first + offset + n]).sum() / (32 * n) if n > 0 else 1.0
+
+    for n in (1, 2, 3):  # recall against the brute-force alignment
+        pairs = [(k, i, o) for i, (k, o) in want.items() if i // 100 == n and min((errors(fps[k], fps[i], x), x) for x in range(-49, len(fps[i])))[1] == o]
+        assert len(pairs) >= 28 and sum(got.get((k, i)) == o for k, i, o in pairs) >= 0.9 * len(pairs)
+    assert got[900, 901] == got[901, 900] == 0 and got[903, 904] == 0
+    assert all(errors(fps[a], fps[b], o) <= 0.2 for (a, b), o in got.items())
+
+
+def test_chroma_frames_take_as_long_at_any_rate():
+    rng = np.random.default_rng(2)
+    notes = rng.integers(-12, 12, 24)
+
+    def song(rate):
+        t = np.arange(rate // 4) / rate
+        return np.concatenate([np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in notes]).astype(np.float32)
+
+    a, b = (chroma.fingerprint(chroma.chroma(song(rate), rate)) for rate in (8000, 11025))
+    n = min(len(a), len(b))
+    assert abs(len(a) - len(b)) <= 1 and np.unpackbits((a[:n] ^ b[:n]).astype("<u4").view("u1")).mean() < 0.1
+
+
 # ---- 10: mixing
 
 
