@@ -20,6 +20,8 @@ GENERATOR = 0b101011100011
 #: A bucket of more fingerprints than this is compared block by block.
 BLOCK = 2048
 HASH_CHUNK = 1 << 16
+#: Fingerprints of a bucket beyond which it is dealt anew by finer keys.
+LARGE = 1 << 14
 
 
 def fingerprint(text: str | None, shingle_words: int) -> int:
@@ -153,50 +155,86 @@ def linked(fp: np.ndarray, errors: int) -> list[tuple[int, int]]:
     return list(zip(fp[at].view(np.int64).tolist(), fp[label[at]].view(np.int64).tolist(), strict=True))
 
 
-def links(fps: DataFrame, errors: int = 4, exact: int = 1) -> DataFrame:
+def _keyed(batches: Iterator[pd.DataFrame], errors: int, exact: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        fp = pdf["fp"].to_numpy().view(np.uint64)
+        for keys in bucket_keys(fp, errors, exact):
+            new = np.ones(keys.shape, bool)
+            new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            yield pd.DataFrame({"key": keys[new], "fp": np.repeat(pdf["fp"].to_numpy(), new.sum(axis=1))})
+
+
+def _finer(key: int, fp: np.ndarray, errors: int) -> pd.DataFrame:
+    """A large bucket's fingerprints under a key for each of errors + 1 segments: two within `errors` bits share one."""
+    keys = []
+    for k, (a, n) in enumerate(cut(64, errors + 1)):
+        part = fp.view(np.uint64) >> np.uint64(a) & np.uint64((1 << n) - 1)
+        mixed = (part + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key & (1 << 64) - 1)
+        keys.append((mixed ^ mixed >> np.uint64(31)).view(np.int64))
+    return pd.DataFrame({"a": np.tile(fp, len(keys)), "b": np.tile(fp, len(keys)), "key": np.concatenate(keys)})
+
+
+def _compared(batches: Iterator[pd.DataFrame], errors: int, large: int | None) -> Iterator[pd.DataFrame]:
+    """Edges (a, b) of the buckets in key order; the rows of one with over `large` fingerprints go on with a finer key."""
+
+    def edges(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.diff(at)
+        two = at[:-1][size == 2]
+        near2 = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= errors]
+        out = [np.stack([fp[near2], fp[near2 + 1]], axis=1)]
+        for a, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if e := linked(np.unique(fp[a : a + n]).view(np.uint64), errors):
+                out.append(np.array(e, np.int64))
+        found = np.concatenate(out)
+        return pd.DataFrame({"a": found.max(axis=1), "b": found.min(axis=1), "key": None}).drop_duplicates(["a", "b"])
+
+    key, fp, going = np.empty(0, np.int64), np.empty(0, np.int64), None
+    for pdf in batches:
+        key, fp = np.concatenate([key, pdf["key"].to_numpy()]), np.concatenate([fp, pdf["fp"].to_numpy()])
+        if not len(key):
+            continue
+        if going is not None:  # the rest of a large bucket
+            n = int(np.searchsorted(key, going, "right"))
+            yield _finer(going, fp[:n], errors)
+            key, fp = key[n:], fp[n:]
+            if not len(key):
+                continue
+            going = None
+        whole = int(np.searchsorted(key, key[-1]))
+        if whole:
+            yield edges(key[:whole], fp[:whole])
+            key, fp = key[whole:], fp[whole:]
+        if large is not None and len(key) > large:
+            going = int(key[0])
+            yield _finer(going, fp, errors)
+            key, fp = key[:0], fp[:0]
+    if len(key):
+        yield edges(key, fp)
+
+
+def links(fps: DataFrame, errors: int = 4, exact: int | None = None) -> DataFrame:
     """(a, b) of distinct fingerprints (fp long): edges with the same components as all links within `errors` bits.
 
     Keys are shuffled, never pairs; a bucket's edges are fewer than its fingerprints. Rows of a bucket arrive in key
-    order over Arrow batches, and only the open bucket is held.
+    order over Arrow batches, and only the open bucket is held. Keys hold more exact bits for larger tables, so that
+    buckets stay small; a bucket that is large for all that is dealt once more, by segments of its fingerprints.
     """
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = pdf["fp"].to_numpy().view(np.uint64)
-            for keys in bucket_keys(fp, errors, exact):
-                new = np.ones(keys.shape, bool)
-                new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-                yield pd.DataFrame({"key": keys[new], "fp": np.repeat(pdf["fp"].to_numpy(), new.sum(axis=1))})
-
-    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def edges(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            near2 = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= errors]
-            out = [np.stack([fp[near2], fp[near2 + 1]], axis=1)]
-            for a, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if e := linked(fp[a : a + n].view(np.uint64), errors):
-                    out.append(np.array(e, np.int64))
-            found = np.concatenate(out)
-            return pd.DataFrame({"a": found.max(axis=1), "b": found.min(axis=1)}).drop_duplicates()
-
-        key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
-        for pdf in batches:
-            key, fp = np.concatenate([key, pdf["key"].to_numpy()]), np.concatenate([fp, pdf["fp"].to_numpy()])
-            whole = np.searchsorted(key, key[-1]) if len(key) else 0
-            if whole:
-                yield edges(key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
-        if len(key):
-            yield edges(key, fp)
-
-    keys = fps.select("fp").mapInPandas(keyed, "key long, fp long")
-    found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(compared, "a long, b long")
-    return found.distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, errors: int = 4, exact: int = 1) -> DataFrame:
+    if exact is None:
+        n = fps.count()
+        exact = 1 if n < 1 << 26 else 2 if n < 1 << 34 else 3
+    edge = "a long, b long, key long"
+    keys = fps.select("fp").mapInPandas(lambda b: _keyed(b, errors, exact), "key long, fp long")
+    found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, LARGE), edge)
+    found = saved(found, "simhash-edges")
+    near_, large = found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias("fp"))
+    if not large.isEmpty():
+        again = large.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, None), edge)
+        near_ = near_.union(again.select("a", "b"))
+    return near_.distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, errors: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document with a doc_id.
 
     Documents whose fingerprints differ in at most `errors` bits are linked; component_id is the smallest doc_id
@@ -206,8 +244,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, errors: int = 4, ex
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
     fps = saved(fingerprints(docs, shingle_words), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(links(nodes, errors, exact))
+    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
+    groups = components(links(nodes, errors))
     nodes = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     nodes = saved(nodes, "simhash-nodes")
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -269,14 +269,18 @@ def test_near_duplicates_compares_all_pairs_of_a_bucket(spark):
     assert shingles.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_simhash_loses_no_link(spark):
+@pytest.mark.parametrize(("exact", "large"), [(None, 1 << 14), (2, 1 << 14), (1, 20)])
+def test_simhash_loses_no_link(spark, monkeypatch, exact, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(150)]
     for v in values[:100]:
         for bits in (1, 2, 3, 4, 5):
             values.append(v ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    for _ in range(200):  # a dense group, whose buckets are large
+        values.append(values[0] ^ sum(1 << b for b in rng.sample(range(12), 3)))
     signed = [v - (1 << 64) if v >> 63 else v for v in sorted(set(values))]
-    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), exact=exact).collect()
     bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     near = [(a, b) for a in signed for b in signed if a < b and bits(a, b) <= 4]
     assert groups(signed, [(r.a, r.b) for r in edges]) == groups(signed, near)
