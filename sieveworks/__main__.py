@@ -9,9 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.operators import batch, inspect, strip, textclean
+from sieveworks.operators import batch, inspect, textclean
 from sieveworks.operators.textclean import TextOptions
 from sieveworks.sources.files import read_files
+from sieveworks.sources.shared import saved
 
 VERSION = "0.1.0"
 FLAGS = ("dry-run", "inspect", "verbose", "overwrite", "keep-musical", "nfkc", "aggressive-homoglyphs", "no-normalize-spaces", "strip-emoji-glue", "strip-bidi", "force-text")
@@ -48,18 +49,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         parser().error(f"no such input: {args.input}")
     if args.inspect:
         cleaned = batch.strip_files(found, options, args.keep_musical, args.force_text).select("path", "format", "bytes_in", "dropped", "error")
-        media = inspect.metadata(found.filter("format != 'text'"), "path").select("path", "metadata")
+        media = inspect.metadata(found.filter("format != 'text'"), "path", args.keep_musical).select("path", "metadata")
         texts = found.filter("format = 'text'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         hits = textclean.hits(texts, "path", "text", options).groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "cp", "codepoint", "kind", "confidence", "count", "sample_offsets")))).alias("hits"))
-        shown = cleaned.join(media, "path", "left").join(hits, "path", "left")
+        totals = textclean.report(texts, "path", "text", options)
+        shown = cleaned.join(media, "path", "left").join(totals, "path", "left").join(hits, "path", "left")
         for line in shown.orderBy("path").select(F.to_json(F.struct(*shown.columns))).toLocalIterator():
             print(line[0])
         return 2 if not cleaned.filter("error is not null").isEmpty() else 0
-    if args.verbose or args.dry_run:
-        for line in strip.summary(batch.strip_files(found, options, args.keep_musical, args.force_text), "path").orderBy("path").toLocalIterator():
-            print(line.path, line.line)
     single = found.limit(2).count() == 1
-    done = batch.process(found, args.out, options, keep_musical=args.keep_musical, force_text=args.force_text, dry_run=args.dry_run, overwrite=args.overwrite, single_file=single)
+    done = batch.process(found, args.out, options, verbose=args.verbose, keep_musical=args.keep_musical, force_text=args.force_text, dry_run=args.dry_run, overwrite=args.overwrite, single_file=single)
+    done = saved(done, "statuses")  # files are read, cleaned and written in this one run
+    for row in done.orderBy("path").toLocalIterator():
+        print(row.status, row.path, row.line, sep="\n  ")
     result = batch.totals(done).first()
     print(f"done: {result.ok} ok, {result.failed} failed")
     return result.exit_code

@@ -57,13 +57,23 @@ def checked(found: DataFrame, force_text: bool = False) -> DataFrame:
     return media.unionByName(texts)
 
 
-def process(found: DataFrame, out: str, options: TextOptions = textclean.DEFAULT, *, keep_musical: bool = False, force_text: bool = False, dry_run: bool = False, overwrite: bool = False, single_file: bool = False) -> DataFrame:
-    """Cleans the files into the folder out: (path, out, status, error). With dry_run nothing is written."""
+def process(found: DataFrame, out: str, options: TextOptions = textclean.DEFAULT, *, keep_musical: bool = False, force_text: bool = False, dry_run: bool = False, overwrite: bool = False, single_file: bool = False, verbose: bool | None = None) -> DataFrame:
+    """Cleans the files into the folder out: (path, out, status, error). With dry_run nothing is written.
+
+    With verbose given, a column line says what was kept and dropped, in full or (False) in short; only then are files
+    cleaned in a dry run.
+    """
     target = out_path(F.col("path"), F.lit(out), single_file)
+    shown = [] if verbose is None else ["line"]
+    if dry_run and verbose is None:
+        cleaned = checked(found, force_text)
+    else:
+        cleaned = strip_files(found, options, keep_musical, force_text)
+        cleaned = cleaned if verbose is None else cleaned.withColumn("line", strip.result_line(verbose))
+    cleaned = cleaned.withColumn("out", target)
     if dry_run:
-        return checked(found, force_text).withColumn("out", target).select("path", "out", F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL).alias("status"), "error")
-    cleaned = strip_files(found, options, keep_musical, force_text).withColumn("out", target)
-    return files.write_files(cleaned, overwrite)
+        return cleaned.select("path", "out", F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL).alias("status"), "error", *shown)
+    return files.write_files(cleaned, overwrite, *shown)
 
 
 def totals(statuses: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sieveworks.operators import textclean
-from sieveworks.operators.strip import with_units
+from sieveworks.operators.strip import MUSICAL, with_error
 from sieveworks.sources.fields import FIELD_READERS, FIELDS
 from sieveworks.sources.units import Malformed
 
@@ -104,16 +104,18 @@ def _added(section: Column, detail: Column) -> Column:
     return F.when(section == "gps", position).when(d("ns").isNotNull(), date).otherwise(detail)
 
 
-def fields(files: DataFrame, key: str) -> DataFrame:
+def fields(files: DataFrame, key: str, keep_musical: bool = False) -> DataFrame:
     """(key, format, seq, section, place, name, kind, value, size, detail) of the files' metadata; key identifies a file.
 
     place is the path of boxes, directories or tags inside the file. key must not be named as one of the others.
 
-    A file that cleaning refuses has no fields. Values lose invisible code points as cleaning drops them; for that the
+    With keep_musical the WAV chunks that cleaning then keeps aren't listed. A file that cleaning refuses has no fields. Values lose invisible code points as cleaning drops them; for that the
     fields, not the files, are shuffled once.
     """
-    checked = with_units(files).select(key, "format", scan_fields(F.col("format"), F.when(F.col("error").isNull(), F.col("content"))).alias("fields"))
+    checked = with_error(files).select(key, "format", scan_fields(F.col("format"), F.when(F.col("error").isNull(), F.col("content"))).alias("fields"))
     rows = checked.select(F.col(key), "format", F.posexplode("fields").alias("seq", "f")).select(key, "format", "seq", "f.section", F.col("f.path").alias("place"), "f.name", "f.raw", "f.size", "f.detail")
+    if keep_musical:
+        rows = rows.filter(~((F.col("format") == "wav") & (F.col("section") == "chunks") & F.trim(F.col("name").cast("string")).isin(*(role.strip() for _, role, _, _ in MUSICAL))))
     previewed = F.col("section").isin("segments", "boxes") | ((F.col("section") == "chunks") & (F.col("format") == "webp"))
     whole = F.col("format").isin("png", "gif")
     value = F.when(previewed, text_or_null(F.col("raw"))).when(whole, sanitise(F.col("raw"))).otherwise(clean_tag(F.col("raw")))
@@ -124,9 +126,9 @@ def fields(files: DataFrame, key: str) -> DataFrame:
     return textclean.clean_column(rows, "value", textclean.SCRUB)
 
 
-def metadata(files: DataFrame, key: str) -> DataFrame:
+def metadata(files: DataFrame, key: str, keep_musical: bool = False) -> DataFrame:
     """(key, format, metadata) with one VARIANT per file that has fields: its sections, each a list of fields in order."""
-    found = fields(files, key)
+    found = fields(files, key, keep_musical)
     shown = ("place", "name", "kind", "value", "size", "detail")
     one = F.struct("seq", F.to_json(F.struct(*shown)).alias("json"))
     sections = found.groupBy(key, "format", "section").agg(F.array_sort(F.collect_list(one)).alias("rows"))

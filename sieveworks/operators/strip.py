@@ -277,7 +277,13 @@ def listed(parts: Column) -> Column:
     return F.when(F.size(parts) == 0, "none").otherwise(names)
 
 
-def summary(report: DataFrame, *keys: str) -> DataFrame:
-    """keys with a line of text: kept and dropped parts and bytes, as a terminal shows them."""
-    line = F.format_string("kept: %s; dropped: %s; bytes: %d -> %d (saved %d)", listed(F.col("kept")), listed(F.col("dropped")), "bytes_in", "bytes_out", "bytes_saved")
-    return report.select(*keys, F.coalesce(F.concat(F.lit("FAIL "), "error"), line).alias("line"))
+def result_line(verbose: bool) -> Column:
+    """What a terminal shows of a report's row: kept and dropped parts and bytes, each on a line, or how much was dropped."""
+    long = F.format_string("kept: %s\ndropped: %s\nbytes: %d -> %d (saved %d)", listed(F.col("kept")), listed(F.col("dropped")), "bytes_in", "bytes_out", "bytes_saved")
+    short = F.format_string("dropped %d chunk(s), saved %d bytes", F.size("dropped"), "bytes_saved")
+    return F.coalesce(F.concat(F.lit("FAIL "), "error"), long if verbose else short)
+
+
+def summary(report: DataFrame, *keys: str, verbose: bool = True) -> DataFrame:
+    """keys with the text that a terminal shows."""
+    return report.select(*keys, result_line(verbose).alias("line"))

@@ -257,6 +257,22 @@ def totals(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -
     return same.unionByName(found.select(F.col("key").alias(key), "length", "suspicious_total"))
 
 
+# What an inspection says of its limits, and, last, of a text without a hit.
+NOTES = (
+    "Layer A only: invisible/format Unicode and space homoglyphs (edit-based carriers).",
+    "Statistical (token-sampling) watermarks are not detectable here.",
+    "Inspect kinds: strip, bidi, tag_chars, variation_selector, zwj_family, private_use, space, confusable, other_cf.",
+    "Load-bearing invisibles are preserved by default during cleaning: emoji glue, CJK/Mongolian variation selectors, script joiners, complete flag tag sequences, same-script fillers/selectors, RTL directional marks/paired embeddings, orthographic Cf, visible-layout controls next to their own script. Use explicit strip flags only after review.",
+)
+NO_HITS = "No deterministic Layer A (invisible Unicode/format) carriers detected."
+
+
+def report(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) -> DataFrame:
+    """totals() with notes, an array of sentences."""
+    notes = F.array(*map(F.lit, NOTES))
+    return totals(df, key, text, options).withColumn("notes", F.when(F.col("suspicious_total") == 0, F.array_append(notes, F.lit(NO_HITS))).otherwise(notes))
+
+
 #: Bytes that the guard against binary content looks at.
 SNIFFED = 4096
 

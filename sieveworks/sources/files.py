@@ -55,30 +55,29 @@ OK, SKIP, FAIL, DRY = "OK", "SKIP", "FAIL", "DRY"
 def _written(batches: Iterator[pd.DataFrame], overwrite: bool) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    def status(out: str, content: bytes | None, error: str | None) -> tuple[str, str | None]:
+        if error is not None or content is None:
+            return FAIL, error or "no content"
+        try:
+            store, target = fs.FileSystem.from_uri(out)
+            if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
+                return SKIP, None
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            part = f"{target}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(part) as stream:
+                stream.write(content)
+            store.move(part, target)
+        except OSError as why:
+            return FAIL, str(why)
+        return OK, None
+
     for pdf in batches:
-        rows = []
-        for path, out, content, error in zip(pdf["path"], pdf["out"], pdf["content_out"], pdf["error"], strict=True):
-            if error is not None or content is None:
-                rows.append((path, out, FAIL, error or "no content"))
-                continue
-            try:
-                store, target = fs.FileSystem.from_uri(out)
-                if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
-                    rows.append((path, out, SKIP, None))
-                    continue
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                part = f"{target}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(part) as stream:
-                    stream.write(content)
-                store.move(part, target)
-                rows.append((path, out, OK, None))
-            except OSError as why:
-                rows.append((path, out, FAIL, str(why)))
-        yield pd.DataFrame(rows, columns=["path", "out", "status", "error"])
-
-
-def write_files(cleaned: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Writes content_out to out for every row of (path, out, content_out, error); gives (path, out, status, error).
+        found = [status(*row) for row in zip(pdf["out"], pdf["content_out"], pdf["error"], strict=True)]
+        yield pdf.drop(columns=["content_out", "error"]).assign(status=[f[0] for f in found], error=[f[1] for f in found])
+
+
+def write_files(cleaned: DataFrame, overwrite: bool = False, *carried: str) -> DataFrame:
+    """Writes content_out to out for every row of (path, out, content_out, error); gives (path, out, status, error) and carried strings.
 
     Files are written where the rows are, to a name of their own and then moved, so that a lost executor leaves no
     half file; out must be on a store that all machines share. The plan writes when it runs: run it once, and keep
@@ -86,5 +85,6 @@ def write_files(cleaned: DataFrame, overwrite: bool = False) -> DataFrame:
     file that its first run wrote.
     """
     bounded_batches(cleaned.sparkSession)
-    rows = cleaned.select("path", "out", "content_out", "error")
-    return rows.mapInPandas(lambda batches: _written(batches, overwrite), "path string, out string, status string, error string")
+    rows = cleaned.select("path", "out", "content_out", "error", *carried)
+    schema = ", ".join(f"{c} string" for c in ("path", "out", "status", "error", *carried))
+    return rows.mapInPandas(lambda batches: _written(batches, overwrite), schema)

@@ -149,5 +149,7 @@ def test_tables_and_lines(spark):
     assert [(r.role, r.size) for r in parts.orderBy("seq").collect()] == [("fmt ", 16), ("LIST", 18), ("info", 5), ("data", 6)]
     assert joined.filter("role = 'data' and action = 'keep'").count() == 1
     lines = {r.id: r.line for r in strip.summary(strip.analyze(df), "id").collect()}
-    assert lines[1].startswith("kept: fmt(16), data(6); dropped: LIST(18); bytes: ") and lines[2].startswith("FAIL file too small")
+    assert lines[1].startswith("kept: fmt(16), data(6)\ndropped: LIST(18)\nbytes: ") and lines[2].startswith("FAIL file too small")
+    short = {r.id: r.line for r in strip.summary(strip.analyze(df), "id", verbose=False).collect()}
+    assert short[1] == "dropped 1 chunk(s), saved 26 bytes" and short[2].startswith("FAIL ")
     assert strip.strip(df.limit(0)).count() == 0
