@@ -210,6 +210,66 @@ def batch_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOTALS_SQL = "SELECT count(*) FILTER (doc_id % 4 IN (0, 1)) AS ok, count(*) FILTER (doc_id % 4 IN (2, 3)) AS failed, CASE WHEN count(*) FILTER (doc_id % 4 IN (2, 3)) > 0 THEN 2 ELSE 0 END::bigint AS exit_code FROM documents"
 
 
+#: (format, error) of files that lack something, in the order of _broken.
+BROKEN = (
+    ("wav", "WAV has no fmt chunk"),
+    ("wav", "WAV has no data chunk"),
+    ("webp", "WebP has no image chunk (VP8/VP8L/VP8X)"),
+    ("avi", "invalid AVI file (missing movi list)"),
+    ("png", "invalid PNG file (first chunk is not IHDR)"),
+    ("png", "invalid PNG file (bad or duplicate IHDR)"),
+    ("png", "invalid PNG file (missing IDAT)"),
+    ("png", "corrupt PNG chunk 'IDAT' (CRC mismatch)"),
+    ("gif", "truncated GIF file (missing trailer)"),
+    ("jpeg", "not a jpeg file (bad magic)"),
+    ("mp4", "invalid MP4/MOV file (missing moov box)"),
+    ("mkv", "file too small to be a mkv file"),
+    ("heic", "invalid HEIC file (missing meta box)"),
+    ("exe", "unsupported format"),
+)
+
+
+def _broken(text: Column) -> tuple[Column, ...]:
+    """The files of BROKEN; each holds the whole text, but for the shortest."""
+    data = synth.bytes_of(text)
+    fmt, info, sound = synth.riff_chunk(b"fmt ", synth.raw(bytes(16))), synth.riff_chunk(b"LIST", F.concat(synth.raw(b"INFO"), synth.riff_chunk(b"INAM", data))), synth.riff_chunk(b"data", data)
+    head, ihdr = synth.raw(b"\x89PNG\r\n\x1a\n"), synth.png_chunk(b"IHDR", synth.raw(bytes(13)))
+    idat, iend = synth.png_chunk(b"IDAT", data), synth.png_chunk(b"IEND", synth.raw(b""))
+    ftyp = synth.box(b"ftyp", synth.raw(b"isom\0\0\2\0"))
+    return (
+        synth.riff(b"WAVE", info, sound),
+        synth.riff(b"WAVE", fmt, info),
+        synth.riff(b"WEBP", synth.riff_chunk(b"XMP ", data)),
+        synth.riff(b"AVI ", info),
+        F.concat(head, idat, ihdr, iend),
+        F.concat(head, ihdr, ihdr, idat, iend),
+        F.concat(head, ihdr, synth.png_chunk(b"tEXt", data), iend),
+        F.concat(head, ihdr, F.substr(idat, F.lit(1), F.octet_length(idat) - 4), F.unhex(F.lpad(F.hex(F.crc32(idat)), 8, "0")), iend),
+        F.substr(synth.gif(F.concat(F.lit("c"), F.coalesce(text, F.lit("")))), F.lit(1), F.octet_length(synth.gif(F.concat(F.lit("c"), F.coalesce(text, F.lit(""))))) - 1),
+        F.concat(synth.raw(b"\xff\xd9\xff\xd8"), data),
+        F.concat(ftyp, synth.box(b"mdat", data)),
+        synth.raw(b"\x1a\x45"),
+        F.concat(synth.box(b"ftyp", synth.raw(b"heic\0\0\0\0")), synth.box(b"mdat", data)),
+        data,
+    )
+
+
+def media_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of files that lack a part that their format needs."""
+    files.bounded_batches(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    case, format, content = F.col("doc_id") % len(BROKEN), F, F
+    for k, ((name, _), data) in enumerate(zip(BROKEN, _broken(F.col("text")), strict=True)):
+        format, content = format.when(case == k, F.lit(name)), content.when(case == k, data)
+    made = docs.select("doc_id", F.explode(F.array(F.struct(format.alias("format"), content.alias("content")))).alias("f")).select("doc_id", "f.*")
+    return strip.with_error(made).select("doc_id", "format", "error")
+
+
+def _errors_sql() -> str:
+    pick = lambda k: " ".join(f"""WHEN {n} THEN '{c[k].replace("'", "''")}'""" for n, c in enumerate(BROKEN))
+    return f"SELECT doc_id, CASE doc_id % {len(BROKEN)} {pick(0)} END AS format, CASE doc_id % {len(BROKEN)} {pick(1)} END AS error FROM documents"
+
+
 def skip_existing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths that a rerun still has to do, where documents with a label are done."""
     done = spark.read.parquet(f"{sf_dir}/labels.parquet").join(_paths(spark, sf_dir), "doc_id").select(F.regexp_replace("path", "^/in/", "/out/").alias("path"))
@@ -247,6 +307,7 @@ for _name, (_query, _sql) in (
     ("supported_filter", (supported_filter, f"SELECT doc_id, '/in/' || {_NAME_SQL} AS path FROM documents WHERE {_FORMAT_SQL} IS NOT NULL")),
     ("out_path", (out_path, f"SELECT doc_id, '/out/' || {_NAME_SQL} AS out FROM documents")),
     ("batch_status_totals", (batch_status_totals, _TOTALS_SQL)),
+    ("media_errors", (media_errors, _errors_sql())),
     ("skip_existing_anti", (skip_existing_anti, f"SELECT doc_id, '/in/' || {_NAME_SQL} AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")),
     ("gps_decimal_degrees", (gps_decimal_degrees, _GPS_SQL)),
     ("mkv_date_iso", (mkv_date_iso, _DATE_SQL)),
