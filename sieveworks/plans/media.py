@@ -144,8 +144,8 @@ def cr3_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CR3_SQL = f"SELECT doc_id, 'mvhd' AS box, {0x11223344}::bigint AS creation, {0x55667788}::bigint AS modification FROM documents"
 
 
-def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All formats' parts as rows, joined with the policy table, and counted. Documents are read once."""
+def _decided_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All formats' parts as rows (format, id, size, action), actions by a join with the policy table. Documents are read once."""
     files.bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     each = F.array(*(F.struct(F.lit(f).alias("format"), content.alias("content")) for f, content in _made().items()))
@@ -154,7 +154,17 @@ def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     default = policy.filter("role = '*'").select("format", F.col("action").alias("default"))
     joined = strip.scanned_parts(made, "doc_id").join(policy, ["format", "role"], "left").join(F.broadcast(default), "format", "left")
     joined = joined.withColumn("action", F.coalesce("action", F.when(F.col("role") != "info", F.col("default"))))
-    return joined.filter("action is not null").groupBy("format", "id", "action").agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
+    return joined.filter("action is not null").select("format", "id", "size", "action")
+
+
+def chunk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and bytes by format and action, by format, and in all."""
+    return _decided_parts(spark, sf_dir).rollup("format", "action").agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
+
+
+def policy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All formats' parts, joined with the policy table, and counted."""
+    return _decided_parts(spark, sf_dir).groupBy("format", "id", "action").agg(F.count("*").alias("parts"), F.sum("size").alias("bytes"))
 
 
 def _policy_sql() -> str:
@@ -287,6 +297,20 @@ def gps_decimal_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GPS_SQL = "SELECT doc_id, round((CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) * ((doc_id % 90)::double + (doc_id % 60)::double / 60 + (doc_id % 6000)::double / 100 / 3600), 9) AS latitude FROM documents"
 
 
+def png_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time chunk of PNG files that hold the whole text, with a date made from doc_id."""
+    files.bounded_batches(spark)
+    i, byte = F.col("doc_id"), lambda n: F.unhex(F.lpad(F.hex(n), 2, "0"))
+    time = F.concat(synth.be16(2000 + i % 100), byte(i % 12 + 1), byte(i % 28 + 1), byte(i % 24), byte(i % 60), byte((i + 7) % 60))
+    ends = (synth.png_chunk(b"IDAT", synth.raw(b"x")), synth.png_chunk(b"IEND", synth.raw(b"")))
+    content = F.concat(synth.raw(b"\x89PNG\r\n\x1a\n"), synth.png_chunk(b"IHDR", synth.raw(bytes(13))), synth.png_chunk(b"tIME", time), synth.png_chunk(b"iTXt", synth.bytes_of(F.col("text"))), *ends)
+    made = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("png").alias("format"), content.alias("content"))
+    return inspect.fields(made, "doc_id").filter("section = 'time'").select("doc_id", F.col("value").alias("time"))
+
+
+_TIME_SQL = "SELECT doc_id, format('{}-{:02}-{:02} {:02}:{:02}:{:02}', 2000 + doc_id % 100, doc_id % 12 + 1, doc_id % 28 + 1, doc_id % 24, doc_id % 60, (doc_id + 7) % 60) AS time FROM documents"
+
+
 def mkv_date_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", inspect.ebml_date((F.col("doc_id") * 86_399 - 1_000_000) * 1_000_000_000).alias("iso"))
@@ -310,6 +334,8 @@ for _name, (_query, _sql) in (
     ("media_errors", (media_errors, _errors_sql())),
     ("skip_existing_anti", (skip_existing_anti, f"SELECT doc_id, '/in/' || {_NAME_SQL} AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")),
     ("gps_decimal_degrees", (gps_decimal_degrees, _GPS_SQL)),
+    ("png_time", (png_time, _TIME_SQL)),
+    ("chunk_rollup", (chunk_rollup, f"SELECT format, action, sum(parts)::bigint AS parts, sum(bytes)::bigint AS bytes FROM ({_policy_sql()}) GROUP BY ROLLUP (format, action)")),
     ("mkv_date_iso", (mkv_date_iso, _DATE_SQL)),
 ):
     QUERIES[_name], ORACLE_SQL[_name] = _query, _sql

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below spark.checkpoint.dir (unset, as in local tests: a temporary folder) and reads it back."""
+    """Writes df as Parquet below spark.checkpoint.dir and reads it back. Unset: a temporary folder, in a local session alone."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sieveworks-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='sieveworks-')}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
