@@ -13,6 +13,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from sieveworks.llm.common import saved, sliced
 
@@ -156,8 +158,12 @@ class NearestExamples:
         share = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
         return min(1.0, max(0.0, share)), self.ids[best], cos
 
-    def calibrated(self, share: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * _logit(share) + self.shift)))
+    def score(self, text: str | None, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated vote on a text, its neighbours and their cosines; without neighbours the base rate."""
+        share, ids, cos = self.vote(*terms(text), k)
+        if len(ids):
+            share = 1 / (1 + math.exp(-(self.slope * float(_logit(share)) + self.shift)))
+        return share, ids, cos
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -239,17 +245,21 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = index.value
         for pdf in sliced(batches):
-            found = [model.vote(*terms(t), neighbours) for t in pdf["text"]]
+            found = [model.score(t, neighbours) for t in pdf["text"]]
             evidence = [[{"doc_id": int(i), "cosine": float(c)} for i, c in zip(ids, cos, strict=True)] for _, ids, cos in found]
-            share = np.array([f[0] for f in found], float)
-            p = np.where([len(f[1]) > 0 for f in found], model.calibrated(share), share)
+            p = np.array([f[0] for f in found], float)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype(int), "evidence": evidence}, index=pdf.index)
 
     scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,cosine:double>>")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, columns as in docs. Rows with null doc_id stay."""
-    rejected = score(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """The rows whose text isn't predicted toxic, columns as in docs; each row is judged by its own text, whatever its id."""
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, neighbours=neighbours))
+
+    @pandas_udf(T.BooleanType())
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([index.value.score(t, neighbours)[0] < 0.5 for t in texts], dtype=bool)
+
+    return docs.filter(clean(F.col("text")))

@@ -484,6 +484,8 @@ def test_toxicity(spark):
     assert not {e.doc_id for r in got.values() for e in r.evidence or ()} & held
     kept = toxicity.drop_toxic(df, marks)
     assert kept.columns == df.columns and 1150 <= kept.count() <= 1250
+    twice = df.filter("doc_id = 0").union(df.filter("doc_id = 1").withColumn("doc_id", F.lit(0)))  # one id, a toxic and a clean text
+    assert [r.text for r in toxicity.drop_toxic(df.union(twice), marks).filter("doc_id = 0").collect()] == [rows[1][1]]
     assert toxicity.score(df, marks.limit(0)).filter("score != 0").count() == 0
 
 
