@@ -17,7 +17,7 @@ from sieveworks.llm.common import saved, sliced
 from sieveworks.llm.tokens import load
 
 #: Tokens of a shard: a task holds one shard's ids and index at a time.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: A longer document is retrieved in pieces of so many windows.
 PIECE_WINDOWS = 16
 K1, B = 1.2, 0.75
