@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text that a Python worker handles at once; Arrow batches are bounded by bytes by Spark itself.
-ROWS = 500
+#: Rows of text that a Python worker handles at once, and bytes of the Arrow batches that bring them.
+ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,11 +38,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends in replicated files, columns stay prunable."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of texts by bytes; the row setting is left to the user."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def sliced(batches: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
     """The batches in parts of at most so many rows."""
     for pdf in batches:
@@ -63,6 +69,7 @@ def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from sieveworks.llm.common import sliced
+from sieveworks.llm.common import bounded_batches, sliced
 
 #: A sentence ends after its mark and white space, or at a line end.
 ENDS = re.compile(r"[.!?]+\s+|\n\s*")
@@ -120,6 +120,7 @@ def dedup(docs: DataFrame, sentences: int = SPAN_SENTENCES, words: int = SPAN_WO
     compared. Null text stays null with 0 sentences; an empty table gives an empty result. Other columns are kept,
     whatever their names, but those named n_sentences or n_removed are replaced.
     """
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     rows = docs.select(F.struct(*rest).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
     found = repeated(docs.select("doc_id", "text"), sentences, words, long).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "spans")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveworks.llm.common import gathered, sliced
+from sieveworks.llm.common import bounded_batches, gathered, sliced
 
 #: Bytes of the grams whose smallest hash in a window picks the window's bucket.
 GRAM = 32
@@ -315,6 +315,7 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     ordered by a hash of their text and the text; of equal rows one is the first and keeps its bytes. Rows with a null
     doc_id are kept whole and compared with nothing. Other columns are ignored. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("data"), "data")
     # the three uses of the texts have the same plan up to their exchange by doc_id, so Spark shuffles them once

@@ -30,7 +30,7 @@ PRIOR, STEADY = 0.05, 4.0
 BLOCK, FIRST = 64, 4096
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 16)
 def term(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
