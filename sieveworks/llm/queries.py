@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import caps, chroma, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
+from sieveworks.llm import caps, chroma, lines, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
 from sieveworks.llm.common import documents, fresh_dir, n_words, saved
 
 
@@ -59,6 +59,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_packing": op2_packing,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chroma": op9_chroma,
     "op10_mixing": op10_mixing,
+    "op13_lines": op13_lines,
 }
 
 _PLACE = "('0x' || substr(md5({}), 1, 15))::bigint"
@@ -106,4 +112,16 @@ SELECT page_id, url, strlen(payload)::bigint AS payload_bytes,
     CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id != response THEN response END AS refers_to FROM r"""
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL}
+#: Lines as a list a document; each is kept unless its key is frequent and another document is the key's keeper.
+_LINES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, lines[i] AS line, i AS at,
+        translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::int) >= 3),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.keeper AS gone FROM l LEFT JOIN k ON l.key = k.key)
+SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (gone)::bigint AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY row, doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL, "op13_lines": _LINES_SQL}
