@@ -114,14 +114,14 @@ SELECT page_id, url, strlen(payload)::bigint AS payload_bytes,
 
 #: Lines as a list a document; each is kept unless its key is frequent and another document is the key's keeper.
 _LINES_SQL = """
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT row, doc_id, lines[i] AS line, i AS at,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, lines[i] AS line, i AS pos,
         translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
     FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
 k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::int) >= 3),
 m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.keeper AS gone FROM l LEFT JOIN k ON l.key = k.key)
-SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (gone)::bigint AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY row, doc_id"""
+SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (WHERE gone)::bigint AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id"""
 
 ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL, "op13_lines": _LINES_SQL}
