@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import caps, chroma, lines, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
+from sieveworks.llm import caps, chroma, lines, merkle, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
 from sieveworks.llm.common import documents, fresh_dir, n_words, saved
 
 
@@ -59,6 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = merkle.manifest(docs, changed=merkle.tampered(F.col("text"), F.col("doc_id")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chroma": op9_chroma,
     "op10_mixing": op10_mixing,
+    "op12_merkle": op12_merkle,
     "op13_lines": op13_lines,
 }
 
@@ -124,4 +131,38 @@ SELECT doc_id, count(*)::bigint AS n_lines, count(*) FILTER (WHERE gone)::bigint
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL, "op13_lines": _LINES_SQL}
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in merkle.FIELDS[:-1]) + " || {})"
+_LOWER = "CASE WHEN mod(crc, 3) = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+#: Unsigned CRC-32 of a decimal's bytes, by bit: DuckDB has no such function.
+_CRC = """list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen({0})), lambda i: ascii(substr({0}, i + 1, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: xor(x // 2, 3988292384 * (x % 2))))"""
+_UP = "sha256(string_agg(digest, '' ORDER BY idx))"
+_SIDES = """coalesce(string_agg(digest, '') OVER (PARTITION BY k, tree, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(digest, '') OVER (PARTITION BY k, tree, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"""
+_STEP = "w.k + 1, w.idx // 8, sha256(s.l || w.acc || s.r), w.proof || s.l || s.r"
+#: Both levels of trees upwards, then every leaf's path folded over the digests left and right of it.
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT *, xor({_CRC.format("doc_id::varchar")}, 4294967295) AS crc FROM documents),
+leaves AS (
+    SELECT doc_id, {_LEAF.format(_FIELD.format("text"))} AS leaf, {_LEAF.format(_FIELD.format("(" + _LOWER + ")"))} AS later,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_LEAF.format(_FIELD.format("text"))}) - 1 AS idx,
+        count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+low AS (
+    SELECT 0 AS k, tree, idx, n, leaf AS digest FROM leaves
+    UNION ALL SELECT k + 1, tree, idx // 8, (max(n) + 7) // 8, {_UP} FROM low WHERE n > 1 GROUP BY k, tree, idx // 8),
+high AS (
+    SELECT 0 AS k, 0 AS tree, tree AS idx, count(*) OVER () AS n, digest FROM low WHERE n = 1
+    UNION ALL SELECT k + 1, tree, idx // 8, (max(n) + 7) // 8, {_UP} FROM high WHERE n > 1 GROUP BY k, tree, idx // 8),
+below AS (SELECT k, tree, idx, n, {_SIDES} FROM low), above AS (SELECT k, tree, idx, n, {_SIDES} FROM high),
+walk AS (
+    SELECT doc_id, leaf, tree, 0 AS k, idx, later AS acc, '' AS proof FROM leaves
+    UNION ALL SELECT w.doc_id, w.leaf, w.tree, {_STEP} FROM walk w JOIN below s ON s.k = w.k AND s.tree = w.tree AND s.idx = w.idx WHERE s.n > 1),
+met AS (SELECT w.*, t.digest AS subroot FROM walk w JOIN low t ON t.k = w.k AND t.tree = w.tree AND t.n = 1),
+top AS (
+    SELECT doc_id, leaf, subroot, 0 AS k, tree AS idx, acc, proof FROM met
+    UNION ALL SELECT w.doc_id, w.leaf, w.subroot, {_STEP} FROM top w JOIN above s ON s.k = w.k AND s.idx = w.idx WHERE s.n > 1)
+SELECT w.doc_id, w.leaf, w.subroot, t.digest AS root, sha256(w.proof) AS proof_sha256, w.acc AS folded_root, w.acc = t.digest AS verified
+FROM top w JOIN high t ON t.k = w.k AND t.n = 1"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": _WARC_SQL, "op10_mixing": _MIXING_SQL, "op12_merkle": _MERKLE_SQL, "op13_lines": _LINES_SQL}
