@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import caps, chroma, lines, merkle, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc
+from sieveworks.llm import caps, chroma, lines, merkle, mixing, packing, simhash, substring, suffix, tokens, toxicity, warc, whiten
 from sieveworks.llm.common import documents, fresh_dir, n_words, saved
 
 
@@ -59,6 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(saved(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    each = white.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = merkle.manifest(docs, changed=merkle.tampered(F.col("text"), F.col("doc_id")))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chroma": op9_chroma,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op12_merkle": op12_merkle,
     "op13_lines": op13_lines,
 }
