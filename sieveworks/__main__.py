@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         parser().error(f"no such input: {args.input}")
     if args.inspect:
         cleaned = batch.strip_files(found, options, args.keep_musical, args.force_text).select("path", "format", "bytes_in", "dropped", "error")
-        media = inspect.metadata(found.filter("format != 'text'"), "path", args.keep_musical).select("path", "metadata")
+        media = inspect.trees(found.filter("format != 'text'"), "path", args.keep_musical).select("path", "metadata")
         texts = found.filter("format = 'text'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         hits = textclean.hits(texts, "path", "text", options).groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("order"), "cp", "codepoint", "kind", "confidence", "count", "sample_offsets")))).alias("hits"))
         totals = textclean.report(texts, "path", "text", options)

@@ -9,7 +9,9 @@ from pyspark.sql.functions import pandas_udf
 
 from sieveworks.operators import textclean
 from sieveworks.operators.strip import MUSICAL, with_error
-from sieveworks.sources.fields import FIELD_READERS, FIELDS
+from sieveworks.operators.variants import STEPS, quoted
+from sieveworks.sources.fields import FIELD_READERS, FIELDS, rows
+from sieveworks.sources.shared import saved
 from sieveworks.sources.units import Malformed
 
 #: Bytes of a value that are shown; of a preview.
@@ -26,8 +28,8 @@ def scan_fields(format: pd.Series, content: pd.Series) -> pd.Series:
         if data is not None and kind in FIELD_READERS:
             found = []
             try:
-                for field in FIELD_READERS[kind](bytes(data)):
-                    found.append(field._asdict())
+                for field in rows(FIELD_READERS[kind](bytes(data))):
+                    found.append(field)
             except (Malformed, RecursionError):
                 pass
         out.append(found)
@@ -104,26 +106,43 @@ def _added(section: Column, detail: Column) -> Column:
     return F.when(section == "gps", position).when(d("ns").isNotNull(), date).otherwise(detail)
 
 
+def _parsed(files: DataFrame, key: str, keep_musical: bool) -> DataFrame:
+    """fields() with level, parent and opened (no value of its own), and before them a row -1 for each file itself."""
+    root = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in FIELDS.elementType.fields))
+    listed = F.concat(F.array(root), scan_fields(F.col("format"), F.when(F.col("error").isNull(), F.col("content"))))
+    checked = with_error(files).select(key, "format", listed.alias("fields"))
+    parsed = checked.select(F.col(key), "format", F.posexplode("fields").alias("seq", "f"))
+    parsed = parsed.select(key, "format", (F.col("seq") - 1).alias("seq"), "f.section", F.col("f.path").alias("place"), "f.name", "f.raw", "f.size", "f.detail", "f.level", "f.parent")
+    if keep_musical:
+        musical = (F.col("format") == "wav") & (F.col("section") == "chunks") & F.trim(F.col("name").cast("string")).isin(*(role.strip() for _, role, _, _ in MUSICAL))
+        parsed = parsed.filter(~F.coalesce(musical, F.lit(False)))
+    previewed = F.col("section").isin("segments", "boxes") | ((F.col("section") == "chunks") & (F.col("format") == "webp"))
+    whole = F.col("format").isin("png", "gif")
+    value = F.when(previewed, text_or_null(F.col("raw"))).when(whole, sanitise(F.col("raw"))).otherwise(clean_tag(F.col("raw")))
+    kind = F.when(F.col("section") == "segments", jpeg_kind(F.col("name").cast("string"), F.col("raw")))
+    boxes = F.col("section") == "boxes"
+    label = F.when(boxes, F.regexp_replace(F.decode("name", "ISO-8859-1"), r"[^\x20-\x7E]", "?")).otherwise(sanitise(F.col("name")))
+    place = F.when(boxes, F.regexp_replace("place", r"[^\x20-\x7E]", "?")).otherwise(F.col("place"))
+    # the keys of info and of a directory's tags stay as they are, all else is scrubbed
+    keys = (F.col("section") == "info") | ((F.col("section") == "tags") & (F.col("format") != "mkv"))
+    detail = _added(F.col("section"), F.col("detail"))
+    parsed = parsed.select(key, "format", "seq", "section", kind.alias("kind"), "size", "level", "parent", F.col("raw").isNull().alias("opened"), F.when(keys, label).alias("label"), F.map_keys(detail).alias("keys"), F.concat(F.array(value, F.when(~keys, label), place), F.map_values(detail)).alias("strings"))
+    clean = textclean.clean_strings(parsed, (key, "seq"), "strings", textclean.SCRUB)
+    at = lambda k: F.get("strings", F.lit(k))
+    rest = F.map_from_arrays("keys", F.slice("strings", 4, F.greatest(F.size("strings") - 3, F.lit(0))))
+    return clean.select(key, "format", "seq", "section", at(2).alias("place"), F.coalesce("label", at(1)).alias("name"), "kind", at(0).alias("value"), "size", rest.alias("detail"), "level", "parent", "opened")
+
+
 def fields(files: DataFrame, key: str, keep_musical: bool = False) -> DataFrame:
     """(key, format, seq, section, place, name, kind, value, size, detail) of the files' metadata; key identifies a file.
 
     place is the path of boxes, directories or tags inside the file. key must not be named as one of the others.
 
-    With keep_musical the WAV chunks that cleaning then keeps aren't listed. A file that cleaning refuses has no fields. Values lose invisible code points as cleaning drops them; for that the
-    fields, not the files, are shuffled once.
+    With keep_musical the WAV chunks that cleaning then keeps aren't listed. A file that cleaning refuses has no fields.
+    Values, names, places and details lose invisible code points as cleaning drops them (the ids of info chunks and
+    the names of directory tags, which are keys, don't); for that the fields, not the files, are shuffled once.
     """
-    checked = with_error(files).select(key, "format", scan_fields(F.col("format"), F.when(F.col("error").isNull(), F.col("content"))).alias("fields"))
-    rows = checked.select(F.col(key), "format", F.posexplode("fields").alias("seq", "f")).select(key, "format", "seq", "f.section", F.col("f.path").alias("place"), "f.name", "f.raw", "f.size", "f.detail")
-    if keep_musical:
-        rows = rows.filter(~((F.col("format") == "wav") & (F.col("section") == "chunks") & F.trim(F.col("name").cast("string")).isin(*(role.strip() for _, role, _, _ in MUSICAL))))
-    previewed = F.col("section").isin("segments", "boxes") | ((F.col("section") == "chunks") & (F.col("format") == "webp"))
-    whole = F.col("format").isin("png", "gif")
-    value = F.when(previewed, text_or_null(F.col("raw"))).when(whole, sanitise(F.col("raw"))).otherwise(clean_tag(F.col("raw")))
-    kind = F.when(F.col("section") == "segments", jpeg_kind(F.col("name").cast("string"), F.col("raw")))
-    label = F.when(F.col("section") == "boxes", F.regexp_replace(F.decode("name", "ISO-8859-1"), r"[^\x20-\x7E]", "?")).otherwise(sanitise(F.col("name")))
-    place = F.regexp_replace("place", r"[^\x20-\x7E]", "?")
-    rows = rows.select(key, "format", "seq", "section", place.alias("place"), label.alias("name"), kind.alias("kind"), value.alias("value"), "size", _added(F.col("section"), F.col("detail")).alias("detail"))
-    return textclean.clean_column(rows, "value", textclean.SCRUB)
+    return _parsed(files, key, keep_musical).filter("seq >= 0").drop("level", "parent", "opened")
 
 
 def metadata(files: DataFrame, key: str, keep_musical: bool = False) -> DataFrame:
@@ -135,3 +154,138 @@ def metadata(files: DataFrame, key: str, keep_musical: bool = False) -> DataFram
     listed = F.concat(F.to_json(F.array("section")).substr(F.lit(2), F.length(F.to_json(F.array("section"))) - 2), F.lit(":["), F.array_join("rows.json", ","), F.lit("]"))
     whole = sections.groupBy(key, "format").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(listed)), ","), F.lit("}")).alias("m"))
     return whole.select(key, "format", F.parse_json("m").alias("metadata"))
+
+
+#: What a file's tree, a directory's and a camera uuid box's hold when nothing was found for it.
+_EMPTY = {
+    "wav": {"info": "{}", "chunks": "[]"},
+    "avi": {"info": "{}", "chunks": "[]"},
+    "jpeg": {"segments": "[]"},
+    "png": {"text": "[]", "compressedText": "[]", "translatedText": "[]", "profiles": "[]", "exif": "[]", "time": "null", "chunks": "[]"},
+    "gif": {"comments": "[]", "texts": "[]", "apps": "[]"},
+    "webp": {"chunks": "[]"},
+    "mp4": {"timestamps": "[]", "boxes": "[]"},
+    "mkv": {"info": "{}", "tags": "[]", "attachments": "[]"},
+    "raw": {"byteOrder": "null", "ifds": "[]"},
+    "cr3": {"timestamps": "[]", "boxes": "[]"},
+    "heic": {"items": "[]", "exif": "null", "timestamps": "[]"},
+}
+_DIRECTORY = {"tags": "{}", "gps": "null", "makerNote": "null", "xmp": "null"}
+#: How a child stands in its parent: as an item of a list, a member of an object under its own name, or a value.
+LIST, MEMBER, VALUE = "list", "member", "value"
+
+
+def _number(text: Column) -> Column:
+    """Digits as a JSON number where a long holds them, else as a string."""
+    return F.coalesce(text.try_cast("long").cast("string"), quoted(text))
+
+
+def _object(**members: Column) -> Column:
+    """A JSON object of members that are JSON already; null ones are null."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null"))) for k, v in members.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def _own() -> tuple[Column, Column, Column]:
+    """(slot, mode, json) of a field in its parent; json lacks the children's part."""
+    section, format, detail = F.col("section"), F.col("format"), lambda k: F.try_element_at("detail", F.lit(k))
+    name, value, size = quoted(F.col("name")), quoted(F.col("value")), F.col("size").cast("string")
+    camera = format.isin("raw", "cr3", "heic")
+    date = _object(ns=_number(detail("ns")), iso=quoted(detail("iso")))
+    gps = F.concat(F.lit("{"), F.concat_ws(",", F.transform(F.map_entries("detail"), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))), F.lit("}"))
+    path = F.concat_ws("/", F.when(F.col("place") != "", F.col("place")), "name")
+    times = _object(box=name, version=detail("version"), creation=_number(detail("creation")))
+    rules = (
+        (section == "info", section, MEMBER, F.when(F.col("name") == "dateUtc", F.when(detail("ns").isNotNull(), date)).otherwise(value)),
+        ((section == "chunks") & (format == "png"), section, LIST, _object(type=name, size=size)),
+        ((section == "chunks") & (format == "webp"), section, LIST, _object(type=name, size=size, preview=value)),
+        (section == "chunks", section, LIST, _object(id=name, size=size)),
+        (section == "segments", section, LIST, _object(marker=name, size=size, kind=quoted(F.col("kind")), preview=value)),
+        (section == "text", section, LIST, _object(keyword=name, text=value)),
+        (section == "compressedText", section, LIST, _object(keyword=name, method=detail("method"), size=size)),
+        (section == "translatedText", section, LIST, _object(keyword=name, compressed=detail("compressed"), lang=quoted(detail("lang")), text=value)),
+        (section == "profiles", section, LIST, _object(profile=name, method=detail("method"), size=size)),
+        ((section == "exif"), section, LIST, _object(size=size)),
+        (section == "time", section, VALUE, value),
+        (section.isin("comments", "texts"), section, LIST, value),
+        (section == "apps", section, LIST, _object(id=name, size=size)),
+        ((section == "timestamps") & (format == "heic"), section, LIST, times),
+        (section == "timestamps", section, LIST, _object(box=name, version=detail("version"), creation=_number(detail("creation")), modification=_number(detail("modification")))),
+        ((section == "boxes") & (format == "cr3") & (F.col("name") == "uuid"), section, LIST, _object(type=name, kind=quoted(detail("kind")), size=size)),
+        ((section == "boxes") & ((format == "cr3") | F.col("opened")), F.when(F.col("level") > 0, "children").otherwise("boxes"), LIST, _object(type=name, size=size)),
+        (section == "boxes", F.when(F.col("level") > 0, "children").otherwise("boxes"), LIST, _object(type=name, size=size, text=value)),
+        ((section == "tags") & camera, section, MEMBER, value),
+        (section == "tags", section, LIST, _object(tag=quoted(path), value=value)),
+        (section == "attachments", section, LIST, _object(file=quoted(detail("file")), mime=quoted(detail("mime")), size=size, description=quoted(detail("description")))),
+        ((section == "tiff") & (format == "raw"), F.lit("byteOrder"), VALUE, value),
+        (section == "tiff", F.when(format == "cr3", "tiff").otherwise("exif"), VALUE, _object(byteOrder=value)),
+        (section == "ifds", F.when(F.element_at(F.split("place", "/"), -1) == "IFD0", "ifds").otherwise("subIfds"), LIST, _object(id=quoted(F.element_at(F.split("place", "/"), -1)))),
+        (section == "blobs", F.when(F.col("name") == "XMP", "xmp").otherwise("makerNote"), VALUE, size),
+        (section == "gps", section, VALUE, F.when(F.size("detail") > 0, gps)),
+        (section == "items", section, LIST, _object(id=_number(detail("id")), type=F.when(detail("type") == "", '"unknown"').otherwise(quoted(detail("type"))), name=name, contentType=value, size=size)),
+    )
+    slot, mode, json = F, F, F
+    for when, to, how, text in rules:
+        slot, mode, json = slot.when(when, to), mode.when(when, F.lit(how)), json.when(when, F.coalesce(text, F.lit("null")))
+    return slot, mode, json.otherwise(F.lit("{}"))
+
+
+def _defaults() -> Column:
+    """The slots that a row's JSON has even without children, as an array of (slot, json)."""
+
+    def slots(found: dict[str, str]) -> Column:
+        return F.array(*(F.struct(F.lit(k).alias("slot"), F.lit(v).alias("json")) for k, v in found.items()))
+
+    root = F
+    for format, found in _EMPTY.items():
+        root = root.when((F.col("seq") < 0) & (F.col("format") == format), slots(found))
+    root = root.when(F.col("section") == "ifds", slots(_DIRECTORY))
+    camera = (F.col("section") == "boxes") & (F.col("format") == "cr3") & (F.try_element_at("detail", F.lit("kind")) == "tiff")
+    return root.when(camera, slots({"tiff": "null"})).otherwise(F.array().cast("array<struct<slot:string,json:string>>"))
+
+
+def trees(files: DataFrame, key: str, keep_musical: bool = False) -> DataFrame:
+    """(key, format, metadata): one VARIANT for each file that cleaning accepts, in the shape of its format's own tree.
+
+    Boxes hold ``children``, directories ``tags``, ``gps``, ``makerNote``, ``xmp`` and ``subIfds``, camera boxes and image items
+    a ``tiff`` or ``exif`` of their own; every section is there, empty where a file has nothing for it. Strings are
+    scrubbed as in fields(); key identifies a file. Of members of one name the last counts.
+
+    The fields are parsed once and saved; then they are folded bottom-up: the rows of the deepest level become the
+    lists, members and values of their parents by one shuffle on (key, parent) and a join, and so on up to the files.
+    A level's rows are in proportion to the fields, not to the files' bytes. There are as many levels as
+    in the deepest file; every STEPS of them are saved.
+    """
+    slot, mode, json = _own()
+    nodes = _parsed(files, key, keep_musical).withColumns({"slot": slot, "mode": mode, "json": json, "defaults": _defaults()})
+    nodes = nodes.select(key, "format", "seq", F.coalesce("level", F.lit(-1)).alias("level"), "parent", "slot", "mode", "json", "defaults", F.when(F.col("mode") == MEMBER, F.col("name")).alias("label"))
+    nodes = saved(nodes, "metadata-nodes")
+    deepest = nodes.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return nodes.select(key, "format", F.parse_json("json").alias("metadata"))
+    done = nodes.filter(F.col("level") == deepest).select(key, "format", "seq", "parent", "slot", "mode", "label", _closed(F.array().cast("array<struct<slot:string,json:string>>")).alias("json"))
+    for level in range(deepest - 1, -2, -1):
+        here = nodes.filter(F.col("level") == level).alias("n").join(_slots(done, key).alias("s"), [F.col(f"n.{key}").eqNullSafe(F.col(f"s.{key}")), F.col("n.seq") == F.col("s.parent")], "left")
+        done = here.select(f"n.{key}", "n.format", "n.seq", "n.parent", "n.slot", "n.mode", "n.label", _closed(F.coalesce("slots", F.array().cast("array<struct<slot:string,json:string>>"))).alias("json"))
+        if level > 0 and level % STEPS == 0:
+            done = saved(done, "metadata-level")
+    return done.select(key, "format", F.parse_json("json").alias("metadata"))
+
+
+def _slots(kids: DataFrame, key: str) -> DataFrame:
+    """(key, parent, slots): the children of each node, by slot, as JSON."""
+    tie = F.when(F.col("mode") == LIST, F.col("seq").cast("string")).when(F.col("mode") == MEMBER, F.concat(F.lit("="), "label")).otherwise("")
+    last = kids.groupBy(key, "parent", "slot", "mode", tie.alias("tie")).agg(F.min("seq").alias("seq"), F.max_by("label", "seq").alias("label"), F.max_by("json", "seq").alias("json"))
+    one = F.array_sort(F.collect_list(F.struct("seq", "label", "json")))
+    lists = last.groupBy(key, "parent", "slot", "mode").agg(one.alias("kids"))
+    members = F.array_join(F.transform("kids", lambda x: F.concat(quoted(x["label"]), F.lit(":"), x["json"])), ",")
+    text = F.when(F.col("mode") == LIST, F.concat(F.lit("["), F.array_join("kids.json", ","), F.lit("]"))).when(F.col("mode") == MEMBER, F.concat(F.lit("{"), members, F.lit("}"))).otherwise(F.element_at("kids.json", -1))
+    return lists.select(key, "parent", F.struct("slot", text.alias("json")).alias("one")).groupBy(key, "parent").agg(F.collect_list("one").alias("slots"))
+
+
+def _closed(slots: Column) -> Column:
+    """A node's JSON with its slots, and the defaults of those that nothing fills."""
+    missing = F.filter("defaults", lambda d: ~F.exists(slots, lambda s: s["slot"] == d["slot"]))
+    members = F.transform(F.concat(slots, missing), lambda s: F.concat(quoted(s["slot"]), F.lit(":"), s["json"]))
+    bare = F.substr("json", F.lit(1), F.length("json") - 1)
+    return F.when(F.size(members) > 0, F.concat(bare, F.when(F.col("json") != "{}", ",").otherwise(""), F.array_join(members, ","), F.lit("}"))).otherwise(F.col("json"))

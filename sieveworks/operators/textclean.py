@@ -7,6 +7,7 @@ proportion to its suspicious code points, not to its length.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -212,6 +213,25 @@ def clean(df: DataFrame, key: str, text: str, options: TextOptions = DEFAULT) ->
     return out.select(key, "clean", "bytes_in", F.octet_length("clean").cast("long").alias("bytes_out"), "n_dropped", "dropped")
 
 
+def clean_strings(df: DataFrame, key: Sequence[str], strings: str, options: TextOptions = DEFAULT) -> DataFrame:
+    """df with each string of its array column ``strings`` cleaned by itself, read once; null ones stay null.
+
+    For small rows that cost much to make, as values parsed out of files: every row is shuffled once, by its key, and
+    none is made twice. key must tell rows apart and be the same in every run of a task, so that a task that runs
+    again sends each row where its first run did.
+    """
+    tokens = F.transform(strings, lambda x: F.when(touched(x, options), _tokens(x, options)).otherwise(F.array(x)))
+    rest = [c for c in df.columns if c not in (*key, strings)]
+    rows = df.select(F.struct(*key).alias("id"), F.struct(F.lit(0).alias("none"), *rest).alias("row"), strings, tokens.alias("tokens"))
+    slots = rows.select("id", "row", strings, F.posexplode_outer("tokens").alias("slot", "tokens"))
+    each = slots.select(F.struct("id", "slot").alias("id"), F.when(F.coalesce("slot", F.lit(0)) == 0, F.struct("row", strings)).alias("first"), F.posexplode_outer("tokens").alias("pos", "token"))
+    each = each.withColumn("first", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("first")))
+    parts = F.array_sort(F.collect_list(F.struct("id.slot", "pos", "out")))
+    whole = _decided(each, options, "first").groupBy(F.col("id.id").alias("id")).agg(F.first("first", ignorenulls=True).alias("first"), parts.alias("parts"))
+    runs = F.transform(F.col(f"first.{strings}"), lambda x, i: F.when(x.isNotNull(), F.array_join(F.transform(F.filter("parts", lambda p: p["slot"] == i), lambda p: p["out"]), "")))
+    return whole.select(*(runs.alias(c) if c == strings else (F.col(f"id.{c}") if c in key else F.col(f"first.row.{c}")).alias(c) for c in df.columns))
+
+
 def clean_column(df: DataFrame, text: str, options: TextOptions = DEFAULT) -> DataFrame:
     """df with its column text cleaned, read once.
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.plans import media, text
+from sieveworks.plans import media, text, trees
 
 FLAGSHIP = "text_clean"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text.QUERIES | media.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text.QUERIES | media.QUERIES | trees.QUERIES
 
-ORACLE_SQL: dict[str, str] = text.ORACLE_SQL | media.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = text.ORACLE_SQL | media.ORACLE_SQL | trees.ORACLE_SQL

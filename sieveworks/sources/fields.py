@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -12,12 +13,15 @@ from sieveworks.sources import flat, tree
 from sieveworks.sources.units import Malformed
 
 FIELDS = T.ArrayType(
-    T.StructType().add("section", "string").add("path", "string").add("name", T.BinaryType()).add("raw", T.BinaryType()).add("size", "long").add("detail", T.MapType(T.StringType(), T.StringType()))
+    T.StructType().add("section", "string").add("path", "string").add("name", T.BinaryType()).add("raw", T.BinaryType()).add("size", "long").add("detail", T.MapType(T.StringType(), T.StringType())).add("level", "integer").add("parent", "integer")
 )
 
 
 class Field(NamedTuple):
-    """raw holds the value's bytes (None: there is none to show), size the bytes that it takes in the file."""
+    """raw holds the value's bytes (None: there is none to show), size the bytes that it takes in the file.
+
+    level is the depth in the file's tree: a field's parent is the last one before it that is a level higher.
+    """
 
     section: str
     path: str
@@ -25,6 +29,24 @@ class Field(NamedTuple):
     raw: bytes | None
     size: int
     detail: dict[str, str] = {}  # noqa: RUF012
+    level: int = 0
+
+
+def shown(raw: bytes) -> str:
+    """Bytes as text: controls become ``?``, and if they aren't UTF-8, all beyond ASCII too. NULs and spaces at the end go."""
+    raw = raw.rstrip(b"\0 ")
+    try:
+        return re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "?", raw.decode())
+    except UnicodeDecodeError:
+        return re.sub(r"[^\t\n\r\x20-\x7E]", "?", raw.decode("latin-1"))
+
+
+def rows(found: Iterator[Field]) -> Iterator[dict]:
+    """The fields with the position of each one's parent, -1 for the file itself."""
+    last: list[int] = []
+    for seq, field in enumerate(found):
+        last[field.level :] = [seq]
+        yield field._asdict() | {"parent": last[field.level - 1] if field.level else -1}
 
 
 def _riff(units: Iterator, kept: tuple[str, ...] | None, data: bytes) -> Iterator[Field]:
@@ -67,7 +89,7 @@ def _png_text(role: str, data: bytes) -> Field | None:
         language, more, rest2 = rest[2:].partition(b"\0")
         _, last, text = rest2.partition(b"\0")
         if more and last:
-            return Field("translatedText", "", keyword, text, len(data), {"compressed": str(rest[0] != 0).lower(), "lang": language.decode("latin-1")})
+            return Field("translatedText", "", keyword, text, len(data), {"compressed": str(rest[0] != 0).lower(), "lang": shown(language)})
     if role == "eXIf":
         return Field("exif", "", b"", None, len(data))
     if role == "tIME" and len(data) == 7:
@@ -117,7 +139,7 @@ def _times(data: bytes, box: tree.Box) -> Iterator[Field]:
             yield Field("timestamps", "", box.kind.encode(), None, box.stop - box.start, {"version": str(version), "creation": str(made), "modification": str(changed)})
 
 
-def _node(data: bytes, box: tree.Box, path: str) -> Iterator[Field]:
+def _node(data: bytes, box: tree.Box, path: str, level: int = 0) -> Iterator[Field]:
     """A box without inner boxes as one field with its text, or else all that are inside."""
     path, label = f"{path}/{box.kind}".strip("/"), box.kind.encode("latin-1")
     start = box.body + 4 * (box.kind == "meta")
@@ -126,12 +148,12 @@ def _node(data: bytes, box: tree.Box, path: str) -> Iterator[Field]:
     except Malformed:
         inner = []
     if inner and inner[-1].stop == box.stop and all(data[b.start : b.start + 4] != bytes(4) for b in inner):
-        yield Field("boxes", path, label, None, box.stop - box.start)
+        yield Field("boxes", path, label, None, box.stop - box.start, {}, level)
         for b in inner:
-            yield from _node(data, b, path)
+            yield from _node(data, b, path, level + 1)
     else:
         start = min(box.body + 8, box.stop) if box.kind == "data" else box.body
-        yield Field("boxes", path, label, data[start : box.stop], box.stop - box.start)
+        yield Field("boxes", path, label, data[start : box.stop], box.stop - box.start, {}, level)
 
 
 #: The inspected containers aren't quite those that cleaning enters.
@@ -175,7 +197,7 @@ def _simple_tag(data: bytes, element: tree.Element, path: str) -> Iterator[Field
         elif e.code == _TAG_BINARY:
             note = b"(binary %d bytes)" % len(payload)
         elif e.code == _SIMPLE_TAG:
-            yield from _simple_tag(data, e, f"{path}/{name.decode('latin-1') or '?'}".strip("/"))
+            yield from _simple_tag(data, e, f"{path}/{shown(name) or '?'}".strip("/"))
     if name:
         yield Field("tags", path, name, value or note, element.stop - element.start)
 
@@ -184,7 +206,7 @@ def _attachment(data: bytes, element: tree.Element) -> Field:
     size, detail = 0, {}
     for e in _some(data, element.body, element.stop):
         if e.code in _FILE_TEXTS:
-            detail[_FILE_TEXTS[e.code]] = data[e.body : e.stop].rstrip(b"\0 ").decode("utf-8", "replace")
+            detail[_FILE_TEXTS[e.code]] = shown(data[e.body : e.stop])
         elif e.code == _FILE_DATA:
             size = e.stop - e.body
     return Field("attachments", "", detail.get("file", "").encode(), None, size, detail)
@@ -223,29 +245,46 @@ def _gps(file: tree.Tiff, path: str, entries: list[tree.Entry]) -> Iterator[Fiel
         elif name == "altRef" and e.size:
             detail[name] = str(file.data[e.at])
         elif name in ("latRef", "lonRef"):
-            detail[name] = file.data[e.at : e.at + e.size].rstrip(b"\0 ").decode("latin-1")
+            detail[name] = shown(file.data[e.at : e.at + e.size])
     if detail.keys() & {"lat", "lon", "alt"}:
         yield Field("gps", path, b"position", None, sum(e.size for e in entries), detail)
 
 
-def tiff(data: bytes, base: int = 0, limit: int | None = None, prefix: str = "") -> Iterator[Field]:
+def _directory(file: tree.Tiff, at: int, name: str, prefix: str, level: int, depth: int, state: dict) -> Iterator[Field]:
+    """A directory, its tags and, as its children too, its sub-directories and the next in its chain; each one once."""
+    path = f"{prefix}/{name}".strip("/")
+    found = None if at in state["seen"] or depth > tree.DEEPEST else file.directory(at)
+    entries, after, _ = found or ([], 0, 0)
+    yield Field("ifds", path, b"entries", None, len(entries), {}, level)
+    if at in state["seen"] or depth > tree.DEEPEST:
+        return
+    state["seen"].add(at)
+    inner: list[tuple[int, str]] = []
+    for e in entries:
+        title = tree.TAGS.get(e.tag, f"Tag{e.tag}").encode()
+        if e.tag == tree.GPS_IFD:
+            for place in file.offsets(e)[:1]:
+                position = file.directory(file.base + place)
+                yield from (f._replace(level=level + 1) for f in _gps(file, f"{prefix}/GPS".strip("/"), position[0] if position else []))
+        elif e.tag in (tree.EXIF_IFD, tree.SUB_IFDS):
+            places = file.offsets(e)[: None if e.tag == tree.SUB_IFDS else 1]
+            inner += [(file.base + place, "ExifIFD" if e.tag == tree.EXIF_IFD else "SubIFD") for place in places]
+        elif e.tag in (37500, 700):
+            yield Field("blobs", path, title, None, e.size, {}, level + 1)
+        elif e.type == 2:
+            yield Field("tags", path, title, file.data[e.at : e.at + e.size], e.size, {}, level + 1)
+    for place, kind in inner:
+        yield from _directory(file, place, kind, prefix, level + 1, depth + 1, state)
+    if after and after + 2 <= file.limit:
+        state["chained"] += 1
+        yield from _directory(file, after, f"IFD{state['chained']}", prefix, level + 1, depth + 1, state)
+
+
+def tiff(data: bytes, base: int = 0, limit: int | None = None, prefix: str = "", level: int = 0) -> Iterator[Field]:
+    """The byte order, then the first directory: beside it in a file of its own, below it in another's box or item."""
     file = tree.Tiff(data, base, limit)
-    yield Field("tiff", prefix, b"byteOrder", b"II" if file.order == "<" else b"MM", 2)
-    path = ""
-    for name, entries in file.walk():
-        if name[0] in "@/=":
-            continue
-        path = f"{prefix}/{name}".strip("/")
-        if name == "GPS":
-            yield from _gps(file, path, entries)
-            continue
-        yield Field("ifds", path, b"entries", None, len(entries))
-        for e in entries:
-            title = tree.TAGS.get(e.tag, f"Tag{e.tag}").encode()
-            if e.tag in (37500, 700):
-                yield Field("blobs", path, title, None, e.size)
-            elif e.type == 2 and e.tag not in tree.POINTERS:
-                yield Field("tags", path, title, data[e.at : e.at + e.size], e.size)
+    yield Field("tiff", prefix, b"byteOrder", b"II" if file.order == "<" else b"MM", 2, {}, level)
+    yield from _directory(file, file.first, "IFD0", prefix, level + bool(prefix), 0, {"seen": set(), "chained": 0})
 
 
 def cr3(data: bytes, at: int = 0, end: int | None = None) -> Iterator[Field]:
@@ -257,7 +296,7 @@ def cr3(data: bytes, at: int = 0, end: int | None = None) -> Iterator[Field]:
             yield Field("boxes", "", box.kind.encode(), None, box.stop - box.start, {"kind": kind or "unknown"} if box.kind == "uuid" else {})
             if kind == "tiff":
                 try:
-                    yield from list(tiff(data, box.body, box.stop, "uuid"))
+                    yield from list(tiff(data, box.body, box.stop, "uuid", 1))
                 except Malformed:
                     pass
         elif box.kind in tree.CONTAINERS:
