@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.operators import strip, textclean
 from sieveworks.operators.textclean import TextOptions
-from sieveworks.sources import files
+from sieveworks.sources import files, ranged
 from sieveworks.sources.formats import out_path
 
 _PARTS = "array<struct<id:string,size:bigint>>"
@@ -57,23 +59,35 @@ def checked(found: DataFrame, force_text: bool = False) -> DataFrame:
     return media.unionByName(texts)
 
 
-def process(found: DataFrame, out: str, options: TextOptions = textclean.DEFAULT, *, keep_musical: bool = False, force_text: bool = False, dry_run: bool = False, overwrite: bool = False, single_file: bool = False, verbose: bool | None = None) -> DataFrame:
-    """Cleans the files into the folder out: (path, out, status, error). With dry_run nothing is written.
+def process(found: DataFrame, out: str, options: TextOptions = textclean.DEFAULT, *, keep_musical: bool = False, force_text: bool = False, dry_run: bool = False, overwrite: bool = False, single_file: bool = False, verbose: bool | None = None, large: int = ranged.LARGE) -> DataFrame:
+    """Cleans the files into the folder out, at once: (path, out, status, error). With dry_run nothing is written.
 
     With verbose given, a column line says what was kept and dropped, in full or (False) in short; only then are files
-    cleaned in a dry run.
+    cleaned in a dry run. Where found has a column length, films and sounds of more than ``large`` bytes are never read
+    whole: their heads are read by ranges and their edits applied while they are copied.
     """
     target = out_path(F.col("path"), F.lit(out), single_file)
     shown = [] if verbose is None else ["line"]
-    if dry_run and verbose is None:
-        cleaned = checked(found, force_text)
-    else:
-        cleaned = strip_files(found, options, keep_musical, force_text)
-        cleaned = cleaned if verbose is None else cleaned.withColumn("line", strip.result_line(verbose))
-    cleaned = cleaned.withColumn("out", target)
+    by_range = None
+    if "length" in found.columns:
+        big = F.coalesce(ranged.large(found, large), F.lit(False))
+        by_range = ranged.analyze(found.filter(big).select("path", "format", "length"), keep_musical)
+        found = found.filter(~big)
+    dry = dry_run and verbose is None
+    cleaned = checked(found, force_text) if dry else strip_files(found, options, keep_musical, force_text)
+
+    def told(rows: DataFrame) -> DataFrame:
+        return (rows if verbose is None else rows.withColumn("line", strip.result_line(verbose))).withColumn("out", target)
+
+    cleaned = told(cleaned)
     if dry_run:
-        return cleaned.select("path", "out", F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL).alias("status"), "error", *shown)
-    return files.write_files(cleaned, overwrite, *shown)
+        rows = [cleaned, *([told(by_range)] if by_range is not None else [])]
+        each = [r.select("path", "out", F.when(F.col("error").isNull(), files.DRY).otherwise(files.FAIL).alias("status"), "error", *shown) for r in rows]
+        return reduce(DataFrame.unionByName, each)
+    written = files.write_files(cleaned, overwrite, *shown)
+    if by_range is None or by_range.isEmpty():
+        return written
+    return written.unionByName(files.write_files(told(by_range), overwrite, *shown, stage=ranged.stage))
 
 
 def totals(statuses: DataFrame) -> DataFrame:

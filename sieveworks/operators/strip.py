@@ -198,12 +198,17 @@ def with_units(files: DataFrame, keep_musical: bool = False) -> DataFrame:
 
     A file with an error has null units.
     """
+    return decided(with_error(files), keep_musical)
+
+
+def decided(found: DataFrame, keep_musical: bool = False) -> DataFrame:
+    """Rows of (format, error, scanned) with units in place of scanned: each part with its action and how."""
     rules: dict[str, dict[str, Column]] = {}
     kind = "struct<action:string,how:string>"
     for f, role, action, how in policy_rows(keep_musical):
         rules.setdefault(f, {})[role] = F.struct(F.lit(action).alias("action"), F.lit(how).alias("how")).cast(kind)
 
-    def decided(own: dict[str, Column]) -> Column:
+    def by(own: dict[str, Column]) -> Column:
         roles = F.create_map(*(x for r, rule in own.items() for x in (F.lit(r), rule)))
 
         def decide(u: Column) -> Column:
@@ -212,11 +217,10 @@ def with_units(files: DataFrame, keep_musical: bool = False) -> DataFrame:
 
         return F.transform("scanned", decide)
 
-    out = with_error(files)
     units = F
     for f in READERS:
-        units = units.when(F.col("error").isNull() & (F.col("format") == f), decided(rules[f]))
-    return out.withColumn("units", units).drop("scanned")
+        units = units.when(F.col("error").isNull() & (F.col("format") == f), by(rules[f]))
+    return found.withColumn("units", units).drop("scanned")
 
 
 def _report(units: Column, action: str) -> Column:
@@ -234,10 +238,10 @@ def edits(format: Column, units: Column) -> Column:
     return F.when(format.isin("wav", "webp"), F.concat(own, _riff_edits(units))).otherwise(own)
 
 
-def bytes_out(content: Column, changes: Column) -> Column:
-    """The result's size, from the edits alone."""
+def bytes_out(length: Column, changes: Column) -> Column:
+    """The result's size, from the input's and the edits alone."""
     grown = F.aggregate(changes, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.octet_length(e["put"]).cast("long"), e["len"]) - e["len"])
-    return F.octet_length(content) + grown
+    return length + grown
 
 
 def analyze(files: DataFrame, keep_musical: bool = False) -> DataFrame:
@@ -246,7 +250,7 @@ def analyze(files: DataFrame, keep_musical: bool = False) -> DataFrame:
     The result's bytes aren't built: its size follows from the edits.
     """
     out = with_report(with_units(files, keep_musical))
-    size = bytes_out(F.col("content"), edits(F.col("format"), F.col("units")))
+    size = bytes_out(F.octet_length("content"), edits(F.col("format"), F.col("units")))
     out = out.withColumns({"bytes_in": F.octet_length("content").cast("long"), "bytes_out": size})
     return out.withColumn("bytes_saved", F.col("bytes_in") - F.col("bytes_out")).drop("units", "content")
 

@@ -12,7 +12,7 @@ from sieveworks.sources.units import Malformed, Unit, fourcc
 def _chunks(data: bytes, at: int, end: int, pad_needed: bool) -> Iterator[tuple[str, int, int, int]]:
     """(id, body, size, stop) of each RIFF chunk in at..end; an odd chunk's stop is past its pad byte where there is one."""
     while at + 8 <= end:
-        name, (size,) = fourcc(data, at), struct.unpack_from("<I", data, at + 4)
+        name, (size,) = fourcc(data, at), struct.unpack("<I", data[at + 4 : at + 8])
         body, stop = at + 8, at + 8 + size
         if stop > end:
             raise Malformed(f"truncated chunk '{name}' (declared {size} bytes)")

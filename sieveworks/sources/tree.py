@@ -28,12 +28,12 @@ class Box(NamedTuple):
 def boxes(data: bytes, at: int, end: int) -> Iterator[Box]:
     """The boxes in at..end; fewer than eight bytes at the end are ignored."""
     while at + 8 <= end:
-        (size,), kind, body = struct.unpack_from(">I", data, at), fourcc(data, at + 4), at + 8
+        (size,), kind, body = struct.unpack(">I", data[at : at + 4]), fourcc(data, at + 4), at + 8
         if size == 1:
             body = at + 16
             if body > end:
                 raise Malformed(f"truncated box '{kind}' (missing largesize)")
-            (size,) = struct.unpack_from(">Q", data, at + 8)
+            (size,) = struct.unpack(">Q", data[at + 8 : at + 16])
         elif size == 0:
             size = end - at
         if at + size < body:
