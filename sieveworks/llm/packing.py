@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ PIECE_WINDOWS = 16
 K1, B = 1.2, 0.75
 #: Entries of a Python worker's cache, of two generations each.
 CACHE = 600_000
+#: Characters of the longest key that is kept.
+LONGEST = 100
 #: Documents of a batch, whose distinct runs are looked up together.
 BATCH_ROWS = 1000
 #: Pieces that are added to a shard at once.
@@ -31,7 +34,7 @@ END = 2
 
 
 class Generations(dict):
-    """What make() gives for a key, kept in two generations of CACHE entries: what is in use stays."""
+    """What make() gives for a key, kept in two generations of CACHE entries, long keys excepted: what is in use stays."""
 
     def __init__(self, make):
         super().__init__()
@@ -41,6 +44,8 @@ class Generations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -187,24 +192,50 @@ def fill(pieces: list[np.ndarray], window: int, idf: np.ndarray, mean: float) ->
 
     A seed's unused neighbours fill its window, best first; where they end, the next unused piece is another seed. A
     piece that is too long is cut and goes on in the next window as its seed. Pieces with equal ids don't meet in a
-    window while others are left. What is left at the end becomes sequences of powers of two, which need no padding.
+    window while others are left; the index knows them as one. What is left at the end becomes sequences of powers of two, which need no padding.
     """
-    index, used = Index(pieces, idf, mean), np.zeros(len(pieces), bool)
-    same = [hash(p.tobytes()) for p in pieces]
-    order = iter(np.argsort([-len(p) for p in pieces], kind="stable").tolist())
+    groups: dict[bytes, list[int]] = {}
+    for k, p in enumerate(pieces):
+        groups.setdefault(p.tobytes(), []).append(k)
+    members = list(groups.values())
+    group_of = {k: g for g, own in enumerate(members) for k in own}
+    index, used = Index([pieces[own[0]] for own in members], idf, mean), np.zeros(len(members), bool)
+    turns = deque(np.argsort([-len(pieces[own[0]]) for own in members], kind="stable").tolist())
     done: list[list[tuple[int, int, int]]] = []
     now: list[tuple[int, int, int]] = []
-    room, carry = window, None
+    held: set[int] = set()  # groups in the open window
+    room, carry, crowded = window, None, False  # crowded: all groups that are left are in it
 
     def place(k: int, at: int) -> None:
-        nonlocal now, room, carry
+        nonlocal now, room, carry, crowded
+        held.add(group_of[k])
         take = min(room, len(pieces[k]) - at)
         now.append((k, at, at + take))
         room -= take
         carry = (k, at + take) if at + take < len(pieces[k]) else None
         if not room:
             done.append(now)
-            now, room = [], window
+            now, room, crowded = [], window, False
+            held.clear()
+
+    def one_of(g: int) -> int:
+        k = members[g].pop()
+        used[g] = not members[g]
+        return k
+
+    def next_seed() -> int | None:
+        """A piece of the next group in turn that isn't in the window, or of any if all are."""
+        nonlocal crowded
+        for last in (False, True):
+            for _ in range(len(turns)):
+                g = turns.popleft()
+                if used[g]:
+                    continue
+                turns.append(g)
+                if last or crowded or g not in held:
+                    return one_of(g)
+            crowded = True
+        return None
 
     while True:
         while carry is not None and carry[1] + window <= len(pieces[carry[0]]):
@@ -213,21 +244,16 @@ def fill(pieces: list[np.ndarray], window: int, idf: np.ndarray, mean: float) ->
             seed = carry[0]
             place(*carry)
         else:
-            seed = next((k for k in order if not used[k]), None)
+            seed = next_seed()
             if seed is None:
                 break
-            used[seed] = True
             place(seed, 0)
-        if carry is None and now:
-            held = {same[k] for k, _, _ in now}
-            for k in index.neighbours(seed, used).tolist():
-                if same[k] in held:
-                    continue
-                held.add(same[k])
-                used[k] = True
-                place(k, 0)
-                if not now or carry is not None:
-                    break
+        if carry is None and now and not crowded:
+            for g in index.neighbours(group_of[seed], used).tolist():
+                if g not in held:
+                    place(one_of(g), 0)
+                    if not now or carry is not None:
+                        break
     while now:
         size = 1 << (sum(b - a for _, a, b in now).bit_length() - 1)
         part = []

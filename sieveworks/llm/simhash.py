@@ -106,6 +106,14 @@ def cut(n: int, k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
+def _layout(errors: int, exact: int) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
+    """For each choice of exact segments: their (start, length), and the runs of the other bits of which one is decoded."""
+    segments = cut(64, errors + exact)
+    for taken in combinations(range(len(segments)), exact):
+        rest = [b for i, (a, n) in enumerate(segments) if i not in taken for b in range(a, a + n)]
+        yield [segments[i] for i in taken], [rest[a : a + min(n, 23)] for a, n in cut(len(rest), errors // 3 + 1)]
+
+
 def bucket_keys(fp: np.ndarray, errors: int, exact: int) -> Iterator[np.ndarray]:
     """64-bit keys of each fingerprint such that two within `errors` bits share at least one.
 
@@ -113,20 +121,26 @@ def bucket_keys(fp: np.ndarray, errors: int, exact: int) -> Iterator[np.ndarray]
     most 23 of which one has at most errors // runs (2 or fewer) errors; that run is Golay-decoded to the codewords near it. A key holds which
     segments and run were taken, the exact bits and the codeword's index.
     """
-    segments = cut(64, errors + exact)
-    for number, taken in enumerate(combinations(range(len(segments)), exact)):
-        rest = [b for i, (a, n) in enumerate(segments) if i not in taken for b in range(a, a + n)]
-        runs = errors // 3 + 1
+    width = -(-64 // (errors + exact))
+    for number, (taken, runs) in enumerate(_layout(errors, exact)):
         base = np.full(len(fp), number, np.int64)
-        for i in taken:
-            a, n = segments[i]
-            base = base << n | (fp >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64)
-        for r, (a, n) in enumerate(cut(len(rest), runs)):
+        for a, n in taken:
+            base = base << width | (fp >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64)
+        for r, run in enumerate(runs):
             x = np.zeros(len(fp), np.int64)
-            for k, b in enumerate(rest[a : a + min(n, 23)]):
+            for k, b in enumerate(run):
                 x |= (fp >> np.uint64(b) & np.uint64(1)).astype(np.int64) << k
             keys = np.sort(golay_keys(x), axis=1)
-            yield (base * runs + r)[:, None] << 12 | keys
+            yield (base * len(runs) + r)[:, None] << 12 | keys
+
+
+def free_bits(key: int, errors: int, exact: int) -> list[int]:
+    """The bits that a bucket's key says nothing of: neither exact nor of the decoded run."""
+    runs = errors // 3 + 1
+    top, r = divmod(key >> 12, runs)
+    taken, decoded = list(_layout(errors, exact))[top >> -(-64 // (errors + exact)) * exact]
+    fixed = {b for a, n in taken for b in range(a, a + n)} | set(decoded[r])
+    return [b for b in range(64) if b not in fixed]
 
 
 def near(a: np.ndarray, b: np.ndarray, errors: int) -> np.ndarray:
@@ -164,17 +178,26 @@ def _keyed(batches: Iterator[pd.DataFrame], errors: int, exact: int) -> Iterator
             yield pd.DataFrame({"key": keys[new], "fp": np.repeat(pdf["fp"].to_numpy(), new.sum(axis=1))})
 
 
-def _finer(key: int, fp: np.ndarray, errors: int) -> pd.DataFrame:
-    """A large bucket's fingerprints under a key for each of errors + 1 segments: two within `errors` bits share one."""
+def _finer(key: int, fp: np.ndarray, errors: int, exact: int) -> pd.DataFrame:
+    """A large bucket's fingerprints under a key for each two of errors + 2 segments of the bits that the bucket's key leaves free.
+
+    Two within `errors` bits have at least two of the segments in common.
+    """
+    free = free_bits(key, errors, exact)
+    parts = []
+    for a, n in cut(len(free), errors + 2):
+        part = np.zeros(len(fp), np.uint64)
+        for k, b in enumerate(free[a : a + n]):
+            part |= (fp.view(np.uint64) >> np.uint64(b) & np.uint64(1)) << np.uint64(k)
+        parts.append(part)
     keys = []
-    for k, (a, n) in enumerate(cut(64, errors + 1)):
-        part = fp.view(np.uint64) >> np.uint64(a) & np.uint64((1 << n) - 1)
-        mixed = (part + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key & (1 << 64) - 1)
+    for number, (x, y) in enumerate(combinations(parts, 2)):
+        mixed = (x << np.uint64(20) | y | np.uint64(number << 40)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key & (1 << 64) - 1)
         keys.append((mixed ^ mixed >> np.uint64(31)).view(np.int64))
     return pd.DataFrame({"a": np.tile(fp, len(keys)), "b": np.tile(fp, len(keys)), "key": np.concatenate(keys)})
 
 
-def _compared(batches: Iterator[pd.DataFrame], errors: int, large: int | None) -> Iterator[pd.DataFrame]:
+def _compared(batches: Iterator[pd.DataFrame], errors: int, exact: int, large: int | None) -> Iterator[pd.DataFrame]:
     """Edges (a, b) of the buckets in key order; the rows of one with over `large` fingerprints go on with a finer key."""
 
     def edges(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
@@ -196,7 +219,7 @@ def _compared(batches: Iterator[pd.DataFrame], errors: int, large: int | None) -
             continue
         if going is not None:  # the rest of a large bucket
             n = int(np.searchsorted(key, going, "right"))
-            yield _finer(going, fp[:n], errors)
+            yield _finer(going, fp[:n], errors, exact)
             key, fp = key[n:], fp[n:]
             if not len(key):
                 continue
@@ -207,7 +230,7 @@ def _compared(batches: Iterator[pd.DataFrame], errors: int, large: int | None) -
             key, fp = key[whole:], fp[whole:]
         if large is not None and len(key) > large:
             going = int(key[0])
-            yield _finer(going, fp, errors)
+            yield _finer(going, fp, errors, exact)
             key, fp = key[:0], fp[:0]
     if len(key):
         yield edges(key, fp)
@@ -218,18 +241,18 @@ def links(fps: DataFrame, errors: int = 4, exact: int | None = None) -> DataFram
 
     Keys are shuffled, never pairs; a bucket's edges are fewer than its fingerprints. Rows of a bucket arrive in key
     order over Arrow batches, and only the open bucket is held. Keys hold more exact bits for larger tables, so that
-    buckets stay small; a bucket that is large for all that is dealt once more, by segments of its fingerprints.
+    buckets stay small; a bucket that is large for all that is dealt once more, by segments of the bits that its key leaves free.
     """
     if exact is None:
         n = fps.count()
         exact = 1 if n < 1 << 26 else 2 if n < 1 << 34 else 3
     edge = "a long, b long, key long"
     keys = fps.select("fp").mapInPandas(lambda b: _keyed(b, errors, exact), "key long, fp long")
-    found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, LARGE), edge)
+    found = keys.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, exact, LARGE), edge)
     found = saved(found, "simhash-edges")
     near_, large = found.filter("key is null").select("a", "b"), found.filter("key is not null").select("key", F.col("a").alias("fp"))
     if not large.isEmpty():
-        again = large.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, None), edge)
+        again = large.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(lambda b: _compared(b, errors, exact, None), edge)
         near_ = near_.union(again.select("a", "b"))
     return near_.distinct()
 
@@ -261,4 +284,4 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -
     """
     groups = shingles.near_duplicates(docs, shingle_words, similarity)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, sentences: int = SPAN_SENTENCES, words: int = SPAN_WO
     """
     bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    rows = docs.select(F.struct(*rest).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), "doc_id", F.xxhash64("text").alias("version"))
     found = repeated(docs.select("doc_id", "text"), sentences, words, long).select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "spans")
     joined = rows.join(found, (F.col("doc_id") == F.col("of")) & (F.col("version") == F.col("of_version")), "left")
     cut = joined.select("row", without(F.col("row.text"), F.col("spans")).alias("cut"))
