@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.functions import sql
 from sieveworks.operators import inspect, variants
-from sieveworks.plans.media import _head_sql
+from sieveworks.plans.media import _head_sql, media_files
 from sieveworks.sources import synth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,5 +141,21 @@ def json_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JSON_SQL = f"""SELECT event_id, '{{"a{ZW}":[' || to_json(event_type)::varchar || ',[{{"p":' || replace(props, ' ', '') || ',"s":' || '""' || '}}],null,' || (event_id % 7)::varchar || '],"b":{{"c":' || to_json(event_type)::varchar || '}}}}' AS props FROM events"""
 
-QUERIES: dict[str, Query] = {"mp4_tree": mp4_tree, "mkv_tree": mkv_tree, "png_tree": png_tree, "raw_tree": raw_tree, "json_scrub": json_scrub}
-ORACLE_SQL = {"mp4_tree": _mp4_sql(), "mkv_tree": _MKV_SQL, "png_tree": _PNG_SQL, "raw_tree": _raw_sql(), "json_scrub": _JSON_SQL}
+def chunks_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and bytes of every document's WAV file by role and action, in SQL alone: a table function under LATERAL and the policies."""
+    sql.register(spark)
+    media_files(spark, sf_dir, "wav").createOrReplaceTempView("wav_files")
+    return spark.sql("""
+        SELECT c.role, p.action, count(*) AS parts, sum(c.size) AS bytes, count(DISTINCT f.doc_id) AS files
+        FROM wav_files f, LATERAL chunks_of(f.format, f.content) c
+        LEFT JOIN strip_policy p ON p.format = 'wav' AND p.role = c.role
+        GROUP BY c.role, p.action""")
+
+
+_LATERAL_SQL = f"""
+SELECT role, action, count(*) AS parts, sum(size)::bigint AS bytes, count(DISTINCT doc_id) AS files FROM (
+    SELECT doc_id, unnest([{{'role': 'fmt ', 'action': 'keep', 'size': 16}}, {{'role': 'LIST', 'action': NULL, 'size': 12 + n + n % 2}}, {{'role': 'info', 'action': NULL, 'size': n}}, {{'role': 'data', 'action': 'keep', 'size': m}}], recursive := true)
+    FROM (SELECT doc_id, {_N}::bigint AS n, strlen(concat_ws('/', lang, source))::bigint AS m FROM documents)) GROUP BY role, action"""
+
+QUERIES: dict[str, Query] = {"chunks_lateral": chunks_lateral, "mp4_tree": mp4_tree, "mkv_tree": mkv_tree, "png_tree": png_tree, "raw_tree": raw_tree, "json_scrub": json_scrub}
+ORACLE_SQL = {"chunks_lateral": _LATERAL_SQL, "mp4_tree": _mp4_sql(), "mkv_tree": _MKV_SQL, "png_tree": _PNG_SQL, "raw_tree": _raw_sql(), "json_scrub": _JSON_SQL}
