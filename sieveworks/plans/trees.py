@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import sql
-from sieveworks.operators import inspect, variants
+from sieveworks.operators import inspect, strip, variants
+from sieveworks.operators.ranges import overlap_join
 from sieveworks.plans.media import _head_sql, media_files
 from sieveworks.sources import synth
+from sieveworks.sources.shared import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A zero width space, planted inside names and values.
@@ -157,5 +159,17 @@ SELECT role, action, count(*) AS parts, sum(size)::bigint AS bytes, count(DISTIN
     SELECT doc_id, unnest([{{'role': 'fmt ', 'action': 'keep', 'size': 16}}, {{'role': 'LIST', 'action': NULL, 'size': 12 + n + n % 2}}, {{'role': 'info', 'action': NULL, 'size': n}}, {{'role': 'data', 'action': 'keep', 'size': m}}], recursive := true)
     FROM (SELECT doc_id, {_N}::bigint AS n, strlen(concat_ws('/', lang, source))::bigint AS m FROM documents)) GROUP BY role, action"""
 
-QUERIES: dict[str, Query] = {"chunks_lateral": chunks_lateral, "mp4_tree": mp4_tree, "mkv_tree": mkv_tree, "png_tree": png_tree, "raw_tree": raw_tree, "json_scrub": json_scrub}
-ORACLE_SQL = {"chunks_lateral": _LATERAL_SQL, "mp4_tree": _mp4_sql(), "mkv_tree": _MKV_SQL, "png_tree": _PNG_SQL, "raw_tree": _raw_sql(), "json_scrub": _JSON_SQL}
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which boxes of every document's film lie in which others, by a join of their byte ranges."""
+    parts = saved(strip.parts_table(media_files(spark, sf_dir, "mp4"), "doc_id").select("doc_id", "seq", "id", "start", "stop"), "box-ranges")
+    pairs = overlap_join(parts, parts, ["doc_id"]).filter("l.seq < r.seq")
+    inside = (F.col("r.start") >= F.col("l.start")) & (F.col("r.stop") <= F.col("l.stop"))
+    return pairs.groupBy(F.col("l.id").alias("outer_box"), F.col("r.id").alias("inner_box"), inside.alias("inside")).agg(F.count("*").alias("pairs"), F.sum(F.col("r.stop") - F.col("r.start")).alias("bytes"))
+
+
+_BOXES_SQL = f"""
+SELECT 'moov' AS outer_box, 'mvhd' AS inner_box, true AS inside, count(*) AS pairs, (32 * count(*))::bigint AS bytes FROM documents HAVING count(*) > 0
+UNION ALL SELECT 'moov', 'udta', true, count(*), sum(8 + {_N})::bigint FROM documents HAVING count(*) > 0"""
+
+QUERIES: dict[str, Query] = {"box_overlaps": box_overlaps, "chunks_lateral": chunks_lateral, "mp4_tree": mp4_tree, "mkv_tree": mkv_tree, "png_tree": png_tree, "raw_tree": raw_tree, "json_scrub": json_scrub}
+ORACLE_SQL = {"box_overlaps": _BOXES_SQL, "chunks_lateral": _LATERAL_SQL, "mp4_tree": _mp4_sql(), "mkv_tree": _MKV_SQL, "png_tree": _PNG_SQL, "raw_tree": _raw_sql(), "json_scrub": _JSON_SQL}
