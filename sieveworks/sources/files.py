@@ -133,6 +133,7 @@ def write_files(cleaned: DataFrame, overwrite: bool = False, *carried: str, stag
     rows = cleaned.select("path", "out", *source, "error", *carried)
     shown = ("path", "out", *carried)
     parts = ", ".join(f"{c} string" for c in (*shown, "part", "status", "error"))
+    manifest = None
     try:
         manifest = saved(rows.mapInPandas(lambda batches: (pdf[[*shown, "part", "status", "error"]] for pdf in stage(batches, job, overwrite)), parts), "staged-files")
         rank = F.row_number().over(Window.partitionBy("out").orderBy(F.desc("path") if overwrite else F.asc("path"), "part"))
@@ -143,7 +144,8 @@ def write_files(cleaned: DataFrame, overwrite: bool = False, *carried: str, stag
         done = ", ".join(f"{c} string" for c in (*shown, "status", "error"))
         return saved(told.select(*shown, "part", "status", "error", "mine").mapInPandas(lambda batches: (pdf[[*shown, "status", "error"]] for pdf in _moved(batches, overwrite)), done), "written-files")
     finally:
-        folders = cleaned.select(F.regexp_replace("out", "/[^/]*$", "").alias("folder")).distinct()
+        told_of = cleaned if manifest is None else manifest  # only a failed first job needs the plan once more
+        folders = told_of.select(F.regexp_replace("out", "/[^/]*$", "").alias("folder")).distinct()
         for row in folders.toLocalIterator():  # as many as there are output folders
             store, folder = store_of(row.folder)
             with contextlib.suppress(OSError):
