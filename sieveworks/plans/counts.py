@@ -1,4 +1,4 @@
-"""Registered query of distinct metadata values by sketches, and its DuckDB SQL."""
+"""Registered queries of distinct metadata values by sketches and of sessions of events, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveworks.operators import inspect, sketches
 from sieveworks.plans import media
 from sieveworks.sources.shared import saved
+from sieveworks.streaming.sessions import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The field that holds the whole text, by format.
@@ -46,5 +47,21 @@ def _values_sql() -> str:
         FROM (SELECT v.format, d.source, v.value FROM ({each}) v JOIN documents d USING (doc_id)) GROUP BY GROUPING SETS ({sets})"""
 
 
-QUERIES: dict[str, Query] = {"value_sketches": value_sketches}
-ORACLE_SQL = {"value_sketches": _values_sql()}
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user's events, twelve hours apart at most, and the code points planted in their properties: the batch twin of the stream."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    planted = F.concat(F.coalesce("props", F.lit("")), F.repeat(F.lit("\u200b"), (F.col("event_id") % 4).cast("int")))
+    found = sessions(events.withColumn("planted", planted), "event_id", "user_id", "ts", "planted", "12 hours", "1 hour")
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("opened", "closed")]
+    return found.select("user_id", *shown, "events", "suspicious")
+
+
+_SESSIONS_SQL = """
+WITH marked AS (SELECT user_id, event_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 12 HOUR, true)::int AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(max(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS closed,
+    count(*) AS events, sum(event_id % 4)::bigint AS suspicious
+FROM numbered GROUP BY user_id, session"""
+
+QUERIES: dict[str, Query] = {"value_sketches": value_sketches, "event_sessions": event_sessions}
+ORACLE_SQL = {"value_sketches": _values_sql(), "event_sessions": _SESSIONS_SQL}
