@@ -43,7 +43,7 @@ _TIFF = (
     ("ifd", KEEP, None),
     ("gps", DROP, ZERO),
     ("thumb", DROP, ZERO),
-    *((f"tag{x}", DROP, ZERO) for x in (270, 305, 306, 315, 700, 33432, 33723, 34377, 36867, 36868, 37510, 37520, 37521, 37522, 40091, 40092, 40093, 40094, 40095, 42016)),
+    *((f"tag{x}", DROP, ZERO) for x in sorted(tree.PRIVATE_TAGS)),
 )
 _UUID = (("uuid-XMP", DROP, ZERO), ("uuid-JPEG", DROP, ZERO), ("uuid-other", KEEP, None))
 POLICY: dict[str, tuple[tuple[str, str | None, str | None], ...]] = {

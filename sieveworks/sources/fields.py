@@ -254,7 +254,7 @@ def _directory(file: tree.Tiff, at: int, name: str, prefix: str, level: int, dep
     """A directory, its tags and, as its children too, its sub-directories and the next in its chain; each one once."""
     path = f"{prefix}/{name}".strip("/")
     found = None if at in state["seen"] or depth > tree.DEEPEST else file.directory(at)
-    entries, after, _ = found or ([], 0, 0)
+    entries, after = found or ([], 0)
     yield Field("ifds", path, b"entries", None, len(entries), {}, level)
     if at in state["seen"] or depth > tree.DEEPEST:
         return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -143,7 +144,8 @@ TAGS = {
     40095: "XPSubject", 42016: "ImageUniqueID",
 }
 EXIF_IFD, GPS_IFD, SUB_IFDS, INTEROP_IFD, JPEG_AT, JPEG_BYTES = 34665, 34853, 330, 40965, 513, 514
-POINTERS = frozenset((EXIF_IFD, GPS_IFD, SUB_IFDS, INTEROP_IFD, JPEG_AT, JPEG_BYTES))
+#: Tags whose values are cleared; those of the camera stay, as decoders need them.
+PRIVATE_TAGS = frozenset(TAGS.keys() - {271, 272, 37500})
 MOST_ENTRIES, MOST_OFFSETS, DEEPEST = 512, 4096, 16
 
 
@@ -157,103 +159,151 @@ class Entry(NamedTuple):
     size: int
 
 
+class Overlay:
+    """The bytes of a file as they stand after its edits so far: ranges that were cleared read as zeros.
+
+    The file itself isn't copied; cleared ranges are kept apart and in order, so a read costs a search.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+
+    def clear(self, at: int, n: int) -> None:
+        stop = at + n
+        if not n:
+            return
+        first, last = bisect_left(self.stops, at), bisect_right(self.starts, stop)
+        if first < last:
+            at, stop = min(at, self.starts[first]), max(stop, self.stops[last - 1])
+        self.starts[first:last], self.stops[first:last] = [at], [stop]
+
+    def read(self, at: int, n: int) -> bytes:
+        k, stop = bisect_right(self.stops, at), at + n
+        if k == len(self.starts) or self.starts[k] >= stop:
+            return self.data[at:stop]
+        out = bytearray(self.data[at:stop])
+        for start, end in zip(self.starts[k:], self.stops[k:], strict=True):
+            if start >= stop:
+                break
+            start, end = max(start, at) - at, min(end, stop) - at
+            out[start:end] = bytes(end - start)
+        return bytes(out)
+
+
 class Tiff:
-    """A TIFF structure in base..limit of a file."""
+    """A TIFF structure in base..limit of a file, read through the edits that were made before (now)."""
 
-    def __init__(self, data: bytes, base: int = 0, limit: int | None = None) -> None:
+    def __init__(self, data: bytes, base: int = 0, limit: int | None = None, now: Overlay | None = None) -> None:
         self.data, self.base, self.limit = data, base, len(data) if limit is None else limit
-        order = data[base : base + 2]
+        self.now = Overlay(data) if now is None else now
+        order = self.now.read(base, 2)
         if base + 8 > self.limit or order not in (b"II", b"MM"):
             raise Malformed("not a TIFF-based RAW file (bad byte order)")
         self.order = "<" if order == b"II" else ">"
-        magic, first = struct.unpack_from(f"{self.order}HI", data, base + 2)
+        magic, first = self._numbers("HI", base + 2)
         if magic != 42:
             raise Malformed("not a TIFF-based RAW file (bad magic, BigTIFF unsupported)")
         if base + first + 2 > self.limit:
             raise Malformed("truncated TIFF file (bad first IFD offset)")
         self.first = base + first
 
-    def directory(self, at: int) -> tuple[list[Entry], int, int] | None:
-        """(entries with a value, the next directory's place or 0, bytes) of the directory at at; None: there is none."""
+    def _numbers(self, form: str, at: int) -> tuple[int, ...]:
+        return struct.unpack(self.order + form, self.now.read(at, struct.calcsize(self.order + form)))
+
+    def extent(self, at: int) -> int | None:
+        """Where the entries of the directory at at end; None: there is none."""
         if at + 2 > self.limit:
             return None
-        (count,) = struct.unpack_from(f"{self.order}H", self.data, at)
+        (count,) = self._numbers("H", at)
         end = at + 2 + 12 * count
-        if count > MOST_ENTRIES or end + 4 > self.limit:
-            return None
-        entries = []
-        for k in range(at + 2, end, 12):
-            tag, kind, n, offset = struct.unpack_from(f"{self.order}HHII", self.data, k)
-            size = n * TYPE_BYTES.get(kind, 0)
-            where = k + 8 if size <= 4 else self.base + offset
-            if kind in TYPE_BYTES and where + size <= self.limit:
-                entries.append(Entry(tag, kind, n, where, size))
-        (after,) = struct.unpack_from(f"{self.order}I", self.data, end)
-        return entries, self.base + after if after else 0, end + 4 - at
+        return None if count > MOST_ENTRIES or end + 4 > self.limit else end
+
+    def entry(self, at: int) -> Entry | None:
+        """The entry at at, if it has a value."""
+        tag, kind, n, offset = self._numbers("HHII", at)
+        size = n * TYPE_BYTES.get(kind, 0)
+        where = at + 8 if size <= 4 else self.base + offset
+        return Entry(tag, kind, n, where, size) if kind in TYPE_BYTES and where + size <= self.limit else None
+
+    def after(self, end: int) -> int:
+        """The directory that follows the one whose entries end at end; 0: none."""
+        (after,) = self._numbers("I", end)
+        return self.base + after if after else 0
+
+    def directory(self, at: int) -> tuple[list[Entry], int] | None:
+        """(entries with a value, the next directory's place or 0) of the directory at at; None: there is none."""
+        end = self.extent(at)
+        return None if end is None else ([e for k in range(at + 2, end, 12) if (e := self.entry(k))], self.after(end))
 
     def offsets(self, entry: Entry) -> list[int]:
         """An entry's values as offsets, for unsigned types."""
         code = {3: "H", 4: "I", 13: "I"}.get(entry.type)
         if code is None or not 0 < entry.count <= MOST_OFFSETS:
             return []
-        return list(struct.unpack_from(f"{self.order}{entry.count}{code}", self.data, entry.at))
-
-    def walk(self) -> Iterator[tuple[str, list[Entry]]]:
-        """(name, entries) of every directory, parents first, each once: the chain, Exif, GPS and sub-directories."""
-        self.seen, self.chained = set(), 0
-        yield from self._walk(self.first, "IFD0", 0)
-
-    def _walk(self, at: int, name: str, depth: int) -> Iterator[tuple[str, list[Entry]]]:
+        return list(self._numbers(f"{entry.count}{code}", entry.at))
+
+    def units(self) -> Iterator[Unit]:
+        """Parts in the order in which they are cleared: what is cleared first is read as zeros by all that follow."""
+        self.seen, self.chained, self.thumbs, self.cleared = set(), 0, [], []
+        yield from self._units(self.first, "IFD0", 0)
+        zones = []
+        for start, stop in self.thumbs:
+            found = jpeg_metadata(self.now.read(start, stop - start), 0, stop - start)
+            zones += [(start + at, n) for at, n in found]
+            for at, n in found:
+                self.now.clear(start + at, n)
+        if zones:
+            yield Unit("THMB", "thumb", sum(n for _, n in zones), zones[0][0], zones[0][0], zones[0][0], tuple(zones))
+
+    def _units(self, at: int, name: str, depth: int) -> Iterator[Unit]:
         if at in self.seen or depth > DEEPEST:
             return
         self.seen.add(at)
-        found = self.directory(at)
-        if found is None:
+        end = self.extent(at)
+        if end is None:
             return
-        entries, after, self.size = found
-        yield name, entries
+        yield Unit(name, "ifd", end + 4 - at, at, at, at)
+        starts: list[int] = []
+        sizes: list[int] = []
+        for k in range(at + 2, end, 12):
+            entry = self.entry(k)
+            if entry is None:
+                continue
+            if name == "GPS":
+                if entry.size:
+                    self.now.clear(entry.at, entry.size)
+                    self.cleared.append((entry.at, entry.size))
+            elif entry.tag == GPS_IFD:
+                for offset in self.offsets(entry)[:1]:
+                    self.cleared = []
+                    yield from self._units(self.base + offset, "GPS", depth + 1)
+                    yield Unit("GPS", "gps", sum(n for _, n in self.cleared), entry.at, entry.at, entry.at, tuple(self.cleared))
+            elif entry.tag == EXIF_IFD:
+                for offset in self.offsets(entry)[:1]:
+                    yield from self._units(self.base + offset, "ExifIFD", depth + 1)
+            elif entry.tag == SUB_IFDS:
+                for offset in self.offsets(entry):
+                    yield from self._units(self.base + offset, "SubIFD", depth + 1)
+            elif entry.tag in (JPEG_AT, JPEG_BYTES):
+                (starts if entry.tag == JPEG_AT else sizes).extend(self.offsets(entry))
+            elif entry.tag != INTEROP_IFD:
+                if entry.tag in PRIVATE_TAGS:
+                    self.now.clear(entry.at, entry.size)
+                yield Unit(TAGS.get(entry.tag, f"Tag{entry.tag}"), f"tag{entry.tag}", entry.size, entry.at, entry.at, entry.at + entry.size, ((entry.at, entry.size),))
         if name == "GPS":
             return
-        for entry in entries:
-            inner = {EXIF_IFD: "ExifIFD", GPS_IFD: "GPS", SUB_IFDS: "SubIFD"}.get(entry.tag)
-            if inner:
-                yield f"@{inner}", [entry]
-                for offset in self.offsets(entry)[: None if inner == "SubIFD" else 1]:
-                    yield from self._walk(self.base + offset, inner, depth + 1)
-                yield f"/{inner}", [entry]
-            else:
-                yield "=", [entry]
+        self.thumbs += [(self.base + s, self.base + s + n) for s, n in zip(starts, sizes, strict=False) if self.base + s + n <= self.limit]
+        after = self.after(end)
         if after and after + 2 <= self.limit:
             self.chained += 1
-            yield from self._walk(after, f"IFD{self.chained}", depth + 1)
+            yield from self._units(after, f"IFD{self.chained}", depth + 1)
 
 
-def tiff(data: bytes, base: int = 0, limit: int | None = None) -> Iterator[Unit]:
+def tiff(data: bytes, base: int = 0, limit: int | None = None, now: Overlay | None = None) -> Iterator[Unit]:
     """Directories, the values of their tags, GPS values as one part, and the metadata of embedded JPEGs as one part."""
-    file = Tiff(data, base, limit)
-    thumbs: list[tuple[int, int]] = []
-    gps: list[tuple[int, int]] = []
-    for name, entries in file.walk():
-        if name == "=":
-            (entry,) = entries
-            if entry.tag not in POINTERS:
-                yield Unit(TAGS.get(entry.tag, f"Tag{entry.tag}"), f"tag{entry.tag}", entry.size, entry.at, entry.at, entry.at + entry.size, ((entry.at, entry.size),))
-        elif name == "@GPS":
-            gps = []
-        elif name == "/GPS":
-            if file.offsets(entries[0]):
-                yield Unit("GPS", "gps", sum(n for _, n in gps), entries[0].at, entries[0].at, entries[0].at, tuple(gps))
-        elif name[0] not in "@/":
-            at = entries[0].at if entries else 0
-            yield Unit(name, "ifd", file.size, at, at, at)
-            if name == "GPS":
-                gps = [(e.at, e.size) for e in entries if e.size]
-            starts = [o for e in entries if e.tag == JPEG_AT for o in file.offsets(e)]
-            sizes = [o for e in entries if e.tag == JPEG_BYTES for o in file.offsets(e)]
-            thumbs += [] if name == "GPS" else [(base + s, base + s + n) for s, n in zip(starts, sizes, strict=False) if base + s + n <= file.limit]
-    zones = tuple(z for start, stop in thumbs for z in jpeg_metadata(data, start, stop))
-    if zones:
-        yield Unit("THMB", "thumb", sum(n for _, n in zones), zones[0][0], zones[0][0], zones[0][0], zones)
+    yield from Tiff(data, base, limit, now).units()
 
 
 # What an XMP packet starts with or names.
@@ -270,9 +320,11 @@ def uuid_kind(data: bytes, start: int, stop: int) -> str:
     return "xmp" if XMP_NAMESPACE in head or head.strip().startswith(XMP_STARTS) else ""
 
 
-def _uuid(data: bytes, box: Box) -> Iterator[Unit]:
+def _uuid(data: bytes, box: Box, now: Overlay) -> Iterator[Unit]:
     kind = uuid_kind(data, box.body, box.stop)
     zones = jpeg_metadata(data, box.body, box.stop) if kind == "jpeg" else ()
+    for at, n in ((box.body, box.stop - box.body),) if kind == "xmp" else zones:
+        now.clear(at, n)
     if kind == "xmp":
         yield box.unit("uuid-XMP")
     elif zones:
@@ -281,7 +333,7 @@ def _uuid(data: bytes, box: Box) -> Iterator[Unit]:
         yield box.unit(role="uuid-other")
     else:
         try:
-            yield from tiff(data, box.body, box.stop)
+            yield from tiff(data, box.body, box.stop, now)
         except Malformed:
             yield box.unit(role="uuid-other")
 
@@ -289,7 +341,7 @@ def _uuid(data: bytes, box: Box) -> Iterator[Unit]:
 def cr3(data: bytes, at: int = 0, end: int | None = None) -> Iterator[Unit]:
     for box in boxes(data, at, len(data) if end is None else end):
         if box.kind == "uuid":
-            yield from _uuid(data, box)
+            yield from _uuid(data, box, Overlay(data))
         elif box.kind == "prvw" and (zones := jpeg_metadata(data, box.body, box.stop)):
             yield box.unit("PRVW", zones=zones)._replace(size=sum(n for _, n in zones))
         else:
@@ -382,31 +434,37 @@ def is_xmp(item: Item) -> bool:
     return item.kind == "mime" and any(x in item.content for x in (b"rdf", b"xap", b"xml"))
 
 
-def heif_exif(data: bytes, at: int, size: int) -> int | None:
+def heif_exif(data: bytes, at: int, size: int, now: Overlay | None = None) -> int | None:
     """Where the TIFF of an Exif item starts: a 32-bit distance stands before it."""
-    base = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    base = at + 4 + int.from_bytes((now or Overlay(data)).read(at, 4), "big")
     return base if size >= 8 and base + 8 <= at + size else None
 
 
-def _item(data: bytes, item: Item, places: list[tuple[int, int]]) -> Iterator[Unit]:
+def _item(data: bytes, item: Item, places: list[tuple[int, int]], now: Overlay) -> Iterator[Unit]:
+    """An item's parts; items may share extents, so each is read as those before it left it."""
     total = sum(n for _, n in places)
     at = places[0][0] if places else 0
     unit = Unit(f"ITEM-{item.kind}", "item", total, at, at, at, tuple(places))
     if not places and (item.kind == "Exif" or is_xmp(item)):
         yield unit
     elif is_xmp(item):
+        for at, n in places:
+            now.clear(at, n)
         yield unit._replace(id="XMP", role="item-xmp")
     elif item.kind != "Exif":
         yield unit
     else:
         (at, size), rest = places[0], places[1:]
-        base = heif_exif(data, at, size)
+        base = heif_exif(data, at, size, now)
         try:
             if base is None:
                 raise Malformed("no TIFF in the Exif item")
-            yield from tiff(data, base, at + size)
+            yield from tiff(data, base, at + size, now)
         except Malformed:
+            now.clear(at, size)
             yield unit._replace(id="Exif", role="item-exif", size=size, zones=((at, size),))
+        for start, n in rest:
+            now.clear(start, n)
         if more := sum(n for _, n in rest):
             yield unit._replace(id="Exif", role="item-exif", size=more, zones=tuple(rest))
 
@@ -425,15 +483,16 @@ def heif_meta(data: bytes, box: Box) -> tuple[list[Box], list[tuple[Item, list[t
     return inner, [(item, places.get(item.number, [])) for item in heif_items(data, last["iinf"].body, last["iinf"].stop)]
 
 
-def heic(data: bytes, at: int = 0, end: int | None = None) -> Iterator[Unit]:
+def heic(data: bytes, at: int = 0, end: int | None = None, now: Overlay | None = None) -> Iterator[Unit]:
+    now = Overlay(data) if now is None else now
     for box in boxes(data, at, len(data) if end is None else end):
         yield _timed(data, box) if box.kind in TIMED else box.unit()
         if box.kind == "meta":
             inner, items = heif_meta(data, box)
             for b in inner:
                 if b.kind == "uuid":
-                    yield from _uuid(data, b)
+                    yield from _uuid(data, b, now)
             for item, places in items:
-                yield from _item(data, item, places)
+                yield from _item(data, item, places, now)
         elif box.kind in CONTAINERS:
-            yield from heic(data, box.body, box.stop)
+            yield from heic(data, box.body, box.stop, now)
