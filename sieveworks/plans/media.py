@@ -235,6 +235,9 @@ BROKEN = (
     ("mp4", "invalid MP4/MOV file (missing moov box)"),
     ("mkv", "file too small to be a mkv file"),
     ("heic", "invalid HEIC file (missing meta box)"),
+    ("mkv", "invalid MKV/WebM file (missing Segment)"),
+    ("jpeg", "JPEG missing scan or EOI marker"),
+    ("cr3", "invalid CR3 file (missing moov box)"),
     ("exe", "unsupported format"),
 )
 
@@ -260,6 +263,9 @@ def _broken(text: Column) -> tuple[Column, ...]:
         F.concat(ftyp, synth.box(b"mdat", data)),
         synth.raw(b"\x1a\x45"),
         F.concat(synth.box(b"ftyp", synth.raw(b"heic\0\0\0\0")), synth.box(b"mdat", data)),
+        F.concat(synth.ebml(b"\x1a\x45\xdf\xa3", synth.raw(b"\x42\x86\x81\1")), synth.ebml(b"\xec", data)),
+        F.concat(synth.raw(b"\xff\xd8\xff\xda\0\x08scanhd"), data, synth.raw(b" ")),
+        F.concat(synth.box(b"ftyp", synth.raw(b"crx \0\0\0\1")), synth.box(b"mdat", data)),
         data,
     )
 
