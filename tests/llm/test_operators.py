@@ -605,13 +605,14 @@ def test_chroma_finds_alignments_with_bit_errors(spark):
 def test_chroma_recall_at_any_size_of_the_table(power):
     """Overlaps of 50 integers with a tenth of their bits wrong have three right keys, however long keys are."""
     masks, rng, found = chroma.key_masks(1 << power), np.random.default_rng(power), 0
-    assert len(set(masks)) == len(masks) and {m.bit_count() for m in masks} == {max(20, min(48, power + 1))}
+    (bits,) = {m.bit_count() for m in masks}
+    assert len(set(masks)) == len(masks) and bits >= max(20, min(48, power + 1))
     for _ in range(600):
         wrong = ((rng.random((50, 32)) < chroma.BORNE) * (1 << np.arange(32, dtype=np.uint64))).sum(axis=1).astype(np.uint64)
         pair = wrong[:-1] << np.uint64(32) | wrong[1:]
         found += sum(int(((pair & np.uint64(m)) == 0).sum()) for m in masks) >= 3
     assert found >= 0.9 * 600
-    assert len(masks) <= 64 and (power > 20 or len(masks) == chroma.LEAST_KEYS)
+    assert len(masks) <= 64 and (power > 13 or len(masks) == chroma.LEAST_KEYS)
 
 
 def test_chroma_frames_take_as_long_at_any_rate():
