@@ -21,8 +21,10 @@ LOW, HIGH = 60.0, 3500.0
 #: A bit pair's limits for the log ratio of a filter's two areas.
 LIMITS = (-0.25, 0.0, 0.25)
 FILTERS, WIDTH = 16, 12
-#: Keys of a position: each takes some bits of its integer and the next one, so that it bears errors in the others.
+#: Keys of a position: each takes some bits of its integer and a later one, so that it bears errors in the others.
 LEAST_KEYS, LEAST_BITS, MOST_BITS = 4, 20, 48
+#: Positions that keys are made for unless a caller says otherwise, whatever the table holds: 12 keys of 32 bits.
+POSITIONS = 1 << 25
 #: Share of wrong bits at which overlaps of 50 integers are found nine times in ten or more, whatever the table's size.
 BORNE = 0.1
 SILENT = 1e-4
@@ -122,55 +124,83 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
 
 
 def key_masks(positions: int) -> list[int]:
-    """The bits that each key takes of two integers: so many that few of the positions share a key by chance.
+    """The bits that each key takes of two integers: so many that few of that many positions share a key by chance.
 
     Neighbouring filters and frames agree in part, so a bit of a key tells positions apart by less than half a bit:
     keys grow by two bits as the positions double. Longer keys bear fewer errors each, so there are more of them: as
-    many as keep the chance even that some of a position's keys are right at BORNE wrong bits. With n positions in
-    the table that is about n^0.3 keys a position, up to MOST_BITS (2^34 positions), where their number stays.
+    many as keep the chance even that some of a position's keys are right at BORNE wrong bits. For n positions
+    that is about n^0.3 keys a position, up to MOST_BITS (2^34 positions), where their number stays.
     """
     bits = min(MOST_BITS, LEAST_BITS + 2 * max(0, positions.bit_length() - LEAST_BITS))
     count = max(LEAST_KEYS, math.ceil(0.4 / (1 - BORNE) ** bits))
     return [sum(1 << (16 * k + 4 * (k // 4) + (3 + 2 * (k // 4)) * j) % 64 for j in range(bits)) for k in range(count)]
 
 
-def keys(prints: DataFrame, masks: list[int]) -> DataFrame:
-    """(rec_id, pos int, key long) of (rec_id, fp): each position's keys. Of a key that goes on (a held note) the first position."""
+def keys(prints: DataFrame, masks: list[int], step: int = 1) -> DataFrame:
+    """(rec_id, pos int, key long) of (rec_id, fp): each position's keys. Of a key that goes on (a held note) the first position.
+
+    Keys are of a position's integer and the one `step` later. Steps above 1: positions without a later one have no
+    key; step 1: a recording's last position has keys of its integer alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches):
-            pdf = pdf[pdf["fp"].map(len) > 0]
+            pdf = pdf[pdf["fp"].map(len) > (step if step > 1 else 0)]
             sizes = pdf["fp"].map(len).to_numpy()
             if not len(sizes):
                 continue
             fp = np.concatenate(pdf["fp"].to_numpy()).astype(np.uint64)
             start = np.zeros(len(fp), bool)
             start[np.cumsum(sizes) - sizes] = True
-            after = np.where(np.append(start[1:], True), 0, np.append(fp[1:], 0)).astype(np.uint64)
-            x, pos, rec = fp << np.uint64(32) | after, np.arange(len(fp)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(pdf["rec_id"].to_numpy(), sizes)
+            pos, rec = np.arange(len(fp)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(pdf["rec_id"].to_numpy(), sizes)
+            has = pos + step < np.repeat(sizes, sizes)
+            x = fp << np.uint64(32) | np.where(has, np.append(fp[step:], np.zeros(step, np.uint64)), 0).astype(np.uint64)
             for k, mask in enumerate(masks):
                 key = x & np.uint64(mask)
                 new = start | np.append(True, key[1:] != key[:-1])
+                if step > 1:
+                    new &= has
                 key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
                 yield pd.DataFrame({"rec_id": rec[new], "pos": pos[new], "key": key[new].view(np.int64)})
 
     return prints.select("rec_id", "fp").mapInPandas(run, "rec_id long, pos int, key long")
 
 
-def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: float = 0.2) -> DataFrame:
+def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: float = 0.2, positions: int = POSITIONS) -> DataFrame:
     """(query_id, rec_id, offset, votes, errors): each query recording's alignment with each other recording that shares keys.
 
     prints, queries: (rec_id, fp). For each pair of recordings the histogram of offsets at which keys agree is counted
     with a partially aggregated sum; its highest entry (ties: smallest offset) with `votes` votes or more is the
     alignment, kept if the share of differing bits over the overlap is most_errors or less. A position has
     LEAST_KEYS keys or more, so an exact copy of one integer has votes enough. The stated query set is joined to all
-    recordings on the key; no cap is set on partners. Overlaps of 50 integers with up to BORNE wrong bits are found
-    with a recall of 0.9 or more at any size of the table (simulated in the tests up to 2^48 positions); between
-    BORNE and most_errors recall falls as the table grows.
+    recordings on the key; no cap is set on partners. Recordings of equal integers meet as one.
+
+    Keys follow from `positions` alone, never from the table: whether two recordings are aligned depends on these
+    two. Recordings of over WIDTH integers meet by keys of integers WIDTH apart, which share no frame; where one has
+    fewer, by keys of neighbours. So two longer recordings whose overlap is WIDTH integers or less don't meet.
+    Overlaps of 50 integers with up to BORNE wrong bits are found with a recall of 0.9 or more (simulated in the
+    tests for keys of all lengths); between BORNE and most_errors recall is less.
     """
-    masks = key_masks(prints.agg(F.sum(F.size("fp"))).first()[0] or 0)
-    asked = keys(queries, masks).select(F.col("rec_id").alias("query_id"), F.col("pos").alias("q"), "key")
-    hits = asked.join(keys(prints, masks).withColumnRenamed("pos", "r").hint("merge"), "key").filter("query_id != rec_id")
+    masks = key_masks(positions)
+
+    def distinct(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rec_id, fp) of one recording of each fp, and (rec_id, member) of all that it stands for."""
+        named = df.select("rec_id", "fp", F.sha2(F.array_join("fp", ","), 256).alias("h"))
+        first = named.groupBy("h").agg(F.min("rec_id").alias("first"))
+        members = saved(named.select("rec_id", "h").join(first, "h").select(F.col("first").alias("rec_id"), F.col("rec_id").alias("member")), "chroma-copies")
+        return df.select("rec_id", "fp").join(members.select("rec_id").distinct(), "rec_id", "left_semi").dropDuplicates(["rec_id"]), members
+
+    (prints, copies), (queries, asking) = distinct(prints), distinct(queries)
+
+    def met(asked: DataFrame, known: DataFrame, step: int) -> DataFrame:
+        q = keys(asked, masks, step).select(F.col("rec_id").alias("query_id"), F.col("pos").alias("q"), "key")
+        return q.join(keys(known, masks, step).withColumnRenamed("pos", "r").hint("merge"), "key")
+
+    hits, short = met(queries, prints, WIDTH), F.size("fp").between(1, WIDTH)
+    if not (asked := queries.filter(short)).isEmpty():
+        hits = hits.union(met(asked, prints, 1))
+    if not (known := prints.filter(short)).isEmpty():
+        hits = hits.union(met(queries.filter(~short), known, 1))
     histogram = hits.groupBy("query_id", "rec_id", (F.col("r") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
     best = histogram.groupBy("query_id", "rec_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("query_id", "rec_id", (-F.col("b.o")).alias("offset"), "b.votes")
     j = best.join(queries.select(F.col("rec_id").alias("query_id"), F.col("fp").alias("qfp")), "query_id").join(prints.select("rec_id", "fp"), "rec_id")
@@ -178,7 +208,8 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: fl
     size = F.least(F.size("qfp") - first, F.size("fp") - first - F.col("offset"))
     errors = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda s, i: s + F.bit_count(F.get("qfp", first + i).bitwiseXOR(F.get("fp", first + i + F.col("offset")))))
     j = j.withColumn("errors", errors / (size * 32.0)).filter(F.col("errors") <= most_errors)
-    return j.select("query_id", "rec_id", "offset", "votes", "errors")
+    j = j.join(copies, "rec_id").join(asking.select(F.col("rec_id").alias("query_id"), F.col("member").alias("query")), "query_id")
+    return j.filter("query != member").select(F.col("query").alias("query_id"), F.col("member").alias("rec_id"), "offset", "votes", "errors")
 
 
 def melodies(vectors: DataFrame) -> DataFrame:

@@ -601,6 +601,19 @@ def test_chroma_finds_alignments_with_bit_errors(spark):
     assert all(errors(fps[a], fps[b], o) <= 0.2 for (a, b), o in got.items())
 
 
+def test_chroma_alignments_do_not_depend_on_the_size_of_the_table(spark):
+    """Pairs with 15 in 100 bits wrong, and short recordings, align alike alone and among recordings of 2^21 positions."""
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 1 << 32, size=(40, 50), dtype=np.uint64)
+    noisy = base ^ ((rng.random((40, 50, 32)) < 0.15) * (1 << np.arange(32, dtype=np.uint64))).sum(axis=2).astype(np.uint64)
+    rows = [*((k, fp.astype(np.int64).tolist()) for k, fp in enumerate(base)), *((100 + k, fp.astype(np.int64).tolist()) for k, fp in enumerate(noisy))]
+    rows += [(40, base[3, 10:18].astype(np.int64).tolist()), (41, [9, 8, 7]), (200, [1, 2, *base[5, :6].astype(np.int64).tolist(), 9, 8, 7] * 3)]
+    few = spark.createDataFrame(rows, "rec_id long, fp array<long>")
+    many = few.union(spark.range(1000, 42_000).selectExpr("id", "transform(sequence(1, 50), x -> xxhash64(id, x) & 4294967295L)"))
+    got = [{(r.query_id, r.rec_id, r.offset, r.votes) for r in chroma.align(x, few.filter("rec_id < 50")).collect() if r.rec_id < 1000} for x in (few, many)]
+    assert got[0] == got[1] and {(40, 3, 10), (3, 40, -10)} <= {x[:3] for x in got[0]} and (41, 200) in {x[:2] for x in got[0]}
+
+
 @pytest.mark.parametrize("power", (13, 20, 25, 30, 36, 40, 44, 48))
 def test_chroma_recall_at_any_size_of_the_table(power):
     """Overlaps of 50 integers with a tenth of their bits wrong have three right keys, however long keys are."""
