@@ -1,9 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the shingle sets decide."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash keys and MinHash bands propose pairs, the shingle sets decide."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ FACTORS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 MASKS = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 
 
-def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of a text's shingles, which are those of simhash.fingerprint; none for a text without words."""
+def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles, repeats included, which are those of simhash.fingerprint; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -36,7 +36,20 @@ def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     last = ends[min(shingle_words, len(words)) - 1 :]
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64))
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64)
+
+
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """Sorted distinct shingle_hashes."""
+    return np.unique(shingle_hashes(text, shingle_words))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """The signed SimHash of shingle_hashes, as simhash.fingerprint has it."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -57,14 +70,18 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _named(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, node, size, bands) of every row."""
+    """(doc_id, node, size, fp, bands) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches):
-            sets = [shingle_set(t, shingle_words) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_node(s) for s in sets], "size": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+            out = []
+            for t in pdf["text"]:
+                hashes = shingle_hashes(t, shingle_words)
+                own = np.unique(hashes)
+                out.append((_node(own), len(own), simhash_of(hashes), bands(own)))
+            yield pd.DataFrame(out, columns=["node", "size", "fp", "bands"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, size long, bands array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, size long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -124,10 +141,21 @@ def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.select("node", "size", "node2", "size2")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+def simhash_pairs(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, size, node2, size2) that SimHash proposes: of an edge of `near` the first sets of both prints, and of a print the first with each other."""
+    lead = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("lead"))
+    lead = saved(lead.select("fp", F.col("lead.node").alias("node"), F.col("lead.size").alias("size")), "shingle-prints")
+    second = lead.withColumnsRenamed({"node": "node2", "size": "size2"})
+    edges = near(lead.select("fp")).join(lead.withColumnRenamed("fp", "a"), "a").join(second.withColumnRenamed("fp", "b"), "b")
+    same = nodes.select("fp", "node", "size").join(second, "fp").filter("node != node2")
+    return edges.select("node", "size", "node2", "size2").union(same.select("node", "size", "node2", "size2"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the distinct sets that have a link: the components of all similar pairs that share a band.
 
-    A bucket's members are first compared with one leader each, the one whose other buckets are fullest, then a few
+    Pairs that `near` proposes of SimHash fingerprints (if given) are compared first; then the bands find what differs
+    in more bits. A bucket's members are first compared with one leader each, the one whose other buckets are fullest, then a few
     times with others while that pays; pairs that this already put in one component are not compared. If few pairs
     are left open, all of them are compared; else the open sets meet by prefix_pairs, which loses no similar pair.
     Pairs whose sizes alone rule the similarity out are not compared.
@@ -136,6 +164,11 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     members = saved(keys.join(shared, "key"), "shingle-buckets")
     wanted = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    proposed = None
+    if near is not None:
+        proposed = saved(simhash_pairs(nodes, near), "shingle-simhash")
+        linked = proposed.select("node").union(proposed.select(F.col("node2").alias("node"))).distinct()
+        wanted = wanted.join(linked, "node", "full").withColumn("weight", F.coalesce("weight", F.lit(0)))
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id"))
     texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id is null").select("text"))
     sets = saved(_sets(texts, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
@@ -148,6 +181,12 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
 
     rows = members.join(wanted, "node").withColumn("comp", F.col("node"))
     tried = good = groups = None
+    if proposed is not None:
+        tried = tried_next(proposed, None)
+        good = saved(_similar(tried, sets, similarity), "shingle-links")
+        groups = components(good)
+        named = groups.select("node", F.col("component").alias("comp"))
+        rows = members.join(wanted, "node").join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     for k in range(STARS):
         h = F.struct(F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)), "node")
         lead = rows.groupBy("key").agg(*(F.max_by(c, h).alias(f"{c}2") for c in ("node", "size", "comp")))
@@ -172,14 +211,14 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
     return groups if new.isEmpty() else components(good.union(new))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id that links of `similarity` or more reach.
 
     Texts without words are one group. Rows with null doc_id link others and get a component_id like the rest.
     """
     named = saved(_named(docs, shingle_words), "shingles")
-    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "shingle-nodes")
-    groups = links(docs, nodes, shingle_words, similarity)
+    nodes = saved(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-nodes")
+    groups = links(docs, nodes, shingle_words, similarity, near)
     whole = saved(nodes.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingle-groups")
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     return named.select("doc_id", "node").join(whole.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -279,9 +279,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, errors: int = 4) ->
 def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents that are the smallest doc_id of their near-duplicate group; columns as in docs. Rows with null doc_id stay.
 
-    Groups are of shingle sets with a Jaccard similarity of at least `similarity`. Fingerprints cannot find these: at 0.8
-    two of them differ in 10 bits on average, and keys for so many errors leave no bits to tell texts apart.
+    Groups are of shingle sets with a Jaccard similarity of at least `similarity`. Pairs come from fingerprints within 4
+    bits by their Golay keys, and are held against the sets. Fingerprints alone cannot find all: at 0.8 two of them
+    differ in 10 bits on average, and keys for so many errors leave no bits to tell texts apart; MinHash bands add the rest.
     """
-    groups = shingles.near_duplicates(docs, shingle_words, similarity)
+    groups = shingles.near_duplicates(docs, shingle_words, similarity, links)
     gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,7 +10,7 @@ pytest.importorskip("sieveworks.llm.queries")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from sieveworks.llm import shingles  # noqa: E402
+from sieveworks.llm import shingles, simhash  # noqa: E402
 
 
 def edited(n: int, seed: int) -> list[str]:
@@ -67,3 +67,16 @@ def test_heavily_edited_copies_are_not_compared_with_each_other(spark):
     opened = spark.createDataFrame([(n, len(s)) for n, s in sets.items()], "node long, size long").withColumn("comp", F.col("node"))
     held = spark.createDataFrame([(n, s.view("int64").tolist()) for n, s in sets.items()], "node long, hashes array<long>")
     assert shingles.prefix_pairs(opened, held, 0.8).count() == 0
+
+
+def test_simhash_keys_find_near_copies_without_bands(spark, monkeypatch):
+    """With no band at all, keep_one drops copies within 4 bits through the Golay keys; the sets reject unlike texts of one print."""
+    monkeypatch.setattr(shingles, "bands", lambda hashes: [])
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{k}" for k in range(300)), " ".join(base)]
+    prints = [shingles.simhash_of(shingles.shingle_hashes(t, 5)) for t in texts]
+    assert [p & (1 << 64) - 1 for p in prints] == [simhash.fingerprint(t, 5) for t in texts]
+    assert 0 < ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() <= 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 2]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, similarity=0.9999).collect()) == [0, 1, 2]
