@@ -16,8 +16,9 @@ from sieveworks.llm.common import components, saved, sliced
 #: A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 7.3e-5 at 0.8, 1.8e-6 at 0.85.
 BANDS, ROWS = 24, 5
 CHUNK = 4096
-#: Rounds of one leader a bucket, at most; they end if so few pairs a member are open, or if less than one pair in so many is a link.
-STARS, FEW, WORTH = 3, 8, 50
+#: Rounds of one leader a bucket, at most; they end if so few pairs a member are open (0: then all open sets go to the
+#: prefix join, as pairs of a bucket grow with the square of its size), or if less than one pair in so many is a link.
+STARS, FEW, WORTH = 3, 0, 50
 #: Sizes within this factor are one class of the prefix join.
 CLASS = 1.05
 
