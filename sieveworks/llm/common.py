@@ -105,28 +105,29 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"], dtype="int64")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether distinct edges from a node a to a smaller node b are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 or up = 1 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a long, b long) as (node, component), component the smallest node.
 
     Large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014), written
     as partially aggregated minima and joins, so that a node with very many edges is never gathered in one task.
-    Every step ends in a checkpoint; it stops when a step changes nothing. Nulls and self-loops are ignored; no edge
-    gives no row.
+    Every step is saved; they stop as soon as the edges are stars, which one grouping by node tells: a step that changes
+    nothing is never run, as its jobs cost the driver more than such small tables cost the tasks. Nulls and self-loops
+    are ignored; no edge gives no row.
     """
-    shared_dir(edges.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a != b")
-    e = e.mapInPandas(_contract, "a long, b long").distinct().checkpoint()
-    seen = None
-    while True:
+    e = saved(e.mapInPandas(_contract, "a long, b long").distinct(), "component-edges")
+    while not _stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = small.filter("a != b").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        e = saved(small.filter("a != b").distinct(), "component-edges")
     members = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(members.select(F.col("component").alias("node"), "component").distinct())

@@ -155,8 +155,8 @@ def simhash_pairs(nodes: DataFrame, near: Callable[[DataFrame], DataFrame]) -> D
 def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the distinct sets that have a link: the components of all similar pairs that share a band.
 
-    Pairs that `near` proposes of SimHash fingerprints (if given) are compared first; then the bands find what differs
-    in more bits. A bucket's members are first compared with one leader each, the one whose other buckets are fullest, then a few
+    Pairs that `near` proposes of SimHash fingerprints (if given) are compared in the first round; the bands find what
+    differs in more bits. A bucket's members are first compared with one leader each, the one whose other buckets are fullest, then a few
     times with others while that pays; pairs that this already put in one component are not compared. If few pairs
     are left open, all of them are compared; else the open sets meet by prefix_pairs, which loses no similar pair.
     Pairs whose sizes alone rule the similarity out are not compared.
@@ -170,6 +170,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
         proposed = saved(simhash_pairs(nodes, near), "shingle-simhash")
         linked = proposed.select("node").union(proposed.select(F.col("node2").alias("node"))).distinct()
         wanted = wanted.join(linked, "node", "full").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    wanted = saved(wanted, "shingle-wanted")
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("doc_id"))
     texts = docs.join(ids, "doc_id", "left_semi").select("text").union(docs.filter("doc_id is null").select("text"))
     sets = saved(_sets(texts, shingle_words).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
@@ -182,16 +183,11 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
 
     rows = members.join(wanted, "node").withColumn("comp", F.col("node"))
     tried = good = groups = None
-    if proposed is not None:
-        tried = tried_next(proposed, None)
-        good = saved(_similar(tried, sets, similarity), "shingle-links")
-        groups = components(good)
-        named = groups.select("node", F.col("component").alias("comp"))
-        rows = members.join(wanted, "node").join(named, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     for k in range(STARS):
         h = F.struct(F.col("weight") if k == 0 else F.xxhash64("node", F.lit(k)), "node")
         lead = rows.groupBy("key").agg(*(F.max_by(c, h).alias(f"{c}2") for c in ("node", "size", "comp")))
-        pairs = tried_next(rows.join(lead, "key").filter("comp != comp2"), tried)
+        found = rows.join(lead, "key").filter("comp != comp2").select("node", "size", "node2", "size2")
+        pairs = tried_next(proposed.union(found) if k == 0 and proposed is not None else found, tried)
         tried = pairs if tried is None else tried.union(pairs)
         new = saved(_similar(pairs, sets, similarity), "shingle-links")
         good = new if good is None else good.union(new)
@@ -207,7 +203,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: flo
         if few or new.count() * WORTH < pairs.count():
             break
     opened = rows.join(left.select("key"), "key", "left_semi")
-    found = _apart(opened, opened) if few else prefix_pairs(opened.select("node", "size", "comp").distinct(), sets, similarity)
+    found = _apart(opened, opened) if few else prefix_pairs(saved(opened.select("node", "size", "comp").distinct(), "shingle-opened"), sets, similarity)
     new = saved(_similar(tried_next(found, tried), sets, similarity), "shingle-links")
     return groups if new.isEmpty() else components(good.union(new))
 
