@@ -166,6 +166,55 @@ def keys(prints: DataFrame, masks: list[int], step: int = 1) -> DataFrame:
     return prints.select("rec_id", "fp").mapInPandas(run, "rec_id long, pos int, key long")
 
 
+def counted(pairs: DataFrame, masks: list[int], votes: int) -> DataFrame:
+    """(query_id, rec_id, offset int, votes long) of (query_id, qfp, rec_id, fp), both of over WIDTH integers: the offset at which
+    most of the keys that keys() gives with step WIDTH agree (ties: smallest), where these are `votes` or more."""
+    m = np.array(masks, np.uint64)[:, None]
+
+    def own(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A recording's keys in order, and their positions."""
+        fp = np.asarray(fp).astype(np.uint64)
+        key = (fp[:-WIDTH] << np.uint64(32) | fp[WIDTH:]) & m
+        new = np.ones(key.shape, bool)
+        new[:, 1:] = key[:, 1:] != key[:, :-1]
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(m), dtype=np.uint64)[:, None]
+        key, pos = key[new], np.nonzero(new)[1]
+        order = np.argsort(key, kind="stable")
+        return key[order], pos[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sliced(batches):
+            out = []
+            for query, qfp, rec, fp in zip(pdf["query_id"], pdf["qfp"], pdf["rec_id"], pdf["fp"], strict=True):
+                (qkey, q), (key, r) = own(qfp), own(fp)
+                first = np.searchsorted(qkey, key)
+                n = np.searchsorted(qkey, key, "right") - first
+                at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+                offsets, found = np.unique(np.repeat(r, n) - q[at], return_counts=True)
+                if len(found) and found.max() >= votes:
+                    out.append((query, rec, offsets[found.argmax()], found.max()))
+            yield pd.DataFrame(out, columns=["query_id", "rec_id", "offset", "votes"])
+
+    return pairs.select("query_id", "qfp", "rec_id", "fp").mapInPandas(run, "query_id long, rec_id long, offset int, votes long")
+
+
+def alike(prints: DataFrame, most_errors: float) -> DataFrame:
+    """(rec_id, group, n) of every recording of (rec_id, fp): near copies that begin together have one group, of n recordings.
+
+    A recording's leader is the least rec_id that holds, at the same place, the integer that most others hold there; it
+    joins the leader's group if at most most_errors of the bits differ from the leader's, else it is a group of its own.
+    """
+    ints = prints.select("rec_id", F.posexplode("fp").alias("pos", "x"))
+    held = ints.groupBy("pos", "x").agg(F.count("*").alias("n"), F.min("rec_id").alias("lead")).filter("n > 1")
+    led = ints.join(held, ["pos", "x"]).groupBy("rec_id").agg(F.max_by("lead", F.struct("n", F.xxhash64("pos", "x"), "lead")).alias("lead"))
+    both = led.join(prints, "rec_id").join(prints.select(F.col("rec_id").alias("lead"), F.col("fp").alias("own")), "lead")
+    size = F.least(F.size("fp"), F.size("own"))
+    wrong = F.aggregate(F.zip_with(F.slice("fp", F.lit(1), size), F.slice("own", F.lit(1), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    near = both.filter(wrong <= most_errors * 32 * size).select("rec_id", "lead")
+    groups = saved(prints.select("rec_id").join(near, "rec_id", "left").select("rec_id", F.coalesce("lead", "rec_id").alias("group")), "chroma-groups")
+    return groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+
+
 def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: float = 0.2, positions: int = POSITIONS) -> DataFrame:
     """(query_id, rec_id, offset, votes, errors): each query recording's alignment with each other recording that shares keys.
 
@@ -173,7 +222,10 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: fl
     with a partially aggregated sum; its highest entry (ties: smallest offset) with `votes` votes or more is the
     alignment, kept if the share of differing bits over the overlap is most_errors or less. A position has
     LEAST_KEYS keys or more, so an exact copy of one integer has votes enough. The stated query set is joined to all
-    recordings on the key; no cap is set on partners. Recordings of equal integers meet as one.
+    recordings on the key; no cap is set on partners. Recordings of equal integers meet as one. Near copies share most
+    keys, so that theirs are dealt as a group's, each once: a query that agrees with a group in `votes` keys or more at one
+    offset, as it must to agree with a member, becomes a pair with each member, whose histogram is then counted from the two.
+    So a pair is one row, however many keys it shares.
 
     Keys follow from `positions` alone, never from the table: whether two recordings are aligned depends on these
     two. Recordings of over WIDTH integers meet by keys of integers WIDTH apart, which share no frame; where one has
@@ -191,18 +243,32 @@ def align(prints: DataFrame, queries: DataFrame, votes: int = 3, most_errors: fl
         return df.select("rec_id", "fp").join(members.select("rec_id").distinct(), "rec_id", "left_semi").dropDuplicates(["rec_id"]), members
 
     (prints, copies), (queries, asking) = distinct(prints), distinct(queries)
+    long, short = F.size("fp") > WIDTH, F.size("fp").between(1, WIDTH)
+
+    # long recordings: a query meets the keys of a group of near copies, each key at a place once; then the group's members
+    groups = saved(alike(prints.filter(long), most_errors), "chroma-alike")
+    known = prints.join(groups, "rec_id").select(F.col("group").alias("rec_id"), "fp", "n")
+    theirs = keys(known.filter("n = 1"), masks, WIDTH).union(keys(known.filter("n > 1"), masks, WIDTH).distinct()).select(F.col("rec_id").alias("group"), F.col("pos").alias("r"), "key")
+    ours = keys(queries, masks, WIDTH).select(F.col("rec_id").alias("query_id"), F.col("pos").alias("q"), "key")
+    met_groups = ours.join(theirs.hint("merge"), "key").groupBy("query_id", "group", (F.col("r") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes"))
+    pairs = met_groups.filter(F.col("votes") >= votes).select("query_id", "group").distinct().join(groups.select("group", "rec_id"), "group").select("query_id", "rec_id")
+    pairs = saved(pairs, "chroma-pairs")
+    both = pairs.join(queries.select(F.col("rec_id").alias("query_id"), F.col("fp").alias("qfp")), "query_id").join(prints.select("rec_id", "fp"), "rec_id")
+    best = counted(both, masks, votes)
 
     def met(asked: DataFrame, known: DataFrame, step: int) -> DataFrame:
         q = keys(asked, masks, step).select(F.col("rec_id").alias("query_id"), F.col("pos").alias("q"), "key")
         return q.join(keys(known, masks, step).withColumnRenamed("pos", "r").hint("merge"), "key")
 
-    hits, short = met(queries, prints, WIDTH), F.size("fp").between(1, WIDTH)
+    hits = []
     if not (asked := queries.filter(short)).isEmpty():
-        hits = hits.union(met(asked, prints, 1))
+        hits.append(met(asked, prints, 1))
     if not (known := prints.filter(short)).isEmpty():
-        hits = hits.union(met(queries.filter(~short), known, 1))
-    histogram = hits.groupBy("query_id", "rec_id", (F.col("r") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
-    best = histogram.groupBy("query_id", "rec_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("query_id", "rec_id", (-F.col("b.o")).alias("offset"), "b.votes")
+        hits.append(met(queries.filter(~short), known, 1))
+    for some in hits:  # a pair of recordings is in one of them alone
+        histogram = some.groupBy("query_id", "rec_id", (F.col("r") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
+        most = histogram.groupBy("query_id", "rec_id").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b"))
+        best = best.union(most.select("query_id", "rec_id", (-F.col("b.o")).alias("offset"), "b.votes"))
     j = best.join(queries.select(F.col("rec_id").alias("query_id"), F.col("fp").alias("qfp")), "query_id").join(prints.select("rec_id", "fp"), "rec_id")
     first = F.greatest(F.lit(0), -F.col("offset"))
     size = F.least(F.size("qfp") - first, F.size("fp") - first - F.col("offset"))
