@@ -125,27 +125,44 @@ def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> Dat
             for i, data in zip(batch.column("doc_id").to_pylist(), cache.of(batch.column("text")), strict=True):
                 data += last
                 for k in range(0, len(data) // 2, most):
-                    part = data[2 * k : 2 * (k + most)]
-                    ids = np.frombuffer(part, "<u2")
-                    top = int(ids.max())
-                    out.append((i, k, len(data) // 2, part, top, int(ids.max(where=ids < top, initial=0))))
-            columns = zip(*out, strict=True) if out else [()] * 6
+                    out.append((i, k, len(data) // 2, data[2 * k : 2 * (k + most)]))
+            columns = [*zip(*out, strict=True)] if out else [()] * 4
+            sizes = np.fromiter(map(len, columns[3]), np.int64, len(columns[3])) // 2
+            columns += two_largest(np.frombuffer(b"".join(columns[3]), "<u2"), sizes)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "doc_tokens", "ids", "t1", "t2"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, t1 int, t2 int")
 
 
+def distinct(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, id, how often) of each id that a piece holds, in this order: one sort for all pieces."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.concatenate(pieces) if pieces else np.empty(0, np.int64)
+    key = np.repeat(np.arange(len(pieces)) << 16, sizes) | flat
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[first] >> 16, key[first] & 0xFFFF, np.diff(first, append=len(key))
+
+
+def two_largest(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest id of each piece, none of them empty, and the largest below it (none: 0)."""
+    at = np.cumsum(sizes) - sizes
+    if not len(at):
+        return at, at
+    top = np.maximum.reduceat(flat, at)
+    return top, np.maximum.reduceat(np.where(flat == np.repeat(top, sizes), 0, flat), at)
+
+
 def statistics(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
     """How many of all pieces hold each id (65,536 at most), how many pieces there are, and their mean length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
-        for pdf in batches:
-            for ids in pdf["ids"]:
-                ids = np.frombuffer(ids, "<u2")
-                df[np.flatnonzero(np.bincount(ids))] += 1
-                n, tokens = n + 1, tokens + len(ids)
+        for pdf in sliced(batches):
+            _, term, tf = distinct([np.frombuffer(ids, "<u2") for ids in pdf["ids"]])
+            df += np.bincount(term, minlength=1 << 16)
+            n, tokens = n + len(pdf), tokens + int(tf.sum())
         held = np.flatnonzero(df)
         yield pd.DataFrame({"id": [*held, -1, -2], "n": [*df[held], n, tokens]})
 
@@ -161,10 +178,8 @@ class Index:
     """BM25 over the token ids of one shard's pieces; document frequencies and mean length are those of all pieces."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float):
-        found = [np.unique(p, return_counts=True) for p in pieces]
-        sizes = np.array([len(f[0]) for f in found])
-        term, tf = np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])
-        doc = np.repeat(np.arange(len(pieces)), sizes)
+        doc, term, tf = distinct(pieces)
+        sizes = np.bincount(doc, minlength=len(pieces))
         norm = K1 * (1 - B + B * np.array([len(p) for p in pieces], float) / mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         self.n, self.ends, self.term = len(pieces), np.cumsum(sizes), term
