@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import weakref
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -22,8 +24,8 @@ SHARD_TOKENS = 1 << 18
 #: A longer document is retrieved in pieces of so many windows.
 PIECE_WINDOWS = 16
 K1, B = 1.2, 0.75
-#: Entries of a Python worker's cache, of two generations each.
-CACHE = 600_000
+#: Entries of each of the two generations of a Python worker's cache: of some 150 bytes, so under 100 MB a worker.
+CACHE = 300_000
 #: Characters of the longest key that is kept.
 LONGEST = 100
 #: Documents of a batch, whose distinct runs are looked up together.
@@ -67,15 +69,17 @@ class WordIds:
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.bytewise = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         self.bytewise |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in self.bytewise)}
-        self.runs = Generations(self.run)
+        run = weakref.WeakMethod(self.run)  # no cycle: the cache is freed with its owner, not when garbage is next collected
+        self.runs = Generations(lambda text: run()(text))
 
     def word(self, lower: str) -> bytes:
         """A pre-token's ids; its bytes are written as the byte-level characters of the vocabulary."""
-        mapped = "".join(map(self.bytewise.__getitem__, lower.encode()))
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
+        mapped = lower if lower.isascii() else "".join(map(self.bytewise.__getitem__, lower.encode()))  # letters: ASCII ones are written as they are
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}H", *ids)
 
     def run(self, run: str) -> bytes:
-        if run.isalpha() and max(run) <= "\u024f" and "\u0130" not in run:  # whose lower case is two letters
+        if run.isalpha() and (run.isascii() or max(run) <= "\u024f" and "\u0130" not in run):  # whose lower case is two letters
             return self.word(run.lower())
         return self.whole(run) if run else b""
 
@@ -101,14 +105,20 @@ class WordIds:
         return out
 
 
-_CACHES: dict[str, WordIds] = {}
+class Cached:
+    """A tokenizer file's WordIds, made by the first task of a Python worker that asks for them.
 
+    It is sent as a broadcast: a worker's tasks of one job share it, and it goes with the broadcast as soon as the
+    worker gets a task of another. A cache of the module would stay beside all that the worker does later.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.ids = path, None
 
-def word_ids(path: str) -> WordIds:
-    """The Python worker's cache for a tokenizer file."""
-    if path not in _CACHES:
-        _CACHES[path] = WordIds(load(path))
-    return _CACHES[path]
+    def word_ids(self) -> WordIds:
+        if self.ids is None:
+            self.ids = WordIds(load(self.path))
+        return self.ids
 
 
 def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> DataFrame:
@@ -117,9 +127,10 @@ def token_pieces(docs: DataFrame, path: str, window: int, end: int = END) -> Dat
     t1 and t2 are a piece's two largest ids: of a vocabulary in the order of its merges, the rarest.
     """
     most = PIECE_WINDOWS * window
+    cached = docs.sparkSession.sparkContext.broadcast(Cached(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = word_ids(path), np.array([end], "<u2").tobytes()
+        cache, last = cached.value.word_ids(), np.array([end], "<u2").tobytes()
         for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             out = []
             for i, data in zip(batch.column("doc_id").to_pylist(), cache.of(batch.column("text")), strict=True):
