@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from pyspark.sql.functions import pandas_udf
 from sieveworks.llm.common import saved, sliced
 
 WORD = re.compile(r"\w+")
+#: Bytes of UTF-8 with a space for all of ASCII that is no part of a word.
+SPACED = bytes(b if b > 127 or WORD.match(chr(b)) else 32 for b in range(256))
 #: Labelled rows that a fit uses at most, those with the smallest hash of their id.
 MAX_EXAMPLES = 5_000
 #: One in so many of them is left out of a first index, to calibrate the votes.
@@ -28,17 +30,32 @@ NEIGHBOURS = 15
 PRIOR, STEADY = 0.05, 4.0
 #: Examples of a block, and postings that a query reads before it first looks at what can still be reached.
 BLOCK, FIRST = 64, 4096
+#: Texts whose words a worker numbers at once, and words whose numbers it remembers.
+TOGETHER, WORDS = 64, 1 << 17
+#: An example's number in a term's postings, a term's in an example's, and the weight; in 8 bytes, so that runs are copied at once.
+POSTING = np.dtype([("of", np.int32), ("weight", np.float32)])
 
 
-@lru_cache(1 << 16)
-def term(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+def words(text: str | None) -> Counter[bytes]:
+    """A whole text's words in lower case, as WORD finds them, in UTF-8, and their counts."""
+    found = Counter((text or "").lower().encode("utf-8", "surrogatepass").translate(SPACED).split())
+    for piece in [x for x in found if not x.isascii()]:
+        read = piece.decode("utf-8", "surrogatepass")
+        if not WORD.fullmatch(read):
+            n = found.pop(piece)
+            for word in WORD.findall(read):
+                found[word.encode("utf-8", "surrogatepass")] += n
+    return found
+
+
+def hashes(found: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a whole text's words in lower case, ascending, and their counts."""
-    found = Counter(map(term, WORD.findall((text or "").lower())))
-    at, n = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+    found = words(text)
+    at, n = hashes(found, len(found)), np.fromiter(found.values(), np.int32, len(found))
     order = np.argsort(at)
     return at[order], n[order]
 
@@ -48,6 +65,22 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
+def _packed(of: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    packed = np.empty(len(of), POSTING)
+    packed["of"], packed["weight"] = of, weight
+    return packed.view(np.int64)
+
+
+def _runs(packed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The postings of runs, one after the other."""
+    return np.concatenate([packed[:0], *(packed[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))]).view(POSTING)
+
+
+def _least(score: np.ndarray, k: int) -> float:
+    """What an example must reach to be among the k nearest; the slack is over the error of 32-bit weights and of cosines to 6 places."""
+    return float(np.partition(score, -k)[-k]) * (1 - 1e-4) - 1e-6 if len(score) > k else 0.0
+
+
 class NearestExamples:
     """An inverted index of the labelled examples, all terms of each; postings hold weights at length 1, blocks their largest.
 
@@ -84,86 +117,142 @@ class NearestExamples:
         weights = (w / np.where(norm > 0, norm, 1)[example]).astype(np.float32)
         order = np.lexsort((example, posted))
         self.starts = np.concatenate([[0], np.cumsum(df)])
-        self.examples, self.weights = example[order].astype(np.int32), weights[order]
+        self.postings = _packed(example[order], weights[order])
         self.ready = False
 
     def open(self) -> None:
         """The parts that follow from the postings, made once in each worker: block maxima, term maxima, the examples' own terms."""
-        posted = np.repeat(np.arange(len(self.hashes), dtype=np.int32), np.diff(self.starts))
-        block = self.examples // BLOCK
+        df = np.diff(self.starts)
+        examples, weights = self.postings.view(POSTING)["of"], self.postings.view(POSTING)["weight"]
+        posted = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        block = examples // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (posted[1:] != posted[:-1]) | (block[1:] != block[:-1])])) if len(posted) else np.empty(0, np.int64)
-        self.block, self.block_max = block[first], np.maximum.reduceat(self.weights, first) if len(first) else self.weights
-        self.block_starts = np.searchsorted(posted[first], np.arange(len(self.hashes) + 1))
-        self.top = np.maximum.reduceat(self.weights, self.starts[:-1]) if len(posted) else self.weights
-        order = np.argsort(self.examples, kind="stable")
-        self.own_terms, self.own_weights = posted[order], self.weights[order]
-        self.own_starts = np.searchsorted(self.examples[order], np.arange(len(self.ids) + 1))
-        self.query = np.zeros(len(self.hashes), np.float32)
+        self.block, self.block_max = block[first], np.maximum.reduceat(weights, first) if len(first) else weights
+        self.block_starts = np.searchsorted(posted[first], np.arange(len(df) + 1))
+        # the first terms, the commonest, are in most blocks: their maxima are rows of all blocks
+        n_blocks = -(-len(self.ids) // BLOCK)
+        few = np.flatnonzero(2 * np.diff(self.block_starts) < n_blocks)
+        self.n_wide = int(few[0]) if len(few) else len(df)
+        cut = self.block_starts[self.n_wide]
+        self.wide = np.zeros((self.n_wide, n_blocks), np.float32)
+        self.wide[posted[first[:cut]], self.block[:cut]] = self.block_max[:cut]
+        self.top = np.maximum.reduceat(weights, self.starts[:-1]) if len(posted) else weights
+        order = np.argsort(examples, kind="stable")
+        self.own = _packed(posted[order], weights[order])
+        self.own_starts = np.searchsorted(examples[order], np.arange(len(self.ids) + 1))
+        self.query = np.zeros(len(df), np.float32)
+        self.numbers: dict[bytes, int] = {}
         self.ready = True
 
-    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms that examples hold and their weights at length 1."""
-        k = np.minimum(np.searchsorted(self.hashes, at), max(len(self.hashes) - 1, 0))
-        known = self.hashes[k] == at if len(self.hashes) else np.zeros(len(at), bool)
-        k = self.number[k[known]] if known.any() else np.empty(0, np.int32)
-        w = (1 + np.log(n[known])) * self.idf[k]
+    def numbered(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of hashed terms, -1 for those that no example holds."""
+        if not len(self.hashes):
+            return np.full(len(at), -1, np.int32)
+        k = np.minimum(np.searchsorted(self.hashes, at), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == at, self.number[k], -1)
+
+    def vector(self, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms that examples hold, ascending, and their weights at length 1; of numbered terms and their counts."""
+        known = k >= 0
+        k, n = k[known], n[known]
+        order = np.argsort(k)
+        k, n = k[order], n[order]
+        w = (1 + np.log(n)) * self.idf[k]
         size = math.sqrt(float(w @ w))
         return k, w / size if size else w
 
-    def nearest(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine over 0 (to 6 places; ties by number) and their cosines, exactly.
+    def vectors(self, texts: Iterable[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each whole text's vector."""
+        found = list(map(words, texts))
+        size = np.array([len(x) for x in found], np.int64)
+        if len(self.numbers) > WORDS:
+            self.numbers.clear()
+        k = np.fromiter(map(self.numbers.get, chain.from_iterable(found), repeat(-2)), np.int32, size.sum())
+        new = k == -2
+        if new.any():
+            unseen = [x for x, is_new in zip(chain.from_iterable(found), new.tolist(), strict=True) if is_new]
+            k[new] = self.numbered(hashes(unseen, len(unseen)))
+            self.numbers.update(zip(unseen, k[new].tolist(), strict=True))
+        n = np.fromiter(chain.from_iterable(x.values() for x in found), np.int32, len(k))
+        ends = np.cumsum(size)[:-1]
+        return [self.vector(*x) for x in zip(np.split(k, ends), np.split(n, ends), strict=True)]
 
-        Terms are read by how much they can add. The block maxima of the terms left bound each example; once those
-        that may still be among the nearest hold less than is left to read, they get their cosine from their own terms.
-        """
+    def nearest(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest cosine over 0 (to 6 places; ties by number) and their cosines, exactly."""
         if not self.ready:
             self.open()
-        t, w = self.vector(at, n)
-        bound = w * self.top[t] if len(t) else w
-        order = np.argsort(-bound, kind="stable")
-        t, w = t[order], w[order]
+        return self._nearest(*self.vector(self.numbered(at), n), k)
+
+    def _cosines(self, may: np.ndarray) -> np.ndarray:
+        """The cosines of examples with self.query, from their own terms."""
+        starts, ends = self.own_starts[may], self.own_starts[may + 1]
+        own = _runs(self.own, starts, ends)
+        return np.bincount(np.repeat(np.arange(len(may)), ends - starts), own["weight"] * self.query[own["of"]], len(may))
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of a vector.
+
+        Terms are read by how much they can add for each of their postings. The block maxima of the terms left bound
+        each example; once those that may still be among the nearest hold less than is left to read, they get their
+        cosine from their own terms, those of the largest bounds first, as the least of these leaves out others.
+        """
+        self.query[t] = w
+        bound, size = w * self.top[t], self.starts[t + 1] - self.starts[t]
+        order = np.argsort(-bound / size, kind="stable")
+        t, w, size = t[order], w[order], size[order]
+        starts, ends = self.starts[t], self.starts[t + 1]
         rest = np.cumsum(bound[order][::-1])[::-1]
-        size = self.starts[t + 1] - self.starts[t]
         read = np.concatenate([[0], np.cumsum(size)])
-        score, done, least, step = np.zeros(len(self.ids)), 0, 0.0, FIRST
+        score, done, step = np.zeros(len(self.ids)), 0, FIRST
         while True:
             stop = max(done + 1, int(np.searchsorted(read, read[done] + step, "right")) - 1) if done < len(t) else done
             part = slice(done, stop)
-            of = _spread(self.starts[t[part]], size[part])
-            score += np.bincount(self.examples[of], self.weights[of] * np.repeat(w[part], size[part]), len(score))
+            got = _runs(self.postings, starts[part], ends[part])
+            score += np.bincount(got["of"], got["weight"] * np.repeat(w[part], size[part]), len(score))
             done, step = stop, step * 4
-            least = float(np.partition(score, -k)[-k]) * (1 - 1e-5) if len(score) > k else 0.0
+            least = _least(score, k)
             if done < len(t) and step <= FIRST * 4 and rest[done] >= least:
                 continue
-            part = t[done:]
+            wide = t[done:] < self.n_wide
+            more = w[done:][wide].astype(np.float32) @ self.wide[t[done:][wide]]
+            part, by = t[done:][~wide], w[done:][~wide]
             n_blocks = self.block_starts[part + 1] - self.block_starts[part]
             of = _spread(self.block_starts[part], n_blocks)
-            more = np.bincount(self.block[of], self.block_max[of] * np.repeat(w[done:], n_blocks), len(score) // BLOCK + 1)
-            reach = score + more[np.arange(len(score)) // BLOCK]
+            more = more + np.bincount(self.block[of], self.block_max[of] * np.repeat(by, n_blocks), len(more))
+            reach = score + np.repeat(more, BLOCK)[: len(score)]
             may = np.flatnonzero((reach >= least) & (reach > 0))
-            n_own = self.own_starts[may + 1] - self.own_starts[may]
-            if done == len(t) or n_own.sum() <= read[-1] - read[done]:
+            if done == len(t) or (self.own_starts[may + 1] - self.own_starts[may]).sum() <= read[-1] - read[done]:
                 break
-        self.query[t] = w
-        of = _spread(self.own_starts[may], n_own)
-        cos = np.round(np.bincount(np.repeat(np.arange(len(may)), n_own), self.own_weights[of] * self.query[self.own_terms[of]], len(may)), 6)
+        if len(may) > 4 * k:
+            by_reach = np.argpartition(-reach[may], 2 * k)
+            may, others = may[by_reach[: 2 * k]], may[by_reach[2 * k :]]
+            cos = self._cosines(may)
+            others = others[reach[others] >= _least(cos, k)]
+            may, cos = np.concatenate([may, others]), np.concatenate([cos, self._cosines(others)])
+        else:
+            cos = self._cosines(may)
         self.query[t] = 0
+        cos = np.round(cos, 6)
         best = np.lexsort((may, -cos))[:k]
         best = best[cos[best] > 0]
         return may[best], cos[best]
 
-    def vote(self, at: np.ndarray, n: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, best: np.ndarray, cos: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of label 1 among the nearest, each weighing its cosine and the base rate PRIOR; and the evidence."""
-        best, cos = self.nearest(at, n, k)
         share = (float(cos @ self.labels[best]) + PRIOR * self.base) / (float(cos.sum()) + PRIOR)
         return min(1.0, max(0.0, share)), self.ids[best], cos
 
-    def score(self, text: str | None, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        """The calibrated vote on a text, its neighbours and their cosines; without neighbours the base rate."""
-        share, ids, cos = self.vote(*terms(text), k)
-        if len(ids):
-            share = 1 / (1 + math.exp(-(self.slope * float(_logit(share)) + self.shift)))
-        return share, ids, cos
+    def scores(self, texts: Iterable[str | None], k: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The calibrated votes on texts, their neighbours and their cosines; without neighbours the base rate."""
+        if not self.ready:
+            self.open()
+        texts = list(texts)
+        for first in range(0, len(texts), TOGETHER):
+            for vector in self.vectors(texts[first : first + TOGETHER]):
+                share, ids, cos = self.vote(*self._nearest(*vector, k))
+                if len(ids):
+                    share = 1 / (1 + math.exp(-(self.slope * float(_logit(share)) + self.shift)))
+                yield share, ids, cos
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -216,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ne
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shares = [first.value.vote(np.frombuffer(at, np.uint64), np.frombuffer(n, np.int32), neighbours)[0] for at, n in zip(pdf["at"], pdf["n"], strict=True)]
+            shares = [first.value.vote(*first.value.nearest(np.frombuffer(at, np.uint64), np.frombuffer(n, np.int32), neighbours))[0] for at, n in zip(pdf["at"], pdf["n"], strict=True)]
             yield pd.DataFrame({"share": shares, "label": pdf["toxic"] == 1})
 
     left = rows.filter("left").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(votes, "share double, label boolean").toPandas()
@@ -245,7 +334,7 @@ def score(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = index.value
         for pdf in sliced(batches):
-            found = [model.score(t, neighbours) for t in pdf["text"]]
+            found = list(model.scores(pdf["text"], neighbours))
             evidence = [[{"doc_id": int(i), "cosine": float(c)} for i, c in zip(ids, cos, strict=True)] for _, ids, cos in found]
             p = np.array([f[0] for f in found], float)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "predicted": (p >= 0.5).astype(int), "evidence": evidence}, index=pdf.index)
@@ -260,6 +349,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, neighbours: int = NEIGHBOURS)
 
     @pandas_udf(T.BooleanType())
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([index.value.score(t, neighbours)[0] < 0.5 for t in texts], dtype=bool)
+        return pd.Series([p < 0.5 for p, _, _ in index.value.scores(texts, neighbours)], dtype=bool)
 
     return docs.filter(clean(F.col("text")))
