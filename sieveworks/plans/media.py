@@ -318,8 +318,9 @@ _TIME_SQL = "SELECT doc_id, format('{}-{:02}-{:02} {:02}:{:02}:{:02}', 2000 + do
 
 
 def mkv_date_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates made from doc_id, as decimals: from doc_id 106,765 on a long doesn't hold the nanoseconds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", inspect.ebml_date((F.col("doc_id") * 86_399 - 1_000_000) * 1_000_000_000).alias("iso"))
+    return docs.select("doc_id", inspect.ebml_date((F.col("doc_id").cast("decimal(19,0)") * 86_399 - 1_000_000) * 1_000_000_000).alias("iso"))
 
 
 _DATE_SQL = "SELECT doc_id, strftime(TIMESTAMP '2001-01-01 00:00:00' + to_seconds(doc_id * 86399 - 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM documents"
