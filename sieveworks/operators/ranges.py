@@ -46,7 +46,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFr
         above = F.explode(F.filter(levels, lambda k: k >= F.col("_own") if equal else k > F.col("_own")))
         other = _binned(sides[shorter].withColumn("_up", above), F.col("_up"))
         keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*on, "_at", "_bin")]
-        pairs = own.alias("a").join(other.alias("b"), keys)
+        # the sides are several times their tables once they are dealt, which Spark's estimate of their size doesn't see: broadcast, they fill the driver
+        pairs = own.alias("a").hint("merge").join(other.alias("b"), keys)
         first = F.floor(F.greatest("a.start", "b.start") / F.pow(F.lit(2.0), F.col("a._at"))).cast("long") == F.col("a._bin")
         return pairs.filter((F.col("a.start") <= F.col("b._last")) & (F.col("b.start") <= F.col("a._last")) & first).select(*(F.col(f"a.{c}") for c in on), "l", "r")
 
