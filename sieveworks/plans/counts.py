@@ -23,11 +23,12 @@ def value_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values of metadata by format and source, by either and in all: exact counts, and whether saved and merged sketches come near.
 
     The sketches of each format and source are saved and merged; only the exact counts, which show how near the
-    estimates are, go over the values again.
+    estimates are, go over the values again. Values are told by their SHA-256, so that none is joined, saved or
+    shuffled whole, once for each grouping set.
     """
     found = None
     for format, name in NAMES.items():
-        rows = inspect.fields(media.media_files(spark, sf_dir, format), "doc_id").filter(F.col("name") == name).select("doc_id", "format", "value")
+        rows = inspect.fields(media.media_files(spark, sf_dir, format), "doc_id").filter(F.col("name") == name).select("doc_id", "format", F.unhex(F.sha2("value", 256)).alias("value"))
         found = rows if found is None else found.unionByName(rows)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     values = saved(found.join(docs, "doc_id").select("format", "source", "value"), "field-values")
